@@ -1,0 +1,34 @@
+"""Connected components of an edge table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewell.llm.runtime import written
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Point every neighbour, and the node itself, at the least node around (both steps at once)."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    moved = both.join(least, "a").select(F.col("b").alias("x"), "m").union(least.select(F.col("a").alias("x"), "m"))
+    return moved.where("x <> m").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct()
+
+
+def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """``links``: (a, b). Returns (set_key, component) for every node of a link; component is its least node.
+
+    Each round replaces the edges by edges to the least node in reach; the edges stay as many as
+    the nodes or fewer than before, and the number of rounds grows with the logarithm of the paths.
+    """
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    for _ in range(most_rounds):
+        # done when every node points at one node that points nowhere
+        loose = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a").union(edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi"))
+        if loose.isEmpty():
+            break
+        edges = written(_stars(edges), "links")
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.select(F.col("a").alias("set_key"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("set_key"), F.col("b").alias("component")).distinct())

@@ -1,0 +1,28 @@
+"""Running numbers and sums over groups of any size: bucket totals first, then positions inside a bucket."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def running(rows: DataFrame, group: list[str], bucket: str, order: list[Column], value: Column, out: str, total: str | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the group that come before, and optionally the group's ``total``.
+
+    Rows are ordered by ``bucket``, then ``order``. A task holds one bucket of one group, so the
+    caller chooses buckets of a few thousand rows; totals per bucket are thousands of times fewer.
+    """
+    rows = rows.withColumn("_value", value)
+    sums = rows.groupBy(*group, bucket).agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(g).alias(f"_{g}") for g in group], F.col(bucket).alias("_bucket"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"), F.sum("_sum").over(Window.partitionBy(*group)).alias("_total"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group] + [F.col(bucket) == F.col("_bucket")]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    within = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("_own", F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    joined = own.join(sums, condition).withColumn(out, F.col("_base") + F.col("_own"))
+    if total:
+        joined = joined.withColumn(total, F.col("_total"))
+    return joined.drop("_value", "_own", "_base", "_total", "_bucket", *[f"_{g}" for g in group])
