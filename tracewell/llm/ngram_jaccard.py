@@ -235,26 +235,12 @@ def _met(a: DataFrame, b: DataFrame, percent: int, on_labels) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """Link documents whose shingle sets have Jaccard likeness of at least percent / 100; group by links.
+def linked_classes(classes: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """Components of the classes whose sets are at least percent / 100 alike: (set_key, component).
 
-    Returns per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links
-    reach). Null or empty texts have no shingles and stay alone; rows with a null doc_id are
-    kept and get the smallest doc_id that they reach, or null. Repeated rows each return.
-    An empty table gives an empty result. Other columns of ``docs`` are ignored.
+    ``classes``: set_key, n (set size), shared (members that other sets may hold), shape (counts of them
+    by hash range). ``prefix``: token, set_key, n, pos (place in the rare-first order of the whole set).
     """
-    sets = written(shingle_table(docs, percent, shingle), "shingle-sets")
-    classes = written(
-        sets.where("n_shingles > 0 and size(shared) > 0")
-        .groupBy("set_key")
-        .agg(F.first("n_shingles").alias("n"), F.first("shared").alias("shared"), F.first("shape").alias("shape")),
-        "shingle-classes",
-    )
-    prefix = written(
-        classes.select("set_key", "n", F.size("shared").cast("long").alias("m"), F.posexplode(F.expr(f"slice(shared, 1, int(size(shared) - (n * {percent} + 99) div 100 + 1))")).alias("p", "token"))
-        .select("token", "set_key", "n", (F.col("n") - F.col("m") + F.col("p")).alias("pos")),
-        "shingle-prefixes",
-    )
     labels: DataFrame | None = None
     links: DataFrame | None = None
     verified: DataFrame | None = None
@@ -274,6 +260,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
         new = checked.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         labels = connected_components(links)
+    return labels
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """Link documents whose shingle sets have Jaccard likeness of at least percent / 100; group by links.
+
+    Returns per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links
+    reach). Null or empty texts have no shingles and stay alone; rows with a null doc_id are
+    kept and get the smallest doc_id that they reach, or null. Repeated rows each return.
+    An empty table gives an empty result. Other columns of ``docs`` are ignored.
+    """
+    sets = written(shingle_table(docs, percent, shingle), "shingle-sets")
+    classes = written(
+        sets.where("n_shingles > 0 and size(shared) > 0")
+        .groupBy("set_key")
+        .agg(F.first("n_shingles").alias("n"), F.first("shared").alias("shared"), F.first("shape").alias("shape")),
+        "shingle-classes",
+    )
+    prefix = written(
+        classes.select("set_key", "n", F.size("shared").cast("long").alias("m"), F.posexplode(F.expr(f"slice(shared, 1, int(size(shared) - (n * {percent} + 99) div 100 + 1))")).alias("p", "token"))
+        .select("token", "set_key", "n", (F.col("n") - F.col("m") + F.col("p")).alias("pos")),
+        "shingle-prefixes",
+    )
+    labels = linked_classes(classes, prefix, percent)
     named = sets.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     smallest = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("component", "least")
     return named.join(smallest, (named.component == smallest.component) & (named.n_shingles > 0), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
