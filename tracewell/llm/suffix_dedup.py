@@ -6,7 +6,7 @@ that are refined only while they still hold different strings:
 
 * Level 0: each ``length``-byte window goes to the bucket of the least-hashed q-gram inside it.
   The choice depends on the window alone, so equal windows share a bucket. A run of neighbouring
-  windows with one such q-gram is a single entry, about one for every 20 bytes.
+  windows with one such q-gram is a single entry, about one for every 15 bytes.
 * Level 1: entries of a bucket are told apart by the bucket identifier of their extension, the
   whole text that the run covers, and sorted by (bucket, extension). An entry whose extension
   starts in a smaller document is settled; so is a bucket with one extension.
@@ -24,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import kernels
 from tracewell.llm.runtime import ship, width
 
-QGRAM = 12
+#: Long enough that few strings share one by chance, short enough that one entry stands for about 15 windows.
+QGRAM = 20
 CHUNK_DOCS = 700
 #: A bucket that has more extensions than this within a chunk is known to be mixed; one entry says so.
 DIVERSE = 4
@@ -49,10 +51,32 @@ def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKED.types, strict=True)], schema=PACKED)
 
 
+def _press():
+    """Documents of a chunk as one compressed row per batch: the only time that texts are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            chunk = batch.column(2).to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            edges = np.flatnonzero(np.diff(chunk[order], prepend=-1)).tolist()
+            sorted_ = batch.select([0, 1]).take(pa.array(order))
+            for a, b in zip(edges, [*edges[1:], len(order)], strict=False):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, sorted_.schema) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in sorted_.slice(a, b - a).columns], schema=sorted_.schema))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[order[a]]], pa.int64()), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "docs"])
+
+    return run
+
+
 def _ordered(group: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Ids (null: last), texts as bytes and which ids are null, in an order that every pass repeats."""
-    texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in group.column("text")]
-    raw = group.column("doc_id").to_pylist()
+    raw, texts = [], []
+    for blob in group.column("docs"):
+        docs = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob.as_buffer().to_pybytes())).read_all()
+        raw += docs.column(0).to_pylist()
+        texts += [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in docs.column(1)]
     ids = [LAST if i is None else i for i in raw]
     order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
     return np.array([ids[k] for k in order], dtype=np.int64), [texts[k] for k in order], np.array([raw[k] is None for k in order], dtype=bool)
@@ -126,11 +150,11 @@ def _windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, end: np.nda
         first = np.cumsum(sizes) - sizes
         where = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         one.append(kernels.span_hashes(kernels.prefix_sums(buf, 0), where, where + length, 0))
-        two.append((kernels.span_hashes(kernels.prefix_sums(buf, 1), where, where + length, 1) >> U(32)).astype(np.uint32))
+        two.append((kernels.span_hashes(kernels.prefix_sums(buf, 1), where, where + length, 1) >> U(48)).astype(np.uint16))
         of.append(np.repeat(np.arange(at, stop), count))
         at = stop
     if not one:
-        return np.zeros(0, U), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(0, np.uint16), np.zeros(0, np.int64)
     return np.concatenate(one), np.concatenate(two), np.concatenate(of)
 
 
@@ -152,14 +176,15 @@ def _sent(key_of: np.ndarray, first: np.ndarray, second: np.ndarray, ids: np.nda
     return rows
 
 
-def _received(group: pa.Table) -> tuple[np.ndarray, ...]:
+def _received(group: pa.Table, narrow: type) -> tuple[np.ndarray, ...]:
     """Entries of a bucket: two identifiers, the least document and the chunk of each."""
+    wide = 8 + np.dtype(narrow).itemsize
     first, second, ids, chunks = [], [], [], []
     for chunk, kind, blob in zip(group.column("chunk").to_pylist(), group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True):
-        m = (len(blob) - 8) // (16 if kind == NARROW else 20)
+        m = (len(blob) - 8) // (wide + (4 if kind == NARROW else 8))
         first.append(np.frombuffer(blob, U, m, 8))
-        second.append(np.frombuffer(blob, np.uint32, m, 8 + 8 * m))
-        doc = np.frombuffer(blob, np.uint32 if kind == NARROW else np.int64, m, 8 + 12 * m)
+        second.append(np.frombuffer(blob, narrow, m, 8 + 8 * m))
+        doc = np.frombuffer(blob, np.uint32 if kind == NARROW else np.int64, m, 8 + wide * m)
         ids.append(doc.astype(np.int64) + np.frombuffer(blob, np.int64, 1)[0] if kind == NARROW else doc)
         chunks.append(np.full(m, chunk, dtype=np.int64))
     return tuple(np.concatenate(x) for x in (first, second, ids, chunks))
@@ -207,7 +232,7 @@ def _level0(bits: int, length: int):
 
 def _refine_extensions(group: pa.Table) -> pa.Table:
     """Answer each chunk's entries: 1, the extension starts in a smaller document; 2, first of its extension in a mixed bucket."""
-    e1, e2, ids, chunk = _received(group)
+    e1, e2, ids, chunk = _received(group, np.uint32)
     order = np.lexsort((ids, e2, e1))
     e1, e2, ids, chunk = e1[order], e2[order], ids[order], chunk[order]
     gram = e1 >> U(16)
@@ -238,7 +263,6 @@ def _level1(bits: int, length: int):
         bucket, e2 = (gram >> U(64 - bits)).astype(np.int64), (ext & U(0xFFFFFFFF)).astype(np.uint32)
         flags = np.zeros(len(first), dtype=np.uint8)
         flags[several > 1] = 2
-        name = np.rec.fromarrays([bucket, e1, e2])
         for key, blob in zip(replies.column("key").to_pylist(), replies.column("blob").to_pylist(), strict=True):
             m = len(blob) // 13
             a, b = np.searchsorted(bucket, [key, key + 1])
@@ -247,7 +271,6 @@ def _level1(bits: int, length: int):
             own = np.rec.fromarrays([e1[a:b], e2[a:b]])
             at = np.searchsorted(own, asked)
             flags[a + at] = np.frombuffer(blob, np.uint8, m, 12 * m)
-        del name
         doc, start, end = runs["doc"][order], runs["start"][order], runs["end"][order]
         later = ids[doc] > ids[doc[first]][entry]  # a smaller document of this chunk has the extension
         flag = flags[entry]
@@ -282,7 +305,7 @@ def _refine_windows(group: pa.Table) -> pa.Table:
     key = group.column("key")[0].as_py()
     if key < 0:
         return group
-    one, two, ids, chunk = _received(group)
+    one, two, ids, chunk = _received(group, np.uint16)
     order = np.lexsort((ids, two, one))
     one, two, ids, chunk = one[order], two[order], ids[order], chunk[order]
     new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
@@ -296,12 +319,12 @@ def _remove(length: int):
             return OUT.empty_table()
         ids, texts, null = _ordered(group)
         settled = pending = np.zeros((3, 0), dtype=np.int64)
-        ones, twos = [np.zeros(0, U)], [np.zeros(0, np.uint32)]
+        ones, twos = [np.zeros(0, U)], [np.zeros(0, np.uint16)]
         for kind, blob in zip(found.column("kind").to_pylist(), found.column("blob").to_pylist(), strict=True):
             if kind == REPLY:
-                m = len(blob) // 12
+                m = len(blob) // 10
                 ones.append(np.frombuffer(blob, U, m))
-                twos.append(np.frombuffer(blob, np.uint32, m, 8 * m))
+                twos.append(np.frombuffer(blob, np.uint16, m, 8 * m))
             else:
                 ranges = np.frombuffer(blob, np.int64).reshape(3, -1)
                 settled, pending = (ranges, pending) if kind == SETTLED else (settled, ranges)
@@ -358,7 +381,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_docs: int = CHUNK_DO
     bits = min(16, max(8, (4 * width(spark) - 1).bit_length()))
     chunks = max(1, -(-docs.count() // chunk_docs))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    by_chunk = source.groupBy("chunk")
+    by_chunk = source.mapInArrow(_press(), "chunk long, docs binary").groupBy("chunk")
     level0 = by_chunk.applyInArrow(_level0(bits, length), PACKED_DDL)
     answers = level0.groupBy("key").applyInArrow(_refine_extensions, PACKED_DDL)
     level1 = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_level1(bits, length), PACKED_DDL)
