@@ -29,8 +29,9 @@ from tracewell.llm import kernels
 from tracewell.llm.components import connected_components
 from tracewell.llm.runtime import ship, width, written
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 CHUNK_DOCS = 60_000
+CHUNK_CLASSES = 5000
 MANY = 0xFFFF
 HEADER, LISTS, SINGLE, SEVERAL = 0, 1, 2, 3
 PACKED = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -45,16 +46,14 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKED.types, strict=True)], schema=PACKED)
 
 
-def _chunk_rows(ids: list[int | None], texts: list[bytes], chunk: int, bits: int, shingle: int) -> Iterator[pa.RecordBatch]:
-    sets = kernels.shingle_sets(texts, shingle)
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    keys = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+def _chunk_rows(ids: list[int | None], sets: list[np.ndarray], n: np.ndarray, keys: bytes, chunk: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's header, its tokens by bucket, and which documents hold a token that several have."""
     known = np.array([i is not None for i in ids], dtype=np.uint8)
     header = np.array([i or 0 for i in ids], dtype=np.int64).tobytes() + n.tobytes() + known.tobytes() + keys
     own = -1 - chunk
     rows = [(own, chunk, HEADER, header)]
     all_h = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-    doc = np.repeat(np.arange(len(sets), dtype=np.uint64), n)
+    doc = np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets])
     order = np.argsort(all_h, kind="stable")
     token, doc = all_h[order] & ~np.uint64((1 << (16 - bits)) - 1), doc[order]
     if len(token):
@@ -80,10 +79,19 @@ def _chunk_rows(ids: list[int | None], texts: list[bytes], chunk: int, bits: int
         yield _batch(rows)
 
 
-def _map_chunks(bits: int, shingle: int):
+def _first_chunk() -> int:
+    context = TaskContext.get()
+    return (context.partitionId() if context else 0) << 24
+
+
+def _map_texts(bits: int, shingle: int):
+    def chunk_rows(ids: list[int | None], texts: list[bytes], chunk: int) -> Iterator[pa.RecordBatch]:
+        sets = kernels.shingle_sets(texts, shingle)
+        keys = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+        return _chunk_rows(ids, sets, np.array([len(s) for s in sets], dtype=np.int64), keys, chunk, bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        chunk = (context.partitionId() if context else 0) << 24
+        chunk = _first_chunk()
         ids: list[int | None] = []
         texts: list[bytes] = []
         size = 0
@@ -94,10 +102,26 @@ def _map_chunks(bits: int, shingle: int):
                 texts.append(text)
                 size += len(text)
                 if size >= CHUNK_BYTES or len(ids) >= CHUNK_DOCS:
-                    yield from _chunk_rows(ids, texts, chunk, bits, shingle)
+                    yield from chunk_rows(ids, texts, chunk)
                     chunk, ids, texts, size = chunk + 1, [], [], 0
         if ids:
-            yield from _chunk_rows(ids, texts, chunk, bits, shingle)
+            yield from chunk_rows(ids, texts, chunk)
+
+    return run
+
+
+def _map_classes(bits: int):
+    """The same for classes: rows of (set_key, n, shared)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = _first_chunk()
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_CLASSES):
+                part = batch.slice(at, CHUNK_CLASSES)
+                sets = [np.sort(s.values.to_numpy().view(np.uint64)) for s in part.column(2)]
+                keys = b"".join(map(bytes.fromhex, part.column(0).to_pylist()))
+                yield from _chunk_rows([None] * len(sets), sets, part.column(1).to_numpy().astype(np.int64), keys, chunk, bits)
+                chunk += 1
 
     return run
 
@@ -191,15 +215,29 @@ def _assemble(percent: int):
     return run
 
 
+def _counted(packed: DataFrame, bits: int, percent: int) -> DataFrame:
+    answered = packed.groupBy("key").applyInArrow(_count_bucket(bits), PACKED_DDL)
+    return answered.groupBy("chunk").applyInArrow(_assemble(percent), SETS_DDL)
+
+
+def _bits(docs: DataFrame) -> int:
+    return min(16, max(8, (4 * width(docs.sparkSession) - 1).bit_length()))
+
+
 def shingle_table(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """Per document: set size, a key of its set, and its shared shingles (rare first) if it can have a partner."""
-    spark = docs.sparkSession
-    ship(spark)
-    bits = min(16, max(8, (4 * width(spark) - 1).bit_length()))
+    ship(docs.sparkSession)
+    bits = _bits(docs)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = source.mapInArrow(_map_chunks(bits, shingle), PACKED_DDL)
-    answered = packed.groupBy("key").applyInArrow(_count_bucket(bits), PACKED_DDL)
-    return answered.groupBy("chunk").applyInArrow(_assemble(percent), SETS_DDL)
+    return _counted(source.mapInArrow(_map_texts(bits, shingle), PACKED_DDL), bits, percent)
+
+
+def class_table(sets: DataFrame, percent: int = 80) -> DataFrame:
+    """Equal sets as one class, counted again: what only copies of one set share leaves, and most classes with it."""
+    bits = _bits(sets)
+    classes = sets.where("n_shingles > 0 and size(shared) > 0").groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("shared").alias("shared"))
+    counted = _counted(classes.mapInArrow(_map_classes(bits), PACKED_DDL), bits, percent)
+    return counted.where("size(shared) > 0").select("set_key", F.col("n_shingles").alias("n"), "shared", "shape")
 
 
 def _checked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -227,11 +265,10 @@ def _met(a: DataFrame, b: DataFrame, percent: int, on_labels) -> DataFrame:
         left.join(right, "token")
         .where(on_labels(F.col("la"), F.col("lb")) & (F.col("ka") != F.col("kb")))
         .where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-        .groupBy(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-        # the first common shingle has most behind it; the others before it are not common
-        .agg(F.max(rest).alias("rest"), F.first(total).alias("total"))
-        .where(F.col("rest") * (100 + percent) >= F.col("total"))
-        .select("a", "b")
+        # the first common shingle has most behind it, and none before it is common: a pair that can be alike passes there
+        .where(rest * (100 + percent) >= total)
+        .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+        .distinct()
     )
 
 
@@ -239,19 +276,22 @@ def linked_classes(classes: DataFrame, prefix: DataFrame, percent: int) -> DataF
     """Components of the classes whose sets are at least percent / 100 alike: (set_key, component).
 
     ``classes``: set_key, n (set size), shared (members that other sets may hold), shape (counts of them
-    by hash range). ``prefix``: token, set_key, n, pos (place in the rare-first order of the whole set).
+    by hash range). ``prefix``: token, set_key, n, unshared (members that no other
+    set holds), pos (place in the rare-first order of the whole set).
     """
     labels: DataFrame | None = None
     links: DataFrame | None = None
     verified: DataFrame | None = None
-    for step in ("low", "high", "rest"):
+    for step in ("leaders", "rest"):
         rows = prefix.withColumn("label", F.col("set_key")) if labels is None else prefix.join(labels, "set_key", "left").withColumn("label", F.coalesce("component", "set_key"))
-        spread = rows.groupBy("token").agg(F.min(F.struct("label", "set_key", "n", "pos")).alias("low"), F.max(F.struct("label", "set_key", "n", "pos")).alias("high")).where("low.label <> high.label")
+        # the leader is the class with the fewest shingles of its own: the text that others are edits of
+        leader = F.min(F.struct("unshared", "set_key", "n", "pos", "label")).alias("leader")
+        spread = rows.groupBy("token").agg(leader, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         if step == "rest":
             mixed = rows.join(spread.select("token"), "token", "left_semi")
             pairs = _met(mixed, mixed, percent, lambda x, y: x < y)
         else:
-            leaders = spread.select("token", f"{step}.*")
+            leaders = spread.select("token", "leader.*")
             pairs = _met(leaders, rows, percent, lambda x, y: x != y)
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
@@ -272,15 +312,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     An empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
     sets = written(shingle_table(docs, percent, shingle), "shingle-sets")
-    classes = written(
-        sets.where("n_shingles > 0 and size(shared) > 0")
-        .groupBy("set_key")
-        .agg(F.first("n_shingles").alias("n"), F.first("shared").alias("shared"), F.first("shape").alias("shape")),
-        "shingle-classes",
-    )
+    classes = written(class_table(sets, percent), "shingle-classes")
     prefix = written(
         classes.select("set_key", "n", F.size("shared").cast("long").alias("m"), F.posexplode(F.expr(f"slice(shared, 1, int(size(shared) - (n * {percent} + 99) div 100 + 1))")).alias("p", "token"))
-        .select("token", "set_key", "n", (F.col("n") - F.col("m") + F.col("p")).alias("pos")),
+        .select("token", "set_key", "n", (F.col("n") - F.col("m")).alias("unshared"), (F.col("n") - F.col("m") + F.col("p")).alias("pos")),
         "shingle-prefixes",
     )
     labels = linked_classes(classes, prefix, percent)

@@ -121,7 +121,7 @@ def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     tokens = F.transform("ranked", lambda x: x["token"])
     shape = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter("shared", lambda x: F.pmod(x, F.lit(16)) == i)))
     table = written(ranked.select("set_key", "n", tokens.alias("shared")).withColumn("shape", shape), "spot-classes")
-    prefix = written(table.select("set_key", "n", F.posexplode(F.expr(f"slice(shared, 1, int(n - (n * {percent} + 99) div 100 + 1))")).alias("p", "token")).select("token", "set_key", "n", F.col("p").cast("long").alias("pos")), "spot-prefixes")
+    prefix = written(table.select("set_key", "n", F.posexplode(F.expr(f"slice(shared, 1, int(n - (n * {percent} + 99) div 100 + 1))")).alias("p", "token")).select("token", "set_key", "n", F.lit(0).alias("unshared"), F.col("p").cast("long").alias("pos")), "spot-prefixes")
     labels = linked_classes(table, prefix, percent)
     named = sets.join(labels, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     least = named.where(F.size("own") > 0).groupBy("component").agg(F.min("doc_id").alias("least"))
