@@ -26,24 +26,25 @@ CHAIN = 3
 MARK = "\u0001"
 #: Documents in a block of neighbours, blocks in a group.
 BLOCK, GROUP = 256, 4096
-LOWEST = -(1 << 63)
 
 
-def chains(text: Column) -> Column:
-    """Sorted distinct 64-bit hashes of the chains of a text.
+def with_chains(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: the sorted distinct 64-bit hashes of the chains of the column ``text``.
 
     A text without an anchor chain is taken by all chains of its words, one of fewer words than a chain by
-    its words, one without a letter or digit as it is. An empty text has none.
+    its words, one without a letter or digit as it is. An empty text has none. Columns are added step by
+    step, so that no pattern runs twice over a text, and no pattern repeats a group, however long a text is.
     """
-    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
-    marked = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), f" (?:(?:{'|'.join(ANCHORS)}) )+", f" {MARK}")
+    rows = rows.withColumn("_words", F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
+    marked = F.regexp_replace(F.regexp_replace("_words", f"(?<= )(?:{'|'.join(ANCHORS)}) ", MARK), f"{MARK}+", MARK)
     link = " ".join([f"{MARK}?[^ {MARK}]+"] * CHAIN)
-    spots = F.regexp_extract_all(marked, F.lit(f"{MARK}(?=({link}))"), F.lit(1))
-    every = F.regexp_extract_all(F.concat(F.lit(" "), words), F.lit(f" (?=({link}))"), F.lit(1))
-    short = F.when(F.trim(words) != "", F.array(F.trim(words))).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
-    # each fallback is computed only where the one before found nothing
-    found = F.when(F.size(spots) > 0, spots).when(F.size(every) > 0, every).otherwise(short)
-    return F.array_sort(F.array_distinct(F.transform(found, lambda c: F.xxhash64(F.translate(c, MARK, "")))))
+    rows = rows.withColumn("_spots", F.regexp_extract_all(marked, F.lit(f"{MARK}(?=({link}))"), F.lit(1)))
+    every = F.regexp_extract_all("_words", F.lit(f" (?=({link}))"), F.lit(1))
+    words = F.trim("_words")
+    short = F.when(words != "", F.array(words)).when(F.col(text) != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("_spots", F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(every))
+    found = F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(short)
+    return rows.withColumn(out, F.array_sort(F.array_distinct(F.transform(found, lambda c: F.xxhash64(F.translate(c, MARK, "")))))).drop("_words", "_spots")
 
 
 def fingerprint(sets: Column) -> Column:
@@ -64,28 +65,31 @@ def size_partition(n: Column, percent: int = 80) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): the text of the next document in descending doc_id order, after the last the first.
+    """(doc_id, text, own, next_text, next): each text with the next document's, in descending doc_id order, and the chains of both.
 
     Ids are dealt to equal ranges of about 256 documents, each shuffled once and ordered within its task; only one
     document of each range, the largest, travels to the next. Clustered ids make some ranges larger than others.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("place", F.coalesce("doc_id", F.lit(LOWEST)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds = rows.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, high = bounds["low"] or 0, bounds["high"] or 0
     width = max(1, -(-(high - low + 1) * BLOCK // max(1, bounds["n"])))
-    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(((F.col("place").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long"))
-    placed = rows.withColumn("block", block)
-    order = Window.partitionBy("block").orderBy("place", "text")
-    ranked = placed.withColumn("lower", F.lag("text").over(order)).withColumn("last", F.lead("place").over(order).isNull())
+    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(((F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long"))
+    blocks = written(rows.select(block.alias("block")).distinct(), "blocks")
+    base = rows.withColumn("block", block).repartition("block")
+    order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    own = with_chains(base, "text", "own").withColumn("lower", F.lag(F.struct("text", "own")).over(order))
     # the non-empty block above each block, the lowest above the highest
-    blocks = written(placed.select("block").distinct(), "blocks")
     groups = blocks.groupBy(F.floor(F.col("block") / GROUP).alias("group")).agg(F.min("block").alias("first"))
     # a group holds 4096 blocks of 256 documents, so this one task sees a millionth of the rows
     groups = groups.withColumn("above", F.coalesce(F.lead("first").over(Window.orderBy("group")), F.min("first").over(Window.partitionBy())))
     inner = blocks.withColumn("group", F.floor(F.col("block") / GROUP)).withColumn("up", F.lead("block").over(Window.partitionBy("group").orderBy("block")))
     above = inner.join(groups.select("group", "above"), "group").select("block", F.coalesce("up", "above").alias("target"))
-    carried = ranked.where("last").select("block", F.col("text").alias("carried")).join(above, "block").select(F.col("target").alias("block"), "carried")
-    return ranked.join(carried, "block", "left").select("doc_id", "text", F.coalesce("lower", "carried").alias("next_text"))
+    last = base.withColumn("last", F.lead(F.lit(1)).over(order).isNull()).where("last").select("block", F.col("text").alias("carried"))
+    carried = with_chains(last.join(above, "block").select(F.col("target").alias("block"), "carried"), "carried", "chains")
+    joined = own.join(carried.select("block", F.struct(F.col("carried").alias("text"), F.col("chains").alias("own")).alias("carried")), "block", "left")
+    lower = F.coalesce("lower", "carried")
+    return joined.select("doc_id", "text", "own", lower["text"].alias("next_text"), lower["own"].alias("next"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -97,10 +101,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     pairs = with_next(docs).withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.expr("int(n_chars div 3)"))
     edited = F.concat(F.expr("substring(text, 1, int(n_chars) - cut)"), F.expr("substring(next_text, 1, cut)"))
-    texts = pairs.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))
-    sets = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), chains(F.col("text")).alias("own"), chains(F.col("edited")).alias("other"), chains(F.col("next_text")).alias("next"))
+    texts = pairs.select("doc_id", "n_chars", "own", "next", edited.alias("edited"))
+    sets = with_chains(texts, "edited", "other")
     return sets.select(
-        "doc_id", "n_chars", "edited_sha256",
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).cast("double").alias("near_edited"), likeness(F.col("own"), F.col("next")).cast("double").alias("near_next"),
         size_partition(F.size("own")).alias("size_class"),
@@ -112,8 +116,8 @@ def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Equal fingerprints are one class; classes that share one of their rarest chains and whose sizes allow it are compared.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), chains(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own"))
-    sets = written(own.withColumn("set_key", F.md5(fingerprint(F.col("own")))), "spots")
+    own = with_chains(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", "own")
+    sets = written(own.select("doc_id", "own", F.md5(fingerprint(F.col("own"))).alias("set_key")), "spots")
     classes = sets.where(F.size("own") > 0).groupBy("set_key").agg(F.first("own").alias("own"))
     spread = classes.select("set_key", F.size("own").cast("long").alias("n"), F.explode("own").alias("token"))
     counts = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
