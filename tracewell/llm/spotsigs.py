@@ -74,7 +74,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     bounds = rows.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, high = bounds["low"] or 0, bounds["high"] or 0
     width = max(1, -(-(high - low + 1) * BLOCK // max(1, bounds["n"])))
-    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(((F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long"))
+    dealt = ((F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
+    block = F.coalesce(dealt, F.lit(-1).cast("long"))  # never null, so that both uses of the shuffled texts share one shuffle
     blocks = written(rows.select(block.alias("block")).distinct(), "blocks")
     base = rows.withColumn("block", block).repartition("block")
     order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
