@@ -322,3 +322,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     named = sets.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     smallest = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("component", "least")
     return named.join(smallest, (named.component == smallest.component) & (named.n_shingles > 0), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+#: The rows of ``near_duplicates`` on ``documents``, by comparing all sets that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS t FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY ALL) m USING (doc_id)
+"""

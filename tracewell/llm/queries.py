@@ -57,4 +57,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.ORACLE}
+    return {"op5_ngram_jaccard_join": ngram_jaccard.ORACLE, "op7_warc": warc.ORACLE}

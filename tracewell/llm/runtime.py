@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Words of the contracts: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,8 +20,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package when it runs from a checkout.
 
-    A cluster gets the package through ``--py-files`` or its image; then this is harmless.
+    A cluster gets the package through ``--py-files`` or its image; then this is harmless. Batches for
+    Python are held to a few megabytes unless the session says otherwise, however long the texts are.
     """
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(8 << 20))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
