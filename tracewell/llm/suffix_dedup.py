@@ -34,6 +34,8 @@ from tracewell.llm.runtime import ship, width
 #: Long enough that few strings share one by chance, short enough that one entry stands for about 15 windows.
 QGRAM = 20
 CHUNK_DOCS = 700
+#: Bytes that are sorted by chunk and compressed together.
+PRESSED = 48 << 20
 #: A bucket that has more extensions than this within a chunk is known to be mixed; one entry says so.
 DIVERSE = 4
 LAST = np.iinfo(np.int64).max
@@ -52,20 +54,32 @@ def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 
 def _press():
-    """Documents of a chunk as one compressed row per batch: the only time that texts are moved."""
+    """Documents of a chunk as one compressed row per PRESSED bytes: the only time that texts are moved."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pressed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
+        table = pa.Table.from_batches(held)
+        chunk = table.column(2).to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        edges = np.flatnonzero(np.diff(chunk[order], prepend=-1)).tolist()
+        docs = table.select([0, 1]).combine_chunks().take(pa.array(order))
+        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema) as out:
+                out.write_table(docs.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk[order[a]]], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())], names=["chunk", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            chunk = batch.column(2).to_numpy()
-            order = np.argsort(chunk, kind="stable")
-            edges = np.flatnonzero(np.diff(chunk[order], prepend=-1)).tolist()
-            sorted_ = batch.select([0, 1]).take(pa.array(order))
-            for a, b in zip(edges, [*edges[1:], len(order)], strict=False):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, sorted_.schema) as out:
-                    out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in sorted_.slice(a, b - a).columns], schema=sorted_.schema))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk[order[a]]], pa.int64()), pa.array([press.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "docs"])
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PRESSED:
+                yield from pressed(held)
+                held, size = [], 0
+        if held:
+            yield from pressed(held)
 
     return run
 
