@@ -9,7 +9,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,48 +53,57 @@ def _near(a: str, b: str) -> bool:
     return abs(r - s) <= 1 and abs(i - j) <= 1 and a != b
 
 
+def _run_ends(n: int, goes_on: Callable[[int], bool]) -> list[int]:
+    """Per position the end of the longest run from there; ``goes_on(j)``: j continues the run of j - 1."""
+    ends = list(range(1, n + 1))
+    for i in range(n - 2, -1, -1):
+        if goes_on(i + 1):
+            ends[i] = ends[i + 1]
+    return ends
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation."""
+    """log10 of the guesses for the cheapest segmentation, in time that grows with the length of the value."""
     n, low = len(value), value.lower()
     low = low if len(low) == n else value
     plain = low.translate(LEET)
+    same = _run_ends(n, lambda j: value[j] == value[j - 1])
+    # periods[size][i]: where the stretch from i of characters equal to those ``size`` before ends
+    periods = {}
+    for size in (2, 3, 4):
+        ends = list(range(n + 1))
+        for i in range(n - 1, size - 1, -1):
+            if value[i] == value[i - size]:
+                ends[i] = ends[i + 1]
+        periods[size] = ends
+    rises = _run_ends(n, lambda j: low[j].isalnum() and ord(low[j]) - ord(low[j - 1]) == 1)
+    falls = _run_ends(n, lambda j: low[j].isalnum() and ord(low[j]) - ord(low[j - 1]) == -1)
+    walks = _run_ends(n, lambda j: _near(low[j - 1], low[j]))
     best = [0.0] + [math.inf] * n
     for i in range(n):
         here = best[i] + (0.3 if i else 0.0)  # each further segment doubles the ways to combine them
-
-        def reach(j: int, cost: float, here: float = here) -> None:
-            best[j] = min(best[j], here + cost)
-
         best[i + 1] = min(best[i + 1], best[i] + _alphabet(value[i]))
+        reached = []
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
             if rank:
-                shape = value[i:j]
-                reach(j, math.log10(rank + 1) + (0.0 if shape == low[i:j] == plain[i:j] else 0.6))
+                as_listed = value[i:j] == low[i:j] == plain[i:j]
+                reached.append((j, math.log10(rank + 1) + (0.0 if as_listed else 0.6)))
         if m := DATE.match(value, i):
-            reach(m.end(), 4.6 if m.end() - i > 4 else 2.1)
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            reach(j, _alphabet(value[i]) + math.log10(j - i))
-        for size in (2, 3, 4):
-            k = i + size
-            while value[k : k + size] == value[i : i + size] and k + size <= n:
-                k += size
-            if k - i >= 2 * size:
-                reach(k, sum(map(_alphabet, value[i : i + size])) + math.log10((k - i) // size))
-        for step in (1, -1):
-            j = i + 1
-            while j < n and low[j].isalnum() and ord(low[j]) - ord(low[j - 1]) == step:
-                j += 1
-            if j - i >= 3:
-                reach(j, 1.5 + math.log10(j - i))
-        j = i + 1
-        while j < n and _near(low[j - 1], low[j]):
-            j += 1
-        if j - i >= 3:
-            reach(j, 1.7 + 0.5 * (j - i))
+            reached.append((m.end(), 4.6 if m.end() - i > 4 else 2.1))
+        if (j := same[i]) - i >= 3:
+            reached.append((j, _alphabet(value[i]) + math.log10(j - i)))
+        for size, ends in periods.items():
+            times = 1 + (ends[i + size] - i - size) // size if i + size <= n else 1
+            if times >= 2:
+                reached.append((i + times * size, sum(map(_alphabet, value[i : i + size])) + math.log10(times)))
+        for ends in (rises, falls):
+            if (j := ends[i]) - i >= 3:
+                reached.append((j, 1.5 + math.log10(j - i)))
+        if (j := walks[i]) - i >= 3:
+            reached.append((j, 1.7 + 0.5 * (j - i)))
+        for j, cost in reached:
+            best[j] = min(best[j], here + cost)
     return best[n]
 
 
@@ -114,12 +125,13 @@ def spans(raw: bytes) -> list[tuple[int, str, int]]:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if context:
         taken = sorted((s, e) for s, _, e in found)
+        starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max, initial=0))
         for m in CONTEXT.finditer(text):
             group = m.lastindex
             start, end = m.span(group)
             value = m[group].rstrip(".,;:!?)")
             end = start + len(value)
-            if len(value) >= 6 and not any(s < end and start < e for s, e in taken) and guess_cost(value) >= STRONG:
+            if len(value) >= 6 and reach[bisect_left(starts, end)] <= start and guess_cost(value) >= STRONG:
                 found.append((start, 3, end))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
