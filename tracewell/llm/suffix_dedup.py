@@ -394,7 +394,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_docs: int = CHUNK_DO
     ship(spark)
     bits = min(16, max(8, (4 * width(spark) - 1).bit_length()))
     chunks = max(1, -(-docs.count() // chunk_docs))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # by id and text, so that rows without an id, however many, are dealt to all chunks
+    source = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     by_chunk = source.mapInArrow(_press(), "chunk long, docs binary").groupBy("chunk")
     level0 = by_chunk.applyInArrow(_level0(bits, length), PACKED_DDL)
     answers = level0.groupBy("key").applyInArrow(_refine_extensions, PACKED_DDL)
