@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, ngram_jaccard, packing, quality, secrets
-from tracewell.llm.runtime import table, written
+from tracewell.llm.runtime import WORD, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,9 +25,18 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; documents without an id can't stand for a group and stay."""
+    """One document of each group, the smallest doc_id; repeated rows of that id and text are one document.
+
+    Texts without words are linked with nothing and stay, repeated or not; documents without an id can't stand
+    for a group and stay.
+    """
     kept = ngram_jaccard.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    held = docs.join(kept, "doc_id", "left_semi")
+    # the join has dealt the rows by doc_id, which serves the window too
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], "text")
+    counted = held.withColumn("_repeat", F.row_number().over(same))
+    single = counted.where((F.col("_repeat") == 1) | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select(*docs.columns)
+    return single.unionByName(docs.where("doc_id is null"))
 
 
 def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

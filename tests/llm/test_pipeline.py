@@ -48,3 +48,12 @@ def test_every_stage(spark):
 def test_run(spark):
     rows = P.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def test_repeated_rows_are_one_document(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a", 33), (1, text, "a", 33), (2, text, "b", 33), (None, text, "a", 33), (5, "", "a", 0), (5, "", "a", 0), (6, None, None, None), (7, "other words that nobody else has here", "a", 38)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = P.distinct_documents(spark, docs, SF)
+    assert got.schema == docs.schema
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, text), (1, text), (5, ""), (5, ""), (6, ""), (7, rows[-1][1])]
