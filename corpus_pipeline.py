@@ -30,13 +30,14 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Texts without words are linked with nothing and stay, repeated or not; documents without an id can't stand
     for a group and stay.
     """
-    kept = ngram_jaccard.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    held = docs.join(kept, "doc_id", "left_semi")
-    # the join has dealt the rows by doc_id, which serves the window too
+    found = ngram_jaccard.near_duplicates(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), (F.count(F.lit(1)) > 1).alias("repeated"))
+    kept = written(found.where("kept").select("doc_id", "repeated"), "kept-ids")
+    single = docs.join(kept.where("not repeated"), "doc_id", "left_semi").select(*docs.columns)
+    # only ids that several rows have need their texts compared
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], "text")
-    counted = held.withColumn("_repeat", F.row_number().over(same))
-    single = counted.where((F.col("_repeat") == 1) | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select(*docs.columns)
-    return single.unionByName(docs.where("doc_id is null"))
+    counted = docs.join(kept.where("repeated"), "doc_id", "left_semi").withColumn("_repeat", F.row_number().over(same))
+    once = counted.where((F.col("_repeat") == 1) | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select(*docs.columns)
+    return single.unionByName(once).unionByName(docs.where("doc_id is null"))
 
 
 def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
