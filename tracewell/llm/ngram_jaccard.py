@@ -318,9 +318,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
         .select("token", "set_key", "n", (F.col("n") - F.col("m")).alias("unshared"), (F.col("n") - F.col("m") + F.col("p")).alias("pos")),
         "shingle-prefixes",
     )
-    labels = linked_classes(classes, prefix, percent)
+    # tables of a row per linked class or component: both joins are then of plain scans, whose hot keys Spark can split
+    labels = written(linked_classes(classes, prefix, percent), "class-labels")
     named = sets.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    smallest = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("component", "least")
+    members = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"))
+    smallest = written(members.where("members > 1").select("component", "least"), "smallest")
     return named.join(smallest, (named.component == smallest.component) & (named.n_shingles > 0), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
