@@ -33,3 +33,23 @@ def test_stage_keeps_columns(spark):
     want = quality.classify(docs, labels).where("predicted = 1").count()
     assert kept.schema == docs.schema and kept.count() == want
     assert kept.join(docs, docs.columns, "left_anti").where(F.col("text").isNotNull()).count() == 0
+
+
+def test_long_bad_texts_are_rejected(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    long = docs.where(F.length("text") > 8000).select("doc_id")
+    rows = quality.classify(docs, labels).join(labels, "doc_id").join(long, "doc_id").select("predicted", "quality").collect()
+    bad, good = ([r.predicted for r in rows if r.quality == q] for q in (0, 1))
+    assert len(bad) == 30 and sum(bad) <= 3
+    assert len(good) > 150 and all(good)
+
+
+def test_dictionaries_see_text_ends(spark):
+    """Good and bad texts that differ only behind their first 9,000 characters."""
+    start = " ".join(f"word{i * i % 997}" for i in range(1200))
+    ends = ["the river runs past quiet hills and old stone mills at dusk " * 40, "click now win cash prize free bonus casino jackpot deal hurry " * 40]
+    rows = [(i, start + " " + str(i) + ends[i % 2]) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    assert len(start) > 8000
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in quality.classify(docs, labels).collect())

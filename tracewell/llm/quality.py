@@ -1,7 +1,8 @@
 """Compression classifier: which of two zstandard dictionaries, of good or of bad text, shortens a text more.
 
 Dictionaries are trained on one half of a bounded sample of labelled rows, a logistic
-calibration of the size difference on the other half; every text is then compressed whole.
+calibration of the size difference on the other half. Every text is compressed from end to end, in
+equal blocks that each start afresh with the dictionary: the history of a long text would drown it.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.runtime import crc_fold, ship
+from tracewell.llm.runtime import crc_fold, ship, written
 
-#: Bounds of the sample that the model is fitted on: rows of each label, characters of each text.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 8000
+#: Bytes of a block, at most.
+BLOCK = 1000
+#: Bounds of the sample that the model is fitted on, for each label: rows, and blocks of them (from anywhere in
+#: the texts, those of least hash) for a dictionary. Sampled texts take part whole in the calibration.
+SAMPLE_ROWS, SAMPLE_BLOCKS = 3000, 16_000
 DICTIONARY_BYTES, LEVEL = 110_000, 3
 FEWEST = 16
 SCORED = "doc_id long, score double, good_bytes long, bad_bytes long"
@@ -53,21 +57,40 @@ def _features(good: int, bad: int, size: int) -> list[float]:
     return [(bad - good) / max(good, bad, 1), (bad - good) / (size + 1), good / (size + 1), math.log(size + 1)]
 
 
-def fit_texts(rows: list[tuple[int, str]]) -> Model:
-    """``rows``: (label, text) in a fixed order."""
-    half = {q: [t.encode() for label, t in rows if label == q] for q in (0, 1)}
-    total = len(half[0]) + len(half[1])
-    prior = len(half[1]) / total if total else 0.5
-    none = Model(b"", b"", (), (), (), prior)
-    if min(map(len, half.values())) < FEWEST:
-        return none
-    try:
-        books = [zstandard.train_dictionary(DICTIONARY_BYTES, half[q][0::2]).as_bytes() for q in (1, 0)]
-    except zstandard.ZstdError:
-        return none  # too little text for a dictionary
-    good, bad = map(_compressor, books)
-    x = np.array([_features(len(good.compress(t)), len(bad.compress(t)), len(t)) for q in (0, 1) for t in half[q][1::2]])
-    y = np.array([q for q in (0, 1) for _ in half[q][1::2]], dtype=float)
+def _blocks(raw: bytes) -> list[bytes]:
+    n = max(1, -(-len(raw) // BLOCK))
+    return [raw[i * len(raw) // n : (i + 1) * len(raw) // n] for i in range(n)]
+
+
+def _sizes(both: list[zstandard.ZstdCompressor], raw: bytes) -> list[int]:
+    blocks = _blocks(raw)
+    return [sum(len(c.compress(b)) for b in blocks) for c in both]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, text in enumerate(batch.column(1)):
+            blocks = _blocks(text.as_buffer().to_pybytes())
+            for at in range(0, len(blocks), 4096):
+                part = blocks[at : at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(part), pa.int32()), pa.array(part, pa.binary())], names=["quality", "block"])
+
+
+def _measured(good: bytes, bad: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = [_compressor(good), _compressor(bad)]
+        for batch in batches:
+            raws = [t.as_buffer().to_pybytes() for t in batch.column(2)]
+            sizes = [_sizes(both, raw) for raw in raws]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([s[k] for s in sizes], pa.int64()) for k in (0, 1)), pa.array(list(map(len, raws)), pa.int64())], names=["doc_id", "quality", "good", "bad", "size"])
+
+    return run
+
+
+def _calibrated(rows: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``rows``: (label, size by the good dictionary, by the bad one, plain size)."""
+    x = np.array([_features(*r[1:]) for r in rows])
+    y = np.array([r[0] for r in rows], dtype=float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     x = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(x.shape[1])
@@ -77,18 +100,40 @@ def fit_texts(rows: list[tuple[int, str]]) -> Model:
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return Model(*books, tuple(mean), tuple(scale), tuple(w), prior)
+    return mean, scale, w
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on labelled rows outside fold 0: of each label the ``sample_rows`` ids of least hash."""
+    spark = docs.sparkSession
+    ship(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (crc_fold(F.col("doc_id"), folds) != 0)).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("quality = 0").orderBy(*order).limit(sample_rows).union(known.where("quality = 1").orderBy(*order).limit(sample_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).where(F.length("text") > 0)
-    # the sample has at most 2 * sample_rows ids, so it can be broadcast and collected
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").collect()
-    return fit_texts([(r.quality, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.quality, r.text))])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    # the sample has at most 2 * sample_rows ids, so it can be broadcast; whole texts stay in the shared folder
+    sample = written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text"), "labelled-texts")
+    found = sorted((r.quality, r.doc_id) for r in sample.select("doc_id", "quality").distinct().collect())
+    half = {q: [i for label, i in found if label == q] for q in (0, 1)}
+    prior = len(half[1]) / len(found) if found else 0.5
+    none = Model(b"", b"", (), (), (), prior)
+    if min(map(len, half.values())) < FEWEST:
+        return none
+    part = F.broadcast(spark.createDataFrame([(i, q, n % 2) for q in (0, 1) for n, i in enumerate(half[q])], "doc_id long, quality int, part int"))
+    halves = sample.join(part, ["doc_id", "quality"])
+    cut = halves.where("part = 0").select("quality", "text").mapInArrow(_cut, "quality int, block binary")
+    books = []
+    for q in (1, 0):
+        blocks = cut.where(F.col("quality") == q).orderBy(F.xxhash64("block"), "block").limit(SAMPLE_BLOCKS).collect()
+        try:
+            books.append(zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.block) for r in blocks]).as_bytes())
+        except zstandard.ZstdError:
+            return none  # too little text for a dictionary
+    measured = halves.where("part = 1").select("doc_id", "quality", "text").mapInArrow(_measured(*books), "doc_id long, quality int, good long, bad long, size long")
+    # an id whose rows differ counts once, as at most sample_rows rows of a label may reach the driver
+    rows = measured.groupBy("doc_id", "quality").agg(F.min(F.struct("good", "bad", "size")).alias("sizes")).select("quality", "doc_id", "sizes.*").collect()
+    mean, scale, w = _calibrated([(r.quality, r.good, r.bad, r.size) for r in sorted(rows)])
+    return Model(*books, tuple(mean), tuple(scale), tuple(w), prior)
 
 
 def _score(model: Model, carry: list[str]):
@@ -98,7 +143,7 @@ def _score(model: Model, carry: list[str]):
             scores, goods, bads = [], [], []
             for text in batch.column(batch.num_columns - 1):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                good, bad = (len(c.compress(raw)) for c in both) if both else (0, 0)
+                good, bad = _sizes(both, raw) if both else (0, 0)
                 goods.append(good)
                 bads.append(bad)
                 scores.append(model.score(_features(good, bad, len(raw))) if both else model.prior)
