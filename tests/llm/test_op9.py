@@ -57,3 +57,44 @@ def test_redact(spark):
     assert got[1].text == "a [SECRET], b [SECRET]" and got[1].n_chars == len(got[1].text)
     assert got[2].text is None and got[3].text == "clean" and got[3].n_chars == 5
     assert secrets.redact(docs).schema == docs.schema
+
+
+CLEAN = [
+    "The compass is pointing north", "this bypass is dangerous", "the token is refreshed", "Your password is required", "the shopping is finished",
+    "Das Token: erneuert", "die PIN: erforderlich", "le pass : obligatoire", "la pin : nécessaire", "el pin: necesario", "el pass: obligatorio",
+]
+PROSE = [
+    "every north wind kept pointing at what is dangerous and refreshed what was required until it was finished", "Das Passwort wird erneuert und ist erforderlich",
+    "une copie est nécessaire et obligatoire", "es necesario y obligatorio",
+]
+
+
+def test_clean_sentences_hold_no_secret(spark):
+    leaks = ["pwd is Xq7#v!Zp29$kLm", "pwd is kvxqzjwpmh", "dbPassword is Xq7#v!Zp29$kLm"]
+    rows = [*PROSE * 3, *CLEAN, *leaks * 3]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    clean = [i for i, t in enumerate(rows) if t in CLEAN and "token:" not in t.lower()]
+    assert [got[i] for i in clean] == [rows[i] for i in clean]
+    # 'token:' and the like are fixed patterns; only the guessed kind depends on words
+    assert not any("guess" in r.spans for r in secrets.scan(docs).collect() if rows[r.doc_id] in CLEAN)
+    assert all("[SECRET]" in got[i] for i, t in enumerate(rows) if t in leaks)
+
+
+def test_keyword_boundary():
+    for text in ("the compass is Xq7#v!Zp29$kLm", "éspin: Xq7#v!Zp29$kLm", "overpass = Xq7#v!Zp29$kLm"):
+        assert not secrets.spans(text.encode())
+    for text in ("pass is Xq7#v!Zp29$kLm", "db_pwd: Xq7#v!Zp29$kLm", "dbPwd: Xq7#v!Zp29$kLm", "1pin: Xq7#v!Zp29$kLm"):
+        assert [k for _, k, _ in secrets.spans(text.encode())] == ["guess"]
+
+
+def test_words_come_from_all_documents(spark):
+    words = secrets.common_words(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert 1000 < len(words) <= secrets.MOST_WORDS + len(secrets.RANK)
+    assert secrets.RANK.items() <= words.items()
+
+
+def test_word_list_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_WORDS", 300)
+    words = secrets.common_words(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert 290 <= len(words.keys() - secrets.RANK.keys()) <= 300

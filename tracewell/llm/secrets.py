@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and passwords whose guess cost is high where credentials stand.
 
 The guess cost of a value is the least sum over its segmentations into common words, dates,
-repeats, sequences, keyboard walks and brute-force characters, in powers of ten.
+repeats, sequences, keyboard walks and brute-force characters, in powers of ten. Common words
+are a short fixed list and the words that most documents hold, whatever their language.
 """
 
 from __future__ import annotations
@@ -10,20 +11,23 @@ import hashlib
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.kernels import LOWER
-from tracewell.llm.runtime import ship
+from tracewell.llm.runtime import ship, written
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|auth|credentials?|private[_-]?key|access[_-]?key)["']?(?:\x20+is|\x20*[:=])\x20*(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"']{6,}))""", re.ASCII)
+#: A keyword starts after a non-letter, or as a capital after a small letter (dbPassword); compass and shopping hold none.
+CONTEXT = re.compile(r"""(?:(?u:(?<![^\W\d_]))|(?<=[a-z])(?=[A-Z]))(?i:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|auth|credentials?|private[_-]?key|access[_-]?key)["']?(?:\x20+is|\x20*[:=])\x20*(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"']{6,}))""", re.ASCII)
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses, as a power of ten, from which a value in a credential context counts as a secret.
 STRONG = 9.0
@@ -36,7 +40,9 @@ COMMON = (
     "access pass word key the and for you are not with this that from have your home time life best good happy"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+#: Words of documents: letters of a word, documents that hold it at least, and how many of the most frequent are used.
+WORD = re.compile(r"[^\W\d_]+")
+SHORTEST, LONGEST, FEWEST, MOST_WORDS = 4, 32, 2, 100_000
 LEET = str.maketrans("@4301$5!7", "aaeolssit")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 AT = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
@@ -62,7 +68,7 @@ def _run_ends(n: int, goes_on: Callable[[int], bool]) -> list[int]:
     return ends
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: dict[str, int] = RANK) -> float:
     """log10 of the guesses for the cheapest segmentation, in time that grows with the length of the value."""
     n, low = len(value), value.lower()
     low = low if len(low) == n else value
@@ -85,7 +91,7 @@ def guess_cost(value: str) -> float:
         best[i + 1] = min(best[i + 1], best[i] + _alphabet(value[i]))
         reached = []
         for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+            rank = words.get(low[i:j]) or words.get(plain[i:j])
             if rank:
                 as_listed = value[i:j] == low[i:j] == plain[i:j]
                 reached.append((j, math.log10(rank + 1) + (0.0 if as_listed else 0.6)))
@@ -107,12 +113,20 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def spans(raw: bytes) -> list[tuple[int, str, int]]:
+def _named(low: bytes) -> bool:
+    return any(k in low for k in (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"))
+
+
+def _in_context(low: bytes) -> bool:
+    return _named(low) or ((b":" in low or b"=" in low or b" is " in low) and any(k in low for k in (b"pass", b"pwd", b"pin", b"auth", b"credential", b"key")))
+
+
+def spans(raw: bytes, words: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
     """(start, kind, end) in code points, sorted by start, then kind as in ``KINDS``."""
     low = raw.translate(LOWER)
-    named = any(k in low for k in (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"))
+    named = _named(low)
     access, hexed = b"AKIA" in raw, b"x" * 32 in raw.translate(HEXED)
-    context = named or ((b":" in raw or b"=" in raw or b" is " in low) and any(k in low for k in (b"pass", b"pwd", b"pin", b"auth", b"credential", b"key")))
+    context = _in_context(low)
     if not (named or access or hexed or context):
         return []
     text = raw.decode()
@@ -131,11 +145,60 @@ def spans(raw: bytes) -> list[tuple[int, str, int]]:
             start, end = m.span(group)
             value = m[group].rstrip(".,;:!?)")
             end = start + len(value)
-            if len(value) >= 6 and reach[bisect_left(starts, end)] <= start and guess_cost(value) >= STRONG:
+            if len(value) >= 6 and reach[bisect_left(starts, end)] <= start and guess_cost(value, words) >= STRONG:
                 found.append((start, 3, end))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
 
+def _held(raw: bytes) -> set[str]:
+    """Words of a text, without values that stand in credential contexts: a leaked password must not become common."""
+    text = raw.decode()
+    if _in_context(raw.translate(LOWER)):
+        at, parts = 0, []
+        for m in CONTEXT.finditer(text):
+            start, end = m.span(m.lastindex)
+            parts.append(text[at:start])
+            at = end
+        text = " ".join([*parts, text[at:]])
+    return {w for w in WORD.findall(text.lower()) if SHORTEST <= len(w) <= LONGEST}
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = Counter()
+        for text in batch.column(0):
+            if text.is_valid:
+                counts.update(_held(text.as_buffer().to_pybytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+
+def common_words(docs: DataFrame) -> dict[str, int]:
+    """Rank by word: the fixed list, then of all words of ``docs`` the ``MOST_WORDS`` that most documents hold.
+
+    No more than those reach the driver: a count of words by document frequency says from where on they fit,
+    and of the words with the next lower frequency those of least hash fill the list, to within one of 1,024 parts.
+    """
+    ship(docs.sparkSession)
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = written(counted.where(F.col("n") >= FEWEST).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(1024)).cast("int")), "word-counts")
+    least, room = _from(counted.groupBy("n").count().orderBy(F.desc("n")).collect(), MOST_WORDS)
+    parts = counted.where(F.col("n") == least).groupBy("part").count().orderBy("part").collect() if least else []
+    part, _ = _from(parts, room)
+    fits = F.col("n") > least if least else F.lit(True)
+    chosen = counted.where(fits | ((F.col("n") == least) & (F.col("part") < part))) if part else counted.where(fits)
+    rows = sorted((-r.n, r.word) for r in chosen.collect())
+    return {w: i for i, (_, w) in enumerate(rows, len(COMMON) + 1)} | RANK
+
+
+def _from(counts: list, room: int) -> tuple[int | None, int]:
+    """The first group of (group, count) that doesn't fit into ``room`` with all before it, and the room that is left."""
+    for group, count in counts:
+        if count > room:
+            return group, room
+        room -= count
+    return None, room
+
+
 def _joined(found: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in found)
 
@@ -144,16 +207,19 @@ SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 st
 FIELDS = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = spans(text.as_buffer().to_pybytes()) if text.is_valid else []
-            base = [f for f in found if f[1] != "guess"]
-            kinds = [k for _, k, _ in base]
-            rows.append((doc_id, *(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FIELDS.types, strict=True)], schema=FIELDS)
+def _scan(words: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = spans(text.as_buffer().to_pybytes(), words.value) if text.is_valid else []
+                base = [f for f in found if f[1] != "guess"]
+                kinds = [k for _, k, _ in base]
+                rows.append((doc_id, *(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FIELDS.types, strict=True)], schema=FIELDS)
+
+    return run
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -161,11 +227,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Spans are kind:start:end in code points, comma-joined, by start and then kind. Other columns are ignored.
     """
-    ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, SCANNED)
+    words = docs.sparkSession.sparkContext.broadcast(common_words(docs))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(words), SCANNED)
 
 
-def _redact(mask: str):
+def _redact(mask: str, words: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -173,7 +239,7 @@ def _redact(mask: str):
                 if not text.is_valid:
                     out.append(None)
                     continue
-                found = spans(text.as_buffer().to_pybytes())
+                found = spans(text.as_buffer().to_pybytes(), words.value)
                 if not found:
                     out.append(text.as_py())
                     continue
@@ -190,9 +256,9 @@ def _redact(mask: str):
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mask``, and n_chars set to the new length if there is such a column."""
-    ship(docs.sparkSession)
+    words = docs.sparkSession.sparkContext.broadcast(common_words(docs))
     row = F.struct(*docs.columns)
     kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
-    done = docs.select(row.alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_redact(mask), f"row {kind}, text string")
+    done = docs.select(row.alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(_redact(mask, words), f"row {kind}, text string")
     length = F.length("text").cast("long")
     return done.select(*[F.col("text") if c == "text" else F.when(F.col("text") == F.col("row.text"), F.col("row.n_chars")).otherwise(length).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
