@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import Row
 
-from tracewell.llm.ngram_jaccard import near_duplicates
+from tracewell.llm.ngram_jaccard import link_counts, near_duplicates
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -69,3 +69,15 @@ def test_chain_and_odd_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).count() == 0
+
+
+def test_all_links_of_a_group(spark):
+    """Edits of one text: each pair is a link, also between two that aren't the leader; an equal text counts as a link too."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 200, 16)]
+    texts += [texts[0], " ".join(base), "alone here with other words altogether", "", None]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    want = {i: sum(i != j and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)}
+    assert sum(want.values()) > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in link_counts(docs).collect()} == want

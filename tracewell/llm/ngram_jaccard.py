@@ -40,6 +40,8 @@ SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key"
 SETS_DDL = "doc_id long, n_shingles long, set_key string, shared array<long>, shape array<int>"
 #: Parts of the suffix filter: shared shingles are counted by this many hash ranges.
 PARTS = 16
+#: Parts that the classes of one prefix shingle are dealt to where all pairs are wanted.
+SALTS = 8
 
 
 def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -303,6 +305,18 @@ def linked_classes(classes: DataFrame, prefix: DataFrame, percent: int) -> DataF
     return labels
 
 
+def _prepared(docs: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Shingle sets by document, classes of equal sets that can have partners, and the prefixes of those."""
+    sets = written(shingle_table(docs, percent, shingle), "shingle-sets")
+    classes = written(class_table(sets, percent), "shingle-classes")
+    prefix = written(
+        classes.select("set_key", "n", F.size("shared").cast("long").alias("m"), F.posexplode(F.expr(f"slice(shared, 1, int(size(shared) - (n * {percent} + 99) div 100 + 1))")).alias("p", "token"))
+        .select("token", "set_key", "n", (F.col("n") - F.col("m")).alias("unshared"), (F.col("n") - F.col("m") + F.col("p")).alias("pos")),
+        "shingle-prefixes",
+    )
+    return sets, classes, prefix
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """Link documents whose shingle sets have Jaccard likeness of at least percent / 100; group by links.
 
@@ -311,13 +325,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     kept and get the smallest doc_id that they reach, or null. Repeated rows each return.
     An empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
-    sets = written(shingle_table(docs, percent, shingle), "shingle-sets")
-    classes = written(class_table(sets, percent), "shingle-classes")
-    prefix = written(
-        classes.select("set_key", "n", F.size("shared").cast("long").alias("m"), F.posexplode(F.expr(f"slice(shared, 1, int(size(shared) - (n * {percent} + 99) div 100 + 1))")).alias("p", "token"))
-        .select("token", "set_key", "n", (F.col("n") - F.col("m")).alias("unshared"), (F.col("n") - F.col("m") + F.col("p")).alias("pos")),
-        "shingle-prefixes",
-    )
+    return _grouped(*_prepared(docs, percent, shingle), percent)
+
+
+def _grouped(sets: DataFrame, classes: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
     # tables of a row per linked class or component: both joins are then of plain scans, whose hot keys Spark can split
     labels = written(linked_classes(classes, prefix, percent), "class-labels")
     named = sets.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
@@ -326,6 +337,38 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Dat
     return named.join(smallest, (named.component == smallest.component) & (named.n_shingles > 0), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def class_links(classes: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b), a < b, of classes that are at least percent / 100 alike, whether or not a component joins them already.
+
+    The classes of a prefix shingle are dealt to ``SALTS`` parts, and each part meets all of them, so that a
+    shingle of many classes is many tasks' work. g near copies are g * (g - 1) / 2 pairs.
+    """
+    salts = F.explode(F.array(*map(F.lit, range(SALTS))))
+    rows = prefix.select("token", "set_key", "n", "pos", F.col("set_key").alias("label"))
+    keyed = [rows.withColumn("salt", salt).withColumn("token", F.concat_ws(":", "token", "salt")) for salt in (F.pmod(F.xxhash64("set_key"), F.lit(SALTS)), salts)]
+    return _checked(_met(*keyed, percent, lambda x, y: x < y), classes, percent).where("linked").select("a", "b")
+
+
+def near_pairs(docs: DataFrame, percent: int = 80, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b) between classes of equal shingle sets, and membership (doc_id, n_shingles, set_key).
+
+    Two documents are linked if they share a class or their classes are a pair. Documents without shingles are linked with none.
+    """
+    sets, classes, prefix = _prepared(docs, percent, shingle)
+    return written(class_links(classes, prefix, percent), "class-links"), sets.select("doc_id", "n_shingles", "set_key")
+
+
+def link_counts(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles and n_links, how many other rows it is linked with."""
+    pairs, members = near_pairs(docs, percent, shingle)
+    sizes = written(members.where("n_shingles > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("members")), "class-sizes")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beyond = both.join(sizes, both.b == sizes.set_key).groupBy("a").agg(F.sum("members").alias("beyond"))
+    counts = written(sizes.join(beyond, sizes.set_key == beyond.a, "left").select("set_key", (F.col("members") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links")).where("n_links > 0"), "link-counts")
+    linked = F.when(F.col("n_shingles") > 0, F.col("n_links"))
+    return members.join(counts, "set_key", "left").select("doc_id", "n_shingles", F.coalesce(linked, F.lit(0)).cast("long").alias("n_links"))
+
+
 #: The rows of ``near_duplicates`` on ``documents``, by comparing all sets that share a shingle.
 ORACLE = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -337,3 +380,9 @@ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY ALL) m USING (doc_id)
 """
+
+#: The rows of ``link_counts`` on ``documents``.
+LINKS_ORACLE = (
+    ORACLE[: ORACLE.index(",\nr(a, b)")].replace("WITH RECURSIVE", "WITH")
+    + " SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.n_links, 0) AS n_links FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY ALL) k USING (doc_id)"
+)

@@ -32,6 +32,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.link_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -57,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": ngram_jaccard.ORACLE, "op7_warc": warc.ORACLE}
+    return {"op5_ngram_jaccard_join": ngram_jaccard.ORACLE, "op5_ngram_jaccard_links": ngram_jaccard.LINKS_ORACLE, "op7_warc": warc.ORACLE}
