@@ -273,6 +273,41 @@ def _values(name: str, column: str, kind: str, rows: list, out: dict[str, Callab
     cast = {"long": "BIGINT", "string": "VARCHAR", "int": "INTEGER"}[kind]
     inline = ", ".join(f"(CAST({_sql(r)} AS {cast}))" for r in rows)
     query(f"WITH v({column}) AS (VALUES {inline}) SELECT {column}, {', '.join(f'{s} AS {n}' for n, s in sql.items())} FROM v")(run)
+    _over_events(name, column, out, sql)
+
+
+#: Inputs of the same functions from every row of ``events``; both engines read these expressions ({us}: microseconds since 1970).
+INPUTS = {
+    "filetime_roundtrip": "CASE WHEN k % 11 = 0 THEN -1 - k WHEN k % 13 = 0 THEN NULL ELSE ({us}) * 10 + 116444736000000000 + k % 10 END",
+    "iso8601_parse": "CASE k % 5 WHEN 0 THEN concat(stamp, 'Z') WHEN 1 THEN concat(' ', stamp, CAST(user_id % 10 AS STRING), 'Z ') WHEN 2 THEN concat(stamp, '+02:00') WHEN 3 THEN stamp ELSE concat('noon ', CAST(k AS STRING)) END",
+    "dos_datetime_parse": "CAST((year(ts) - 1980) * 33554432 + (CASE WHEN k % 9 = 0 THEN 0 ELSE month(ts) END) * 2097152 + day(ts) * 65536 + hour(ts) * 2048 + minute(ts) * 32 + k % 30 AS BIGINT)",
+    "windows_suffix": "concat('C:', chr(92), 'd', CAST(k % 7 AS STRING), CASE k % 3 WHEN 0 THEN '/' ELSE chr(92) END, CASE k % 4 WHEN 0 THEN '.' ELSE 'f' END, CAST(user_id AS STRING), CASE k % 5 WHEN 0 THEN '.SQL' WHEN 1 THEN '.tar.zip' WHEN 2 THEN concat('.x', chr(92)) WHEN 3 THEN '' ELSE concat('.', event_type) END)",
+    "device_key_parse": "concat(CASE k % 2 WHEN 0 THEN 'Disk' ELSE 'CdRom' END, CASE WHEN k % 5 = 0 THEN '' ELSE concat('&Ven_V_', CAST(user_id AS STRING)) END, '&Prod_', event_type, '&Rev_', CAST(k AS STRING))",
+    "generated_serial_flag": "concat(CAST(k % 20 AS STRING), CASE WHEN user_id % 3 = 0 THEN '&' ELSE '' END, CAST(user_id AS STRING), '&0')",
+    "drive_type_lookup": "CAST(CASE WHEN k % 13 = 0 THEN NULL ELSE k % 9 - 1 END AS INT)",
+    "appid_lookup": "CASE k % 3 WHEN 0 THEN '1b4dd67f29cb1962' WHEN 1 THEN '5b0a6ed0f523a518' ELSE CAST(user_id AS STRING) END",
+    "attribute_bits": "CAST((k * 331 + user_id) % 65536 AS BIGINT)",
+    "volume_guid_extract": "CASE k % 3 WHEN 0 THEN concat(chr(92), '??', chr(92), 'Volume{', CAST(user_id AS STRING), '-', CAST(k AS STRING), '}') WHEN 1 THEN concat(chr(92), 'DosDevices', chr(92), chr(CAST(65 + user_id % 26 AS INT)), ':') ELSE concat('{open', CAST(k AS STRING)) END",
+    "device_path_normalize": "concat(CASE k % 3 WHEN 0 THEN concat(chr(92), '??', chr(92), 'USBSTOR#') WHEN 1 THEN concat('usbstor', chr(92)) ELSE 'none' END, 'Disk&Ven_', event_type, CASE k % 2 WHEN 0 THEN '#' ELSE chr(92) END, 'S', CAST(user_id AS STRING), CASE WHEN k % 5 = 0 THEN '#{guid}' ELSE '' END)",
+    "artifact_classify": "concat(CASE k % 5 WHEN 0 THEN '72656766AA' WHEN 1 THEN '456C6646696C6500' WHEN 2 THEN '4C0000000102' WHEN 3 THEN 'D0CF11E0A1B11AE1' ELSE '0011' END, '|f', CAST(k AS STRING), CASE user_id % 5 WHEN 0 THEN '.evtx' WHEN 1 THEN '.EVTX' WHEN 2 THEN '.lnk' WHEN 3 THEN '.automaticDestinations-ms' ELSE '.txt' END)",
+    "evtx_event_filter": "CASE k % 8 WHEN 0 THEN 'UserMode|2003' WHEN 1 THEN 'UserMode|2100' WHEN 2 THEN 'UserMode|2102' WHEN 3 THEN 'PnP|20001' WHEN 4 THEN 'PnP|20003' WHEN 5 THEN 'Auditing|4663' ELSE concat('Auditing|', CAST(30000 + user_id AS STRING)) END",
+}
+#: What the inline query lists as literals, computed.
+COMPUTED = {"iso8601_parse": {"iso": "CASE WHEN trim(text) LIKE '%Z' THEN " + ISO.format("CAST(left(trim(text), 26) AS TIMESTAMP)") + " WHEN text LIKE '%+02:00' THEN " + ISO.format("(CAST(left(text, 26) AS TIMESTAMP) - INTERVAL 2 HOUR)") + " END"}}
+
+
+def _over_events(name: str, column: str, out: dict[str, Callable[[Column], Column]], sql: dict[str, str]) -> None:
+    """The same functions over the whole ``events`` table, as a query of its own."""
+
+    def run(spark, sf):
+        e = spark.read.parquet(f"{sf}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("stamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        made = e.select("event_id", F.expr(INPUTS[name].replace("{us}", "unix_micros(CAST(ts AS TIMESTAMP))")).alias(column))
+        return made.select("event_id", column, *[f(F.col(column)).alias(n) for n, f in out.items()])
+
+    run.__name__ = f"{name}_events"
+    made = INPUTS[name].replace("{us}", "epoch_us(ts)")
+    raw = "SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS stamp FROM events"
+    query(f"WITH raw AS ({raw}), v AS (SELECT event_id, {made} AS {column} FROM raw) SELECT event_id, {column}, {', '.join(f'{s} AS {n}' for n, s in COMPUTED.get(name, sql).items())} FROM v")(run)
 
 
 _values("filetime_roundtrip", "ticks", "long", [0, 9, 10, 116444736000000000, 133486419060000000, 2650467743999999999, -1, None], {"iso": lambda c: timestamps.isoformat(timestamps.filetime(c, strict=False))}, {"iso": f"CASE WHEN ticks BETWEEN 0 AND 2650467743999999999 THEN {ISO.format('make_timestamp(ticks // 10 - 11644473600000000)')} END"})
