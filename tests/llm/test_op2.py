@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -53,3 +54,11 @@ def test_dictionaries_see_text_ends(spark):
     labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
     assert len(start) > 8000
     assert all(r.predicted == 1 - r.doc_id % 2 for r in quality.classify(docs, labels).collect())
+
+
+def test_stage_without_model_keeps_all(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(40)] + [(None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i > 30)) for i in range(40)], "doc_id long, quality int")
+    with pytest.warns(UserWarning, match="all documents are kept"):
+        kept = quality.keep_good(docs, labels)
+    assert kept.count() == 41

@@ -8,6 +8,7 @@ equal blocks that each start afresh with the dictionary: the history of a long t
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -169,9 +170,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; columns as they are."""
+    """``docs`` without the rows that the classifier rejects; columns as they are.
+
+    Where no model can be fitted, for want of labels or text, nothing is known of any row: all stay, with a warning.
+    """
     ship(docs.sparkSession)
     model = fit(docs, labels, folds)
+    if not model.good:
+        warnings.warn("quality: no model could be fitted, so all documents are kept", stacklevel=2)
+        return docs
     columns = docs.columns
     held = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"))
     schema = f"row {docs.select(F.struct(*columns).alias('row')).schema['row'].dataType.simpleString()}, score double, good_bytes long, bad_bytes long"
