@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -6,7 +7,7 @@ import public_tokenizers as P
 from pyspark.sql import Row
 from tokenizers import Tokenizer
 
-from tracewell.llm.packing import CAPACITY, cuts, pack
+from tracewell.llm.packing import CAPACITY, Words, cuts, pack
 
 
 def check(rows, got):
@@ -49,6 +50,23 @@ def test_odd_rows(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_ids_are_the_tokenizers():
+    """Random texts of letters of many scripts, combining marks, digits, punctuation and special tokens."""
+    path = P.path("word_bpe_49k.json")
+    plain, words, rng = Tokenizer.from_file(path), Words(path), random.Random(11)
+    parts = [*"aZ\u0130\u0131\u015e\u00df\u00c9\u00e9\u01c5\u1e9e\u03a3\u03c2\u0416\u05d0\u0627\u4e2d\uac00\u1100\u1161\u2126\u212a", *"\u0301\u0307\u0327\u0345\u200d\ufe0f", *"019\u00bd\u0665", *".,;:!?'\"&-_()/", "'s", "'LL", " ", " ", "\n", "\t", "\x1f", "\u00a0", "\u2028", "<|endoftext|>", "<|startoftext|>", "<|"]
+    texts = ["T\u00dcRK\u0130YE'DEK\u0130.", "\u015e\u0130RKET\u0130, yeni", "X&\u0130!"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    wrong = [t for t in texts if struct.pack(f"<{len(ids := plain.encode(t, add_special_tokens=False).ids)}I", *ids) != words.ids(t.encode())]
+    assert not wrong, wrong[:5]
+
+
+def test_repeated_rows_are_packed_each(spark):
+    rows = [(i % 3, "one two three four") for i in range(60)] + [(None, "x y")] * 7
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 67 and sum(r.length for r in got) == 60 * 5 + 7 * 3
+
+
 def test_cuts():
     for n in range(1, 3 * CAPACITY):
         pieces = cuts(n)

@@ -42,6 +42,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _ends_word(c: str) -> bool:
+    """Whether punctuation behind ``c`` is a token of its own: a Latin letter that is a letter in lower case too.
+
+    Lower-casing U+0130 leaves a combining dot, which the pre-tokenizer joins to the punctuation.
+    """
+    return c.isalpha() and c < "\u0250" and unicodedata.normalize("NFC", c.lower())[-1].isalpha()
+
+
 class Words(dict):
     """Token ids of white-space separated chunks, packed as little-endian unsigned 32-bit.
 
@@ -56,7 +64,7 @@ class Words(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if len(chunk) > 1 and text[-1] in ".,;:!?" and text[-2].isalpha():
+        if len(chunk) > 1 and text[-1] in ".,;:!?" and _ends_word(text[-2]):
             ids = self[text[:-1].encode()] + self[chunk[-1:]]
         elif text.isalpha() and max(text) < "\u0250" and text == text.lower() and unicodedata.is_normalized("NFC", text):
             # one word that normalising leaves as it is: straight to the merges, at a quarter of the cost
