@@ -3,29 +3,32 @@
 Each source's documents are shuffled by hash and laid end to end; the stream is read up to three
 times and cut into blocks of equal tokens. Slot t of the mix takes the golden-ratio point of t,
 which falls into one source's part of the cumulative weights; the k-th slot of a source gets
-its k-th block. Any stretch of slots so holds every source near its weight. DataFrame
-functions only; no text is moved, only ids and sizes.
+its k-th block. Any stretch of slots so holds every source near its weight, and the mixed documents
+are delivered in the order of their slots. DataFrame functions only; ``mix`` moves no text, only
+ids and sizes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.numbering import running
+from tracewell.llm.numbering import ranged, running
 from tracewell.llm.runtime import WORD, written
 
 BLOCK = 256
 CAP = 3
 #: The golden ratio's fraction of 2^32, and the parts into which points are dealt.
 GOLDEN, POINTS, CELL = 2654435769, 1 << 32, 1 << 20
+#: Slots that are counted together.
 BUCKET = 4096
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the number of words (null text: 0)."""
+def sized(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """row, doc_id, source, mark (a hash of the text) and size: the number of words (null text: 0)."""
+    row = F.monotonically_increasing_id() if row is None else row
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
+    return docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("mark"), words.alias("size"))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -69,51 +72,57 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 def _placed(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Rows with size > 0 and where they begin in the shuffled stream of their source."""
     named = targets.where("take > 0").select(F.col("source").alias("_source"), "number", "take", F.col("source_size").alias("length"))
-    numbered = sizes.where("size > 0").join(named, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "number", "take", "length")
-    buckets = max(1, sizes.count() // BUCKET)
-    hashed = numbered.withColumn("hash", F.xxhash64("doc_id", "number")).withColumn("part", F.pmod("hash", F.lit(buckets)))
-    return running(hashed, ["number"], "part", [F.col("hash"), F.col("doc_id"), F.col("size")], F.col("size"), "begin")
+    numbered = sizes.where("size > 0").join(named, F.col("source").eqNullSafe(F.col("_source"))).select("row", "size", "number", "take", "length", F.xxhash64("doc_id", "mark", "number").alias("place"))
+    dealt = ranged(numbered, ["number", "place"], "ranged")
+    return running(dealt, ["number"], "part", [F.col("place"), F.col("row")], F.col("size"), "begin")
 
 
 def pieces(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix: (slot, number, begin, doc_id, first, words), words ``first`` onwards of a document in a slot."""
+    """The mix: (slot, row, lap, size, first, words), words ``first`` onwards of a document's ``lap``-th copy in a slot."""
     laps = placed.withColumn("lap", F.explode(F.expr("sequence(0L, (take - 1) div length)"))).withColumn("low", F.col("lap") * F.col("length") + F.col("begin"))
     laps = laps.withColumn("high", F.least(F.col("low") + F.col("size"), F.col("take"))).where("low < high")
     cut = laps.withColumn("rank", F.explode(F.expr(f"sequence(low div {block}, (high - 1) div {block})")))
     start, end = F.greatest("low", F.col("rank") * block), F.least("high", (F.col("rank") + 1) * block)
-    return cut.join(slots, ["number", "rank"]).select("slot", "number", "begin", "doc_id", (start - F.col("low")).alias("first"), (end - start).alias("words"))
+    return cut.join(slots, ["number", "rank"]).select("slot", "row", "lap", "size", (start - F.col("low")).alias("first"), (end - start).alias("words"))
+
+
+def _mixed_pieces(docs: DataFrame, block: int, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sizes = written(sized(docs, row), "sizes")
+    targets = written(source_targets(sizes), "targets")
+    return sizes, targets, pieces(written(_placed(sizes, targets), "placed"), schedule(targets, block), block)
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, source_size, target (of its source) and taken, the words that the mix takes.
+    """Per row of ``docs``: doc_id, size, source_size, target (of its source), taken (the words that the mix takes), first_slot and slots.
 
-    Texts that are null or without words have size 0 and give nothing; a null source is a source, last in order.
-    A source's taken words are its target, rounded. Ties in the shuffle go by doc_id and size; repeated rows are
-    documents of their own. Other columns are ignored; an empty table gives an empty result.
+    ``first_slot`` is the slot of the schedule where the document first appears, null if nothing of it is taken, and ``slots``
+    how many slots hold words of it, counted for each copy. Texts that are null or without words have size 0 and give nothing; a null source is a
+    source, last in order. A source's taken words are its target, rounded. The shuffle goes by doc_id and text; rows equal in
+    both, repeated rows, are documents of their own. Other columns are ignored; an empty table gives an empty result.
     """
-    sizes = written(sized(docs), "sizes")
-    targets = written(source_targets(sizes), "targets")
-    placed = written(_placed(sizes, targets), "placed")
-    taken = pieces(placed, schedule(targets, block), block).groupBy("number", "begin").agg(F.sum("words").alias("taken"))
-    given = placed.join(taken, ["number", "begin"], "left").join(targets, "number").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    named = targets.withColumnRenamed("source", "_source")
-    nothing = sizes.join(named, F.col("source").eqNullSafe(F.col("_source"))).where("size = 0 or take = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return given.unionByName(nothing)
+    sizes, targets, parts = _mixed_pieces(docs, block)
+    taken = parts.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("slots"))
+    named = targets.select(F.col("source").alias("_source"), "source_size", "target")
+    every = sizes.join(named, F.col("source").eqNullSafe(F.col("_source"))).join(taken, "row", "left")
+    none = F.lit(0).cast("long")
+    return every.select("doc_id", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), "first_slot", F.coalesce("slots", none).alias("slots"))
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mixed documents: each whole text as often as it is taken whole, and the first words of one taken in part.
+    """The mixed documents in the order of the schedule: a copy of a document stands where its first word has its slot.
 
-    Columns as in ``docs``; n_chars follows a text that is cut. Words of a cut text are joined by single spaces.
+    Each whole text as often as it is taken whole, and the first words of one taken in part. Columns as in ``docs``; n_chars
+    follows a text that is cut. Words of a cut text are joined by single spaces. Texts that are null, empty or without words are
+    not taken. Repeated rows are taken each for itself. An empty table gives an empty result.
     """
-    taken = mix(docs, block).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).groupBy("_id", "_size").agg(F.max("_taken").alias("_most"), F.min("_taken").alias("_least"))
-    # repeated rows of one doc_id and size: all are taken as often as the one taken least
-    words = F.regexp_count(F.col("text"), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("_n", F.coalesce(words, F.lit(0)))
-    joined = rows.join(taken, rows.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
-    copies = joined.withColumn("_copy", F.explode(F.expr("sequence(0L, (_least - 1) div _size)"))).withColumn("_keep", F.least(F.col("_size"), F.col("_least") - F.col("_copy") * F.col("_size")))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_keep").cast("int")), " ")
-    cut = copies.withColumn("text", F.when(F.col("_keep") < F.col("_size"), part).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_keep") < F.col("_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    names = docs.columns
+    # a stored number for each row, so that both its uses agree whatever ``docs`` is
+    rows = written(docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    _, _, parts = _mixed_pieces(rows.select("doc.doc_id", "doc.source", "doc.text", "row"), block, F.col("row"))
+    copies = parts.groupBy("row", "lap", "size").agg(F.sum("words").alias("keep"), F.min(F.struct("slot", "first")).alias("at"))
+    joined = rows.join(copies, "row").orderBy("at.slot", "row", "lap")
+    whole = F.col("keep") == F.col("size")
+    part = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("keep").cast("int")), " ")
+    text = F.when(whole, F.col("doc.text")).otherwise(part)
+    changed = {"text": text, "n_chars": F.when(whole, F.col("doc.n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in names else None}
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.runtime import width, written
+
+
+def ranged(rows: DataFrame, keys: list[str], label: str, out: str = "part") -> DataFrame:
+    """``rows``, stored, with the number of the range of ``keys`` that each is in: near-equal parts that follow the distribution.
+
+    ``row`` is added, a number that no other row has, and ends the keys: rows that are equal in all else are dealt too.
+    ``rows`` should be a stored table or a projection of one, and narrow.
+    """
+    marked = rows.withColumn("row", F.monotonically_increasing_id()) if "row" not in rows.columns else rows
+    return written(marked.repartitionByRange(width(rows.sparkSession), *keys, "row").withColumn(out, F.spark_partition_id()), label)
+
 
 def running(rows: DataFrame, group: list[str], bucket: str, order: list[Column], value: Column, out: str, total: str | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the group that come before, and optionally the group's ``total``.
 
-    Rows are ordered by ``bucket``, then ``order``. A task holds one bucket of one group, so the
-    caller chooses buckets of a few thousand rows; totals per bucket are thousands of times fewer.
+    Rows are ordered by ``bucket``, then ``order``. A task holds one bucket of one group: those of ``ranged``
+    are near equal. Totals per bucket are thousands of times fewer than rows.
     """
     rows = rows.withColumn("_value", value)
     sums = rows.groupBy(*group, bucket).agg(F.sum("_value").alias("_sum"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.kernels import LOWER
-from tracewell.llm.numbering import running
+from tracewell.llm.numbering import ranged, running
 from tracewell.llm.runtime import ship, written
 
 CAPACITY = 2048
@@ -144,16 +144,14 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and
     sequence_length (``capacity``, or the tokens held if they are a power of two). A null doc_id is
-    kept; repeated rows are packed each for itself. No rows for an empty table; other columns are ignored.
+    kept; repeated rows are packed each for itself, and equal pieces are dealt to as many tasks as any others.
+    No rows for an empty table; other columns are ignored.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = written(source.mapInArrow(_pieces(tokenizer_path, capacity), PIECES), "pieces")
-    buckets = max(1, pieces.count() // 4096)
-    placed = running(
-        pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets))),
-        ["class"], "bucket", [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], F.lit(1).cast("long"), "rank", "many",
-    ).withColumn("bin", F.expr("rank div class"))
+    dealt = ranged(pieces.withColumn("mark", F.xxhash64("doc_id", "start", "ids_crc32")), ["class", "mark"], "ranged-pieces")
+    placed = running(dealt, ["class"], "part", [F.col("mark"), F.col("row")], F.lit(1).cast("long"), "rank", "many").withColumn("bin", F.expr("rank div class"))
     whole = F.col("bin") < F.expr("many div class")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     full = placed.where(whole).select(*columns, (F.shiftleft("class", 40) + F.col("bin")).alias("sequence_id"), F.col("rank").alias("place"))
