@@ -1,6 +1,9 @@
 import hashlib
+import itertools
+import math
 import re
 
+import pytest
 from pyspark.sql import Row
 
 from tracewell.llm import secrets
@@ -48,7 +51,7 @@ def test_very_long_values_and_many_secrets():
     assert [k for _, k, _ in secrets.spans(b"pin: " + b"!" * 200_000)] == []
     many = b"token: abcdefghijk pwd: Xq7#v!Zp29$kLm " * 20_000
     kinds = [k for _, k, _ in secrets.spans(many)]
-    assert (kinds.count("assign"), kinds.count("guess")) == (20_000, 20_000)
+    assert (kinds.count("assign"), kinds.count("guess")) == (20_000, 20_000)  # abcdefghijk is a sequence
 
 
 def test_redact(spark):
@@ -98,3 +101,64 @@ def test_word_list_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(secrets, "MOST_WORDS", 300)
     words = secrets.common_words(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert 290 <= len(words.keys() - secrets.RANK.keys()) <= 300
+
+
+def piece_cost(s, words):
+    """The cheapest way to take a piece whole, each way found by plain means."""
+    low, out = s.lower(), []
+    size = {"d": 10, "a": 26, "o": 33}
+    one = lambda c: math.log10(size["d" if c.isdigit() else "a" if c.isalpha() else "o"])
+    if len(s) == 1:
+        out.append(one(s))
+    leet = "".join(dict(zip("@4301$5!7", "aaeolssit", strict=True)).get(c, c) for c in low)
+    if len(s) >= 3 and (rank := words.get(low) or words.get(leet)):
+        out.append(math.log10(rank + 1) + (0 if s == low == leet else 0.6))
+    for pattern in (r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d"):
+        if re.fullmatch(pattern, s):
+            out.append(4.6)
+    if re.fullmatch(r"(?:19|20)\d\d", s):
+        out.append(2.1)
+    if len(s) >= 3:
+        if len(set(s)) == 1:
+            out.append(one(s[0]) + math.log10(len(s)))
+        steps = {ord(b) - ord(a) for a, b in zip(low, low[1:])}
+        if low.isalnum() and steps in ({1}, {-1}):
+            out.append(1.5 + math.log10(len(s)))
+        at = {c: (r, i) for r, row in enumerate(("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")) for i, c in enumerate(row)}
+        if all(a != b and a in at and b in at and max(abs(at[a][0] - at[b][0]), abs(at[a][1] - at[b][1])) <= 1 for a, b in zip(low, low[1:])):
+            out.append(1.7 + 0.5 * len(s))
+    for n in (2, 3, 4):
+        if len(s) % n == 0 and len(s) // n >= 2 and s == s[:n] * (len(s) // n):
+            out.append(sum(map(one, s[:n])) + math.log10(len(s) // n))
+    return min(out, default=math.inf)
+
+
+def test_guess_cost_is_the_least_over_all_segmentations():
+    words = {"sun": 40, "sunset": 9000, "set": 70, "river": 300, "pass": 5}
+    values = ["sunset9", "p4ssRiver", "aaa111abc", "qwe456zz", "abababx", "20240131x", "31.12.1999", "Sun$etsun", "1a2b3c", "fedcba9", "zzzzzz", "river2019"]
+    for value in values:
+        best = math.inf
+        for cuts in itertools.product((False, True), repeat=len(value) - 1):
+            edges = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(value)]
+            parts = [value[a:b] for a, b in zip(edges, edges[1:])]
+            # a brute-force character carries on; any other piece after the first doubles the ways to combine them
+            joins = sum(0.3 for p in parts[1:] if len(p) > 1)
+            best = min(best, sum(piece_cost(p, words) for p in parts) + joins)
+        assert secrets.guess_cost(value, words) == pytest.approx(best), value
+
+
+def test_the_cost_judges_every_credential_value(spark):
+    texts = ["token: Xq7Zp29kLmWv41", "token: sunshine", "password=aaaaaaaaaaaa", "pwd: Xq7#v!Zp29$kLm", "nothing here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.guess_cost) for r in secrets.scan(docs).collect()}
+    assert got[0][0] == "assign:0:21,guess:7:21" and got[0][1] > 12
+    assert got[1][0] == "assign:0:15" and got[1][1] < 3 and got[2][0] == "assign:0:21" and got[2][1] < 4
+    assert got[3][0] == "guess:5:19" and got[4] == ("", None)
+    real = secrets.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("n_assign > 0").collect()
+    assert real and all(r.guess_cost is not None for r in real) and any("guess" in r.spans for r in real)
+
+
+def test_repeated_rows_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "token: abcdefghijk")] * 5, "doc_id long, text string")
+    assert [r.n_assign for r in secrets.scan(docs).collect()] == [1] * 5 and secrets.redact(docs).count() == 5
+    assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0

@@ -10,10 +10,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
@@ -29,6 +27,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: A keyword starts after a non-letter, or as a capital after a small letter (dbPassword); compass and shopping hold none.
 CONTEXT = re.compile(r"""(?:(?u:(?<![^\W\d_]))|(?<=[a-z])(?=[A-Z]))(?i:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|auth|credentials?|private[_-]?key|access[_-]?key)["']?(?:\x20+is|\x20*[:=])\x20*(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"']{6,}))""", re.ASCII)
 KINDS = ("assign", "access", "hex", "guess")
+#: Characters of a value, at least: after an assignment of a fixed pattern, and for a guess cost to say anything.
+SHORTEST_ASSIGNED, SHORTEST_GUESSED = 8, 6
 #: Guesses, as a power of ten, from which a value in a credential context counts as a secret.
 STRONG = 9.0
 #: Words that guessers try first, most common first.
@@ -121,33 +121,44 @@ def _in_context(low: bytes) -> bool:
     return _named(low) or ((b":" in low or b"=" in low or b" is " in low) and any(k in low for k in (b"pass", b"pwd", b"pin", b"auth", b"credential", b"key")))
 
 
-def spans(raw: bytes, words: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
-    """(start, kind, end) in code points, sorted by start, then kind as in ``KINDS``."""
+def judged(raw: bytes, words: dict[str, int] = RANK) -> tuple[list[tuple[int, str, int]], float | None]:
+    """Spans (start, kind, end) in code points, by start, then kind as in ``KINDS``; and the highest guess cost of any value.
+
+    The value of every credential context is judged by its guess cost, one that a fixed pattern names as well: it is
+    then a span of its own inside that pattern's. The cost is None if no value stands in such a context.
+    """
     low = raw.translate(LOWER)
     named = _named(low)
     access, hexed = b"AKIA" in raw, b"x" * 32 in raw.translate(HEXED)
     context = _in_context(low)
     if not (named or access or hexed or context):
-        return []
+        return [], None
     text = raw.decode()
-    found = []
+    found, values = [], set()
     if named:
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        for m in ASSIGN.finditer(text):
+            values.add(m.span(2))
+            if len(m[2]) >= SHORTEST_ASSIGNED:
+                found.append((m.start(), 0, m.end()))
     if access:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     if hexed:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if context:
-        taken = sorted((s, e) for s, _, e in found)
-        starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max, initial=0))
-        for m in CONTEXT.finditer(text):
-            group = m.lastindex
-            start, end = m.span(group)
-            value = m[group].rstrip(".,;:!?)")
-            end = start + len(value)
-            if len(value) >= 6 and reach[bisect_left(starts, end)] <= start and guess_cost(value, words) >= STRONG:
-                found.append((start, 3, end))
-    return [(s, KINDS[k], e) for s, k, e in sorted(found)]
+        values |= {m.span(m.lastindex) for m in CONTEXT.finditer(text)}
+    highest = None
+    for start, end in sorted({(start, start + len(text[start:end].rstrip(".,;:!?)"))) for start, end in values}):
+        if end - start < SHORTEST_GUESSED:
+            continue
+        cost = guess_cost(text[start:end], words)
+        highest = cost if highest is None else max(highest, cost)
+        if cost >= STRONG:
+            found.append((start, 3, end))
+    return [(s, KINDS[k], e) for s, k, e in sorted(found)], highest
+
+
+def spans(raw: bytes, words: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
+    return judged(raw, words)[0]
 
 
 def _held(raw: bytes) -> set[str]:
@@ -203,8 +214,8 @@ def _joined(found: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in found)
 
 
-SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-FIELDS = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
+SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, guess_cost double"
+FIELDS = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("guess_cost", pa.float64())])
 
 
 def _scan(words: Broadcast):
@@ -212,10 +223,10 @@ def _scan(words: Broadcast):
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = spans(text.as_buffer().to_pybytes(), words.value) if text.is_valid else []
+                found, cost = judged(text.as_buffer().to_pybytes(), words.value) if text.is_valid else ([], None)
                 base = [f for f in found if f[1] != "guess"]
                 kinds = [k for _, k, _ in base]
-                rows.append((doc_id, *(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)))
+                rows.append((doc_id, *(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found), cost))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FIELDS.types, strict=True)], schema=FIELDS)
 
@@ -223,9 +234,11 @@ def _scan(words: Broadcast):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (null text: empty): counts of the fixed kinds, a digest of their spans, and all spans.
+    """Per row of ``docs``: counts of the fixed kinds, a digest of their spans, all spans, and guess_cost.
 
-    Spans are kind:start:end in code points, comma-joined, by start and then kind. Other columns are ignored.
+    Spans are kind:start:end in code points, comma-joined, by start and then kind. guess_cost is the highest cost, in powers
+    of ten, of a value in a credential context, null if there is none. Null and empty texts have no spans; a null doc_id is
+    kept; repeated rows each return. An empty table gives an empty result. Other columns are ignored.
     """
     words = docs.sparkSession.sparkContext.broadcast(common_words(docs))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(words), SCANNED)
@@ -255,7 +268,11 @@ def _redact(mask: str, words: Broadcast):
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span replaced by ``mask``, and n_chars set to the new length if there is such a column."""
+    """``docs`` with every found span replaced by ``mask``, and n_chars set to the new length if there is such a column.
+
+    Overlapping spans become one mask. Null texts stay null, and rows without a find stay as they are, repeated ones too;
+    other columns, whatever their names, are kept. An empty table gives an empty result.
+    """
     words = docs.sparkSession.sparkContext.broadcast(common_words(docs))
     row = F.struct(*docs.columns)
     kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
