@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -62,3 +64,49 @@ def test_stage_without_model_keeps_all(spark):
     with pytest.warns(UserWarning, match="all documents are kept"):
         kept = quality.keep_good(docs, labels)
     assert kept.count() == 41
+
+
+def slow_score(model, text):
+    """The score by its definition, block by block, with fresh compressors."""
+    raw, n = text.encode(), max(1, -(-len(text.encode()) // quality.BLOCK))
+    parts = []
+    for i in range(n):
+        block = raw[i * len(raw) // n : (i + 1) * len(raw) // n]
+        good, bad = (len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(block)) for d in (model.good, model.bad))
+        parts.append((bad - good) / max(good, bad))
+    return np.interp(np.quantile(parts, quality.QUARTILE), model.at, model.scores)
+
+
+def test_scores_are_those_of_a_slow_version(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    assert list(model.at) == sorted(model.at) and list(model.scores) == sorted(model.scores)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    # compressors that hold their tables ready may choose other matches for a byte or two
+    near = [abs(got[r.doc_id] - slow_score(model, r.text or "")) < 0.02 for r in rows]
+    assert sum(near) > 0.97 * len(near)
+
+
+def test_calibration_is_the_best_rising_fit():
+    rng = np.random.default_rng(5)
+    rows = [(float(x), int(rng.random() < x)) for x in np.round(rng.random(60), 1)]
+    at, scores = quality._calibrated(rows)
+    ours = sum((y - np.interp(x, at, scores)) ** 2 for x, y in rows)
+    grid = np.unique([x for x, _ in rows])
+    best = {0.0: 0.0}  # least error over rising steps of hundredths, by dynamic programming over the distinct differences
+    for x in grid:
+        labels = np.array([y for z, y in rows if z == x])
+        errors = {round(v, 2): ((labels - v) ** 2).sum() for v in np.arange(0, 1.005, 0.01)}
+        best = {v: e + min(b for u, b in best.items() if u <= v) for v, e in errors.items()}
+    assert ours <= min(best.values()) + 0.05 * len(rows) and scores == tuple(sorted(scores))
+
+
+def test_only_the_difference_counts(spark):
+    """Texts whose blocks have the same difference have the same score, however long they are."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    block = docs.where(F.length("text") > quality.BLOCK).first().text.encode()[: quality.BLOCK].decode("ascii", "ignore").ljust(quality.BLOCK, "x")
+    rows = [(n, block * n) for n in (1, 2, 50, 50)]
+    scores = {r.score for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert len(scores) == 1

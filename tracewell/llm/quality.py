@@ -1,13 +1,14 @@
 """Compression classifier: which of two zstandard dictionaries, of good or of bad text, shortens a text more.
 
-Dictionaries are trained on one half of a bounded sample of labelled rows, a logistic
-calibration of the size difference on the other half. Every text is compressed from end to end, in
-equal blocks that each start afresh with the dictionary: the history of a long text would drown it.
+Every text is compressed from end to end, in equal blocks that each start afresh with the dictionary: the history
+of a long text would drown it. The evidence is the normalised size difference alone: (bad - good) / max(bad, good) of
+each block, and of a text's blocks the lower quartile, so that junk within a text counts though most of it is good.
+Dictionaries are trained on one half of a bounded sample of labelled rows; on the other half an isotonic regression
+makes the difference a score, the share of good labels among texts of about that difference.
 """
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from tracewell.llm.runtime import crc_fold, ship, written
 
 #: Bytes of a block, at most.
-BLOCK = 1000
+BLOCK = 500
+#: Of the differences of a text's blocks, the one that speaks for it.
+QUARTILE = 0.25
 #: Bounds of the sample that the model is fitted on, for each label: rows, and blocks of them (from anywhere in
 #: the texts, those of least hash) for a dictionary. Sampled texts take part whole in the calibration.
 SAMPLE_ROWS, SAMPLE_BLOCKS = 3000, 16_000
@@ -34,18 +37,14 @@ SCORED = "doc_id long, score double, good_bytes long, bad_bytes long"
 class Model:
     good: bytes
     bad: bytes
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
+    #: The calibration: scores at ascending differences, linear between them.
+    at: tuple[float, ...]
+    scores: tuple[float, ...]
     prior: float
 
     def compressors(self) -> list[zstandard.ZstdCompressor] | None:
         return [_compressor(self.good), _compressor(self.bad)] if self.good else None
 
-    def score(self, features: list[float]) -> float:
-        z = self.weights[-1] + sum(w * (x - m) / s for x, m, s, w in zip(features, self.mean, self.scale, self.weights, strict=False))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
-
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     data = zstandard.ZstdCompressionDict(dictionary)
@@ -53,19 +52,19 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _features(good: int, bad: int, size: int) -> list[float]:
-    """The size difference, normalised by the larger and by the text, what remains of the text, and its length."""
-    return [(bad - good) / max(good, bad, 1), (bad - good) / (size + 1), good / (size + 1), math.log(size + 1)]
-
-
 def _blocks(raw: bytes) -> list[bytes]:
     n = max(1, -(-len(raw) // BLOCK))
     return [raw[i * len(raw) // n : (i + 1) * len(raw) // n] for i in range(n)]
 
 
-def _sizes(both: list[zstandard.ZstdCompressor], raw: bytes) -> list[int]:
-    blocks = _blocks(raw)
-    return [sum(len(c.compress(b)) for b in blocks) for c in both]
+def _measure(both: list[zstandard.ZstdCompressor], raw: bytes) -> tuple[int, int, float]:
+    """Compressed sizes by the good and by the bad dictionary, and the normalised difference of the text."""
+    sizes = [tuple(len(c.compress(b)) for c in both) for b in _blocks(raw)]
+    parts = sorted((bad - good) / max(good, bad) for good, bad in sizes)
+    place = QUARTILE * (len(parts) - 1)
+    low = int(place)
+    difference = parts[low] + (parts[min(low + 1, len(parts) - 1)] - parts[low]) * (place - low)
+    return sum(g for g, _ in sizes), sum(b for _, b in sizes), difference
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,27 +80,21 @@ def _measured(good: bytes, bad: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [_compressor(good), _compressor(bad)]
         for batch in batches:
-            raws = [t.as_buffer().to_pybytes() for t in batch.column(2)]
-            sizes = [_sizes(both, raw) for raw in raws]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([s[k] for s in sizes], pa.int64()) for k in (0, 1)), pa.array(list(map(len, raws)), pa.int64())], names=["doc_id", "quality", "good", "bad", "size"])
+            found = [_measure(both, t.as_buffer().to_pybytes())[2] for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["doc_id", "quality", "difference"])
 
     return run
 
 
-def _calibrated(rows: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``rows``: (label, size by the good dictionary, by the bad one, plain size)."""
-    x = np.array([_features(*r[1:]) for r in rows])
-    y = np.array([r[0] for r in rows], dtype=float)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    x = np.c_[(x - mean) / scale, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    for _ in range(50):  # Newton steps of a ridge-regularised logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (p - y) + 1e-2 * w)
-        w = w - step
-        if np.abs(step).max() < 1e-9:
-            break
-    return mean, scale, w
+def _calibrated(rows: list[tuple[float, int]]) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Isotonic regression of (difference, label): the ends and the mean label of each pool of neighbours, in order."""
+    pools: list[list[float]] = []
+    for difference, label in sorted(rows):
+        pools.append([difference, difference, label, 1])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            _, high, labels, n = pools.pop()
+            pools[-1][1:] = [high, pools[-1][2] + labels, pools[-1][3] + n]
+    return tuple(x for low, high, _, _ in pools for x in (low, high)), tuple(y for _, _, labels, n in pools for y in (labels / n,) * 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -117,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = S
     found = sorted((r.quality, r.doc_id) for r in sample.select("doc_id", "quality").distinct().collect())
     half = {q: [i for label, i in found if label == q] for q in (0, 1)}
     prior = len(half[1]) / len(found) if found else 0.5
-    none = Model(b"", b"", (), (), (), prior)
+    none = Model(b"", b"", (), (), prior)
     if min(map(len, half.values())) < FEWEST:
         return none
     part = F.broadcast(spark.createDataFrame([(i, q, n % 2) for q in (0, 1) for n, i in enumerate(half[q])], "doc_id long, quality int, part int"))
@@ -130,11 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = S
             books.append(zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.block) for r in blocks]).as_bytes())
         except zstandard.ZstdError:
             return none  # too little text for a dictionary
-    measured = halves.where("part = 1").select("doc_id", "quality", "text").mapInArrow(_measured(*books), "doc_id long, quality int, good long, bad long, size long")
+    measured = halves.where("part = 1").select("doc_id", "quality", "text").mapInArrow(_measured(*books), "doc_id long, quality int, difference double")
     # an id whose rows differ counts once, as at most sample_rows rows of a label may reach the driver
-    rows = measured.groupBy("doc_id", "quality").agg(F.min(F.struct("good", "bad", "size")).alias("sizes")).select("quality", "doc_id", "sizes.*").collect()
-    mean, scale, w = _calibrated([(r.quality, r.good, r.bad, r.size) for r in sorted(rows)])
-    return Model(*books, tuple(mean), tuple(scale), tuple(w), prior)
+    rows = measured.groupBy("doc_id", "quality").agg(F.min("difference").alias("difference")).collect()
+    return Model(*books, *_calibrated([(r.difference, r.quality) for r in rows]), prior)
 
 
 def _score(model: Model, carry: list[str]):
@@ -143,11 +135,10 @@ def _score(model: Model, carry: list[str]):
         for batch in batches:
             scores, goods, bads = [], [], []
             for text in batch.column(batch.num_columns - 1):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                good, bad = _sizes(both, raw) if both else (0, 0)
+                good, bad, difference = _measure(both, text.as_buffer().to_pybytes() if text.is_valid else b"") if both else (0, 0, 0.0)
                 goods.append(good)
                 bads.append(bad)
-                scores.append(model.score(_features(good, bad, len(raw))) if both else model.prior)
+                scores.append(float(np.interp(difference, model.at, model.scores)) if both else model.prior)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(scores, pa.float64()), pa.array(goods, pa.int64()), pa.array(bads, pa.int64())], names=[*carry, "score", "good_bytes", "bad_bytes"])
 
     return run
@@ -165,12 +156,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out (its label takes no part in the fit), score and predicted.
+
+    Null and empty texts are scored as an empty text; a null doc_id is not held out and has no label; repeated rows each
+    return; a score equal to ``threshold`` predicts 1. An empty table gives an empty result. Other columns are ignored.
+    """
     scored = score(docs, fit(docs, labels, folds))
     return scored.select("doc_id", (crc_fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; columns as they are.
+    """``docs`` without the rows that the classifier rejects; columns as they are, whatever their names.
+
+    Null and empty texts are scored as an empty text; repeated rows stay or go together; a score equal to ``threshold`` stays.
 
     Where no model can be fitted, for want of labels or text, nothing is known of any row: all stay, with a warning.
     """
