@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
@@ -32,9 +33,9 @@ def result(df):
     return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
 
 
-@pytest.mark.parametrize("chunk_docs", [3, 700])
-def test_against_brute_force(spark, chunk_docs):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+@pytest.mark.parametrize(("sf", "chunk_docs"), [("sf0.001", 3), ("sf0.001", 700), ("sf0.01", 700)])
+def test_against_brute_force(spark, sf, chunk_docs):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     got = result(remove_repeats(docs, chunk_docs=chunk_docs))
     assert got == want
@@ -71,3 +72,26 @@ def test_long_text_is_cut_in_slices(spark):
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert suffix_dedup.QGRAM < 50
+
+
+def test_names_are_made_of_later_offsets(monkeypatch):
+    """Windows have the same name where they are the same string, and every round reads only names of the round before."""
+    rng = random.Random(9)
+    text = bytes(rng.choice(b"ab") for _ in range(3000)) + b"ab" * 200
+    grams, names = suffix_dedup._names(np.frombuffer(text, dtype=np.uint8), 50)
+    by = {}
+    for k, name in enumerate(names.tolist()):
+        assert by.setdefault(text[k : k + 50], name) == name
+    assert len(set(by.values())) == len(by) and len(names) == len(text) - 49
+    # names follow from the q-gram buckets alone
+    step = suffix_dedup._pair(grams[:-20], grams[20:])
+    assert (suffix_dedup._pair(step[:-10], step[10:]) == names).all()
+
+
+def test_many_repeated_rows_travel_once(spark):
+    text = "one line that many rows of one document repeat, of more than fifty bytes"
+    rows = [(5, text)] * 4000 + [(None, text)] * 300 + [(3, text[:60])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = remove_repeats(docs, chunk_docs=100).collect()
+    by = {(r.doc_id, r.n_removed) for r in got}
+    assert len(got) == len(rows) and by == {(3, 0), (5, 60), (None, len(text))}

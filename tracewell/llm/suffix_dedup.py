@@ -1,19 +1,22 @@
 """Exact substring removal by bucket-pointer refinement over sampled suffixes.
 
 A byte goes if a ``length``-byte string over it also starts in a document with a smaller id.
-Sorting every suffix of a corpus costs its size many times over; here suffixes stand in buckets
-that are refined only while they still hold different strings:
+Sorting every suffix of a corpus costs its size many times over; here sampled suffixes stand in buckets
+that are refined only while they still hold different strings. A bucket is named by a hash of what its
+suffixes share, so that any task can name the bucket of any offset of its own texts:
 
-* Level 0: each ``length``-byte window goes to the bucket of the least-hashed q-gram inside it.
-  The choice depends on the window alone, so equal windows share a bucket. A run of neighbouring
+* Initial buckets: the q-gram at an offset. Each ``length``-byte window is entered at the least-hashed q-gram inside
+  it. The choice depends on the window alone, so equal windows share a bucket. A run of neighbouring
   windows with one such q-gram is a single entry, about one for every 15 bytes.
-* Level 1: entries of a bucket are told apart by the bucket identifier of their extension, the
-  whole text that the run covers, and sorted by (bucket, extension). An entry whose extension
-  starts in a smaller document is settled; so is a bucket with one extension.
-* Level 2: only the first holders of each extension in a still mixed bucket are refined again, on
-  window identifiers. What a level settles is passed on and never looked at again.
-
-Buckets are keyed by hash and receive at most a few entries of a q-gram from each chunk of
+* Refined names (``_names``): the bucket of 2q bytes at i is the pair of q-gram buckets at i and i + q, that of 4q bytes
+  the pair of 2q buckets at i and i + 2q, and so on up to ``length``: each round reads the names that the one before gave to
+  later offsets, never the text again. A run's stretch is named by the window buckets at its two ends.
+* Round 1: within a q-gram bucket, entries are sorted by the names of their stretches and by document. One whose
+  stretch starts in a smaller document is settled; so is a bucket with one stretch that no smaller document has.
+* Round 2: only the first holders of each stretch in a still mixed bucket go on, sorted by window bucket and document. What a
+  round settles is passed on and never looked at again.
+
+Buckets receive at most a few entries of a q-gram from each chunk of
 documents, so neither a passage that all documents share nor a large group of copies fills a task.
 """
 
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import kernels
-from tracewell.llm.runtime import ship, width
+from tracewell.llm.runtime import ship
 
 #: Long enough that few strings share one by chance, short enough that one entry stands for about 15 windows.
 QGRAM = 20
@@ -42,9 +45,12 @@ LAST = np.iinfo(np.int64).max
 PACKED = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 PACKED_DDL = "key long, chunk long, kind int, blob binary"
 NARROW, WIDE, SETTLED, PENDING, REPLY = 0, 1, 2, 3, 4
-OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
-OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
+OUT = pa.schema([("doc_id", pa.int64()), ("copies", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
+OUT_DDL = "doc_id long, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 U = np.uint64
+PAIR = U(0x9E3779B97F4A7C15)
+#: Bits of a q-gram's hash that name its bucket's task: 256 buckets at least, and one for about 1,024 documents.
+FEWEST_BITS, MOST_BITS, DOCS_A_BUCKET = 8, 24, 1024
 
 
 def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -58,11 +64,12 @@ def _press():
 
     def pressed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        table = pa.Table.from_batches(held)
-        chunk = table.column(2).to_numpy()
+        # a repeated row travels once from each task, with the number of its copies
+        table = pa.Table.from_batches(held).group_by(["doc_id", "text", "chunk"]).aggregate([([], "count_all")]).rename_columns({"count_all": "copies"})
+        chunk = table.column("chunk").to_numpy()
         order = np.argsort(chunk, kind="stable")
         edges = np.flatnonzero(np.diff(chunk[order], prepend=-1)).tolist()
-        docs = table.select([0, 1]).combine_chunks().take(pa.array(order))
+        docs = table.select(["doc_id", "text", "copies"]).combine_chunks().take(pa.array(order))
         for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, docs.schema) as out:
@@ -84,16 +91,16 @@ def _press():
     return run
 
 
-def _ordered(group: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Ids (null: last), texts as bytes and which ids are null, in an order that every pass repeats."""
-    raw, texts = [], []
+def _ordered(group: pa.Table) -> tuple[np.ndarray, list[bytes], list[tuple[int | None, int]]]:
+    """Ids (null: last), texts as bytes, and the id with the number of copies of each, in an order that every pass repeats."""
+    copies: dict[tuple[int | None, bytes], int] = {}
     for blob in group.column("docs"):
         docs = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob.as_buffer().to_pybytes())).read_all()
-        raw += docs.column(0).to_pylist()
-        texts += [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in docs.column(1)]
-    ids = [LAST if i is None else i for i in raw]
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
-    return np.array([ids[k] for k in order], dtype=np.int64), [texts[k] for k in order], np.array([raw[k] is None for k in order], dtype=bool)
+        for doc_id, text, n in zip(docs.column("doc_id").to_pylist(), docs.column("text"), docs.column("copies").to_pylist(), strict=True):
+            key = doc_id, text.as_buffer().to_pybytes() if text.is_valid else b""
+            copies[key] = copies.get(key, 0) + n
+    rows = sorted(copies, key=lambda k: (k[0] is None, k[0] or 0, k[1]))
+    return np.array([LAST if i is None else i for i, _ in rows], dtype=np.int64), [t for _, t in rows], [(k[0], copies[k]) for k in rows]
 
 
 def _slices(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -119,19 +126,34 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
+def _names(buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of every offset: of its q-gram, and of its ``length``-byte window by the buckets of later offsets, round by round."""
+    sums, at = kernels.prefix_sums(buf, 0), np.arange(max(0, len(buf) - QGRAM + 1))
+    grams = kernels.span_hashes(sums, at, at + QGRAM)
+    names, size = grams, QGRAM
+    while size < length:
+        step = min(size, length - size)
+        names = _pair(names[: max(0, len(names) - step)], names[step:])
+        size += step
+    return grams, names
+
+
+def _pair(first: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """The bucket of a bucket and the one at a later offset."""
+    return kernels.mix(first * PAIR + later)
+
+
 def _runs(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """Level 0: runs of windows with the same least q-gram: document, windows [start, end), q-gram, extension."""
+    """Runs of windows with the same least q-gram: document, windows [start, end), q-gram bucket, name of the stretch."""
     parts: list[tuple[np.ndarray, ...]] = []
     for held in _slices(texts, length):
         buf = np.frombuffer(b"".join(s for _, _, s in held), dtype=np.uint8)
         sizes = np.array([len(s) for _, _, s in held])
         begins = np.cumsum(sizes) - sizes
         of = np.repeat(np.arange(len(held)), sizes)
-        sums, other = kernels.prefix_sums(buf, 0), kernels.prefix_sums(buf, 1)
-        at = np.arange(len(buf) - QGRAM + 1)
-        grams = kernels.span_hashes(sums, at, at + QGRAM)
+        grams, names = _names(buf, length)
         low = U((1 << 24) - 1)
-        least = (_sliding_min((grams & ~low) | at.astype(U), length - QGRAM + 1) & low).astype(np.int64)
+        least = (_sliding_min((grams & ~low) | np.arange(len(grams)).astype(U), length - QGRAM + 1) & low).astype(np.int64)
         window = np.flatnonzero(of[: len(least)] == of[length - 1 :])
         if not len(window):
             continue
@@ -141,7 +163,9 @@ def _runs(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
         end = np.concatenate([window[np.flatnonzero(new)[1:] - 1], window[-1:]]) + 1
         segment = segment[new]
         shift = np.array([a for _, a, _ in held])[segment] - begins[segment]
-        parts.append((np.array([d for d, _, _ in held])[segment], start + shift, end + shift, grams[chosen[new]], kernels.span_hashes(other, start, end + length - 1, 1)))
+        # the windows at both ends cover the stretch where they meet; a longer one is further told by its length
+        ext = _pair(names[start], names[end - 1]) + (end - start).astype(U)
+        parts.append((np.array([d for d, _, _ in held])[segment], start + shift, end + shift, grams[chosen[new]], ext))
     names = ("doc", "start", "end", "gram", "ext")
     if not parts:
         return {n: np.zeros(0, U if n in ("gram", "ext") else np.int64) for n in names}
@@ -149,7 +173,7 @@ def _runs(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
 
 
 def _windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Two identifiers of every window in the ranges [start, end), with the range it is in."""
+    """Two identifiers of every window in the ranges [start, end), with the range it is in: its bucket, and bits of its plain hash."""
     one, two, of = [], [], []
     at = 0
     while at < len(doc):
@@ -163,7 +187,7 @@ def _windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, end: np.nda
         sizes = count + length - 1
         first = np.cumsum(sizes) - sizes
         where = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        one.append(kernels.span_hashes(kernels.prefix_sums(buf, 0), where, where + length, 0))
+        one.append(_names(buf, length)[1][where])
         two.append((kernels.span_hashes(kernels.prefix_sums(buf, 1), where, where + length, 1) >> U(48)).astype(np.uint16))
         of.append(np.repeat(np.arange(at, stop), count))
         at = stop
@@ -331,7 +355,7 @@ def _remove(length: int):
     def run(group: pa.Table, found: pa.Table) -> pa.Table:
         if not group.num_rows:
             return OUT.empty_table()
-        ids, texts, null = _ordered(group)
+        ids, texts, rows = _ordered(group)
         settled = pending = np.zeros((3, 0), dtype=np.int64)
         ones, twos = [np.zeros(0, U)], [np.zeros(0, np.uint16)]
         for kind, blob in zip(found.column("kind").to_pylist(), found.column("blob").to_pylist(), strict=True):
@@ -373,7 +397,7 @@ def _remove(length: int):
                 begin, stop = s[a:b][cut].tolist(), reach[np.concatenate([np.flatnonzero(cut)[1:] - 1, [b - a - 1]])].tolist()
                 spans = [x for pair in zip(begin, stop, strict=True) for x in pair]
                 kept = b"".join(text[x:y] for x, y in zip([0, *stop], [*begin, len(text)], strict=True))
-            out.append((None if null[k] else int(ids[k]), len(text), len(text) - len(kept), len(spans) // 2, hashlib.sha256(kept).hexdigest(), spans))
+            out.append((*rows[k], len(text), len(text) - len(kept), len(spans) // 2, hashlib.sha256(kept).hexdigest(), spans))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), OUT.types, strict=True)], schema=OUT)
 
     return run
@@ -385,15 +409,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_docs: int = CHUNK_DO
     Returns per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256 of the remaining bytes, and spans (begin, end, begin, end, ... in bytes).
     Null texts count as empty; texts under ``length`` bytes lose nothing. Rows with a null doc_id
-    count as after all others. Repeated rows of one doc_id take nothing from each other.
+    count as after all others. Rows of one doc_id, repeated or not, take nothing from each other; equal ones travel once
+    from each task and each return.
     An empty table gives an empty result; other columns are ignored.
     """
     if length <= QGRAM:
         raise ValueError(f"length must exceed {QGRAM}")
     spark = docs.sparkSession
     ship(spark)
-    bits = min(16, max(8, (4 * width(spark) - 1).bit_length()))
-    chunks = max(1, -(-docs.count() // chunk_docs))
+    n = docs.count()
+    bits = min(MOST_BITS, max(FEWEST_BITS, (n // DOCS_A_BUCKET).bit_length()))
+    chunks = max(1, -(-n // chunk_docs))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # by id and text, so that rows without an id, however many, are dealt to all chunks
     source = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
@@ -402,4 +428,5 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_docs: int = CHUNK_DO
     answers = level0.groupBy("key").applyInArrow(_refine_extensions, PACKED_DDL)
     level1 = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_level1(bits, length), PACKED_DDL)
     settled = level1.groupBy("key").applyInArrow(_refine_windows, PACKED_DDL)
-    return by_chunk.cogroup(settled.groupBy("chunk")).applyInArrow(_remove(length), OUT_DDL)
+    found = by_chunk.cogroup(settled.groupBy("chunk")).applyInArrow(_remove(length), OUT_DDL)
+    return found.withColumn("copies", F.explode(F.expr("sequence(1L, copies)"))).drop("copies")
