@@ -1,4 +1,10 @@
+import re
+import zlib
+
+import numpy as np
+import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from tracewell.llm import langid
 
@@ -19,3 +25,51 @@ def test_odd_rows(spark):
     assert got[5].lang_pred in ("en", "de")
     empty = spark.createDataFrame([], docs.schema)
     assert langid.identify(empty).count() == 0
+
+
+def slow(model, text):
+    """Language and score by definition: the mean embedding of all subwords, one after the other."""
+    found = []
+    for word in re.findall(r"[^\W\d_]+", text or ""):
+        marked = f"<{word.lower()}>"
+        found += [zlib.crc32(marked[i : i + n].encode()) % langid.BUCKETS for n in (3, 4, 5) for i in range(len(marked) - n + 1)] if any(map(str.isalpha, word)) else []
+    if not found:
+        return "und", 0.0
+    z = (model.table[found].mean(0) + model.bias) * model.sharpness
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.languages[int(p.argmax())], float(p.max())
+
+
+def test_predictions_are_those_of_a_slow_version(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    for together in (langid.TOGETHER, 500):
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+        for r in docs.collect():
+            lang, score = slow(model, r.text)
+            assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score)
+
+
+def test_whole_texts_are_learned(spark):
+    """Two languages that differ only behind their first 3,000 characters."""
+    start = "zzz yyy xxx " * 260
+    rows = [(i, start + (" alpha beta gamma" if i % 2 else " delta epsilon zeta") * 200, "ab"[i % 2]) for i in range(300)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == "ab"[r.doc_id % 2] for r in got)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """100,000 repeats of a row count once, rows without an id are sampled like others, and so are dirty language names."""
+    seen = []
+    train = langid.train
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(rows) or train(rows))
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    many = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same row again and again").alias("text"), F.lit("en").alias("lang"))
+    null = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("der Baum "), "id").alias("text"), F.lit("de").alias("lang"))
+    dirty = spark.range(300).select("id", F.lit("mot").alias("text"), F.concat(F.lit("x"), "id").alias("lang"))
+    docs = many.union(null).union(dirty)
+    model = langid.fit(docs, sample_rows=100)
+    langs = [lang for lang, _, _ in seen[0]]
+    assert langs.count("en") <= 1 and 60 < langs.count("de") < 150 and len(set(langs)) <= 5 and len(model.languages) <= 5
+    assert langid.predict(docs, model).count() == 103_300

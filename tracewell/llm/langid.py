@@ -8,23 +8,27 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.runtime import crc_fold, ship
 
-#: Bounds of the training sample: rows of each language (about), characters of each text.
-SAMPLE_ROWS, SAMPLE_CHARS = 800, 800
+#: Bounds of the training sample: rows of each language (about), and languages, those of most rows.
+SAMPLE_ROWS, LANGUAGES = 800, 200
 BUCKETS, WIDTH, EPOCHS, RATE, BATCH = 1 << 16, 12, 6, 0.5, 32
 GRAMS = (3, 4, 5)
 #: Share of right predictions on the calibration rows that rejection may lose.
 LOST = 0.01
 CACHED = 500_000
+#: Characters of texts whose words are looked up together.
+TOGETHER = 1 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
 FIELDS = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
@@ -38,8 +42,10 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
-def text_subwords(text: str) -> np.ndarray:
-    return np.array([b for w in LETTERS.findall(text) for b in subwords(w)], dtype=np.int64)
+def histogram(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a whole text and how often each occurs: at most ``BUCKETS`` numbers, however long the text is."""
+    found = np.array([b for w, n in Counter(LETTERS.findall(text)).items() for b in subwords(w) * n], dtype=np.int64)
+    return np.unique(found, return_counts=True)
 
 
 @dataclass(frozen=True)
@@ -56,10 +62,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
-    """``rows``: (language, text) in a fixed order. Every fifth row calibrates, the others train."""
-    data = [(lang, s) for lang, text in rows if len(s := text_subwords(text))]
-    languages = tuple(sorted({lang for lang, _ in data}))
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model | None:
+    """``rows``: (language, buckets, counts) in a fixed order. Every fifth row calibrates, the others train."""
+    data = [(lang, s, n / n.sum()) for lang, s, n in rows if len(s)]
+    languages = tuple(sorted({lang for lang, _, _ in data}))
     if not languages:
         return None
     index = {lang: i for i, lang in enumerate(languages)}
@@ -73,20 +79,21 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
         order = rng.permutation(len(fitted))
         for at in range(0, len(order), BATCH):
             batch = [fitted[i] for i in order[at : at + BATCH]]
-            sizes = np.array([len(s) for _, s in batch])
-            flat = np.concatenate([s for _, s in batch])
-            mean = np.add.reduceat(embed[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
+            sizes = np.array([len(s) for _, s, _ in batch])
+            flat = np.concatenate([s for _, s, _ in batch])
+            share = np.concatenate([n for _, _, n in batch]).astype(np.float32)[:, None]
+            mean = np.add.reduceat(embed[flat] * share, np.cumsum(sizes) - sizes)
             wrong = _softmax(mean @ soft + bias)
-            wrong[np.arange(len(batch)), [index[lang] for lang, _ in batch]] -= 1
+            wrong[np.arange(len(batch)), [index[lang] for lang, _, _ in batch]] -= 1
             rate = RATE * (1 - done / steps)
             back = wrong @ soft.T
             soft -= rate * mean.T @ wrong / len(batch)
             bias -= rate * wrong.mean(0) * 0.1
-            np.add.at(embed, flat, np.repeat(-rate * WIDTH * back / sizes[:, None], sizes, axis=0).astype(np.float32))
+            np.add.at(embed, flat, np.repeat(-rate * WIDTH * back, sizes, axis=0).astype(np.float32) * share)
             done += 1
     table = (embed @ soft).astype(np.float64)
-    logits = np.array([table[s].mean(0) + bias for _, s in held])
-    truth = np.array([index[lang] for lang, _ in held])
+    logits = np.array([n @ table[s] + bias for _, s, n in held])
+    truth = np.array([index[lang] for lang, _, _ in held])
     # one factor on the logits, chosen by likelihood, makes the scores probabilities
     factors = np.geomspace(0.05, 20, 60)
     loss = [-np.log(np.maximum(_softmax(logits * f)[np.arange(len(truth)), truth], 1e-12)).mean() for f in factors]
@@ -96,16 +103,30 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     return Model(languages, table, bias.astype(np.float64), sharp, float(np.quantile(right, LOST)) if len(right) else 0.0)
 
 
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, text in enumerate(batch.column(2)):
+            buckets, counts = histogram(text.as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([buckets.tolist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["lang", "place", "buckets", "counts"])
+
+
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Train on rows outside the held-out fold: of each language about ``sample_rows``, those of least hash."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0) & (crc_fold(F.col("doc_id"), folds) != held_out))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    """Train on whole texts of rows outside the held-out fold: of each language about ``sample_rows``, those of least hash.
+
+    The hash is of id and text, so that rows without an id are sampled like others; rows equal in both count once. At most
+    ``LANGUAGES`` languages are learned, those of most rows, and at most twice ``sample_rows`` rows of each on average
+    reach the driver, as bucket counts.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0) & (crc_fold(F.col("doc_id"), folds) != held_out))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     part = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample_rows / n))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = rows.where(place < F.element_at(part, F.col("lang"))).collect()
-    return train([(r.lang, r.text) for r in sorted(sample, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))])
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "text"))
+    chosen = rows.where(F.pmod("place", F.lit(1_000_003)) / F.lit(1_000_003.0) < F.try_element_at(part, F.col("lang"))).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    sample = chosen.mapInArrow(_histograms, "lang string, place long, buckets array<long>, counts array<long>").orderBy("place", "lang").limit(2 * sample_rows * len(counts)).collect()
+    return train([(r.lang, np.array(r.buckets, dtype=np.int64), np.array(r.counts, dtype=np.int64)) for r in sample])
 
 
 class _Words(dict):
@@ -124,29 +145,48 @@ class _Words(dict):
         self[word] = at
         return at
 
-    def sums(self, text: str) -> np.ndarray:
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: all its words added up at once."""
         if len(self) > CACHED:
             self.clear()
-        words = LETTERS.findall(text)
-        if not words:
-            return np.zeros(self.parts.shape[1])
-        rows = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.parts[rows].sum(0)
-
-
-def _predict(model: Model | None):
+        found = [LETTERS.findall(t) for t in texts]
+        sizes = np.array([len(w) for w in found])
+        out = np.zeros((len(texts), self.parts.shape[1]))
+        rows = np.array([self[w] for words in found for w in words], dtype=np.int64)
+        if len(rows):
+            held = sizes > 0
+            out[held] = np.add.reduceat(self.parts[rows], (np.cumsum(sizes) - sizes)[held])
+        return out
+
+
+def _grouped(texts: list[str | None]) -> Iterator[list[str]]:
+    """Texts (null: empty) in order, some megabytes at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _predict(model: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(model) if model else None
+        m = model.value if model else None
+        words = _Words(m) if m else None
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                sums = words.sums(text.as_py()) if words is not None and text.is_valid else None
-                if sums is None or not sums[-1]:
-                    out.append(("und", 0.0, True))
+            for texts in _grouped(batch.column(1).to_pylist()):
+                if words is None:
+                    out += [("und", 0.0, True)] * len(texts)
                     continue
-                p = _softmax((sums[:-1] / sums[-1] + model.bias) * model.sharpness)
-                best = int(p.argmax())
-                out.append((model.languages[best], float(p[best]), bool(p[best] < model.reject_below)))
+                sums = words.sums(texts)
+                p = _softmax((sums[:, :-1] / np.maximum(sums[:, -1:], 1) + m.bias) * m.sharpness)
+                best = p.argmax(1)
+                for k, (n, i) in enumerate(zip(sums[:, -1], best.tolist(), strict=True)):
+                    out.append((m.languages[i], float(p[k, i]), bool(p[k, i] < m.reject_below)) if n else ("und", 0.0, True))
             if out:
                 langs, scores, rejected = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores, pa.float64()), pa.array(rejected)], schema=FIELDS)
@@ -157,13 +197,15 @@ def _predict(model: Model | None):
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Per row of ``docs``: doc_id, lang_pred, score and whether the calibrated score is too low to trust.
 
-    ``und`` with score 0 for null texts, texts without a letter, and all texts if nothing could be learned.
-    Other columns are ignored; repeated rows each return.
+    ``und`` with score 0 for null texts, texts without a letter, and all texts if nothing could be learned. Of equally likely
+    languages the first by name is predicted. Repeated rows each return; an empty table gives an empty result. Other columns are ignored.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_predict(model), PREDICTED)
+    return source.mapInArrow(_predict(spark.sparkContext.broadcast(model) if model else None), PREDICTED)
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
+    """``predict`` with a model of ``docs``' own rows outside the held-out fold, and ``held_out``; a null doc_id is in fold 0."""
     return predict(docs, fit(docs, folds, held_out)).select("doc_id", (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "lang_pred", "score", "rejected")
