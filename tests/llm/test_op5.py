@@ -1,9 +1,12 @@
+import random
 import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import Row
 
+from tracewell.llm import ngram_jaccard
+from tracewell.llm.components import connected_components
 from tracewell.llm.ngram_jaccard import link_counts, near_duplicates
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -81,3 +84,58 @@ def test_all_links_of_a_group(spark):
     assert sum(want.values()) > 100
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.n_links for r in link_counts(docs).collect()} == want
+
+
+def test_components_of_chains_stars_and_random_links(spark):
+    rng = random.Random(4)
+    names = [f"{rng.randrange(16**8):08x}" for _ in range(600)]
+    links = [(names[k], names[k + 1]) for k in range(120)] + [(names[150], names[k]) for k in range(151, 350)] + [tuple(rng.sample(names[360:], 2)) for _ in range(150)] + [(names[0], names[0])]
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.set_key: r.component for r in connected_components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {x: find(x) for pair in links if pair[0] != pair[1] for x in pair}
+
+
+def test_order_of_rows_does_not_matter(spark):
+    """Classes are numbered in the order of their keys: another order or dealing of the rows gives the same result."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        again = spark.createDataFrame(rows, "doc_id long, text string").coalesce(seed)
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(again).collect()} == want
+
+
+def test_a_hot_shingle_with_one_stranger(spark):
+    """Of a passage that many linked copies and one other text hold, the copies don't meet each other again."""
+    rows = [("t", f"k{i:04d}", 100, 0, 1, "group") for i in range(3000)] + [("t", "stranger", 100, 0, 1, "other")]
+    prefix = spark.createDataFrame(rows, "token string, set_key string, n long, unshared long, pos long, label string")
+    pairs = ngram_jaccard._strangers(prefix, 80)
+    assert pairs.count() == 3000 and pairs.where("a <> 'stranger' and b <> 'stranger'").count() == 0
+    plan = pairs._jdf.queryExecution().toString()
+    assert "Join" in plan
+
+
+def test_groups_that_share_a_passage(spark):
+    """Two large groups of near copies, one text near to a member of each, and strangers that hold the same passage."""
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(30)]
+    bodies = [[f"g{g}w{i}" for i in range(170)] for g in range(2)]
+    rows = []
+    for g, body in enumerate(bodies):
+        for k in range(60):
+            words = body.copy()
+            words[rng.randrange(170)] = f"x{k}"
+            rows.append((1000 * g + k, " ".join(passage + words)))
+    rows += [(5000 + k, " ".join(passage + [f"s{k}w{i}" for i in range(20 + 3 * k)])) for k in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)

@@ -9,9 +9,14 @@ from tracewell.llm.runtime import written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """Point every neighbour, and the node itself, at the least node around (both steps at once)."""
+    """Point every neighbour of a node, and the node itself, at the least node around it (both kinds of step at once).
+
+    The edges of a node that is the least around it are left out: each of its neighbours names it, or a lesser one and it
+    along, so a star's centre, which may have the edges of a third of all nodes, meets no more than its own row.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    # a stored table, so that the join below is of plain scans, whose hot keys Spark can split
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).where("m < a"), "least-around")
     moved = both.join(least, "a").select(F.col("b").alias("x"), "m").union(least.select(F.col("a").alias("x"), "m"))
     return moved.where("x <> m").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct()
 

@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import kernels
 from tracewell.llm.components import connected_components
-from tracewell.llm.runtime import ship, width, written
+from tracewell.llm.runtime import ship, written
 
 CHUNK_BYTES = 8 << 20
 CHUNK_DOCS = 60_000
 CHUNK_CLASSES = 5000
 MANY = 0xFFFF
+#: 256 buckets at least, and one for about 1,024 documents or classes; 16 bits of a 64-bit entry number a chunk's documents.
+FEWEST_BITS, MOST_BITS, ROWS_A_BUCKET = 8, 16, 1024
 HEADER, LISTS, SINGLE, SEVERAL = 0, 1, 2, 3
 PACKED = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 PACKED_DDL = "key long, chunk long, kind int, blob binary"
@@ -222,12 +224,17 @@ def _counted(packed: DataFrame, bits: int, percent: int) -> DataFrame:
     return answered.groupBy("chunk").applyInArrow(_assemble(percent), SETS_DDL)
 
 
-def _bits(docs: DataFrame) -> int:
-    return min(16, max(8, (4 * width(docs.sparkSession) - 1).bit_length()))
+def _bits(rows: DataFrame) -> int:
+    """Bits of a shingle's hash that name its bucket's task, by the number of rows; 48 more tell shingles apart within a bucket."""
+    return min(MOST_BITS, max(FEWEST_BITS, (rows.count() // ROWS_A_BUCKET).bit_length()))
 
 
 def shingle_table(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """Per document: set size, a key of its set, and its shared shingles (rare first) if it can have a partner."""
+    """Per document: set size, a key of its set, and its shared shingles (rare first) if it can have a partner.
+
+    ``docs`` is a stored table or a projection of one: its rows are numbered by their place in a task, so a lost task must find
+    them in the same order when it runs again. Pass anything else through ``runtime.written`` first.
+    """
     ship(docs.sparkSession)
     bits = _bits(docs)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -238,6 +245,8 @@ def class_table(sets: DataFrame, percent: int = 80) -> DataFrame:
     """Equal sets as one class, counted again: what only copies of one set share leaves, and most classes with it."""
     bits = _bits(sets)
     classes = sets.where("n_shingles > 0 and size(shared) > 0").groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("shared").alias("shared"))
+    # answers name classes by their place in a task's rows, which a task that is run again must repeat
+    classes = classes.sortWithinPartitions("set_key")
     counted = _counted(classes.mapInArrow(_map_classes(bits), PACKED_DDL), bits, percent)
     return counted.where("size(shared) > 0").select("set_key", F.col("n_shingles").alias("n"), "shared", "shape")
 
@@ -274,6 +283,19 @@ def _met(a: DataFrame, b: DataFrame, percent: int, on_labels) -> DataFrame:
     )
 
 
+def _strangers(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of one shingle under different labels, without meeting the pairs of the commonest label of a shingle.
+
+    A passage that a large linked group holds has that group's label; its few rows of other labels meet all rows, the group's
+    own rows only them.
+    """
+    counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("rows"))
+    common = counts.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("common"))
+    both = written(rows.join(common, "token").select(*rows.columns, (F.col("label") == F.col("common")).alias("of_common")), "mixed-prefixes")
+    few, many = both.where("not of_common"), both.where("of_common")
+    return _met(few, few, percent, lambda x, y: x < y).union(_met(few, many, percent, lambda x, y: x != y)).distinct()
+
+
 def linked_classes(classes: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
     """Components of the classes whose sets are at least percent / 100 alike: (set_key, component).
 
@@ -290,8 +312,7 @@ def linked_classes(classes: DataFrame, prefix: DataFrame, percent: int) -> DataF
         leader = F.min(F.struct("unshared", "set_key", "n", "pos", "label")).alias("leader")
         spread = rows.groupBy("token").agg(leader, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         if step == "rest":
-            mixed = rows.join(spread.select("token"), "token", "left_semi")
-            pairs = _met(mixed, mixed, percent, lambda x, y: x < y)
+            pairs = _strangers(rows.join(spread.select("token"), "token", "left_semi"), percent)
         else:
             leaders = spread.select("token", "leader.*")
             pairs = _met(leaders, rows, percent, lambda x, y: x != y)
