@@ -70,3 +70,26 @@ def test_vint(n):
 
 def test_empty_table(spark):
     assert M.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_thousands_of_clusters_of_unknown_size():
+    clusters = [M._id(M.CLUSTER) + b"\xff" + M._uint(M.CLUSTER_TIME, k) + M._element(M.SIMPLE_BLOCK, block(1, 0, 0x80, b"%d" % k)) for k in range(5000)]
+    data = M.HEAD + M._id(M.SEGMENT) + b"\x01" + b"\xff" * 7 + M.DESCRIBED + b"".join(clusters) + M._element(M.CUES, b"")
+    got = M.parse(data)
+    assert [(c, ns // 1_000_000, data[o : o + s]) for c, _, ns, _, _, _, o, s in got.packets] == [(k, k, b"%d" % k) for k in range(5000)]
+
+
+def test_reference_blocks_and_frame_durations():
+    frames = M._laced([b"aa", b"bb", b"cc"])
+    track = M._element(M.TRACKS, M._element(M.TRACK_ENTRY, M._uint(M.TRACK_NUMBER, 3) + M._uint(M.DEFAULT_DURATION, 20_000_000)))
+    body = M._uint(M.CLUSTER_TIME, 50) + M._element(M.SIMPLE_BLOCK, block(3, 5, frames[0], frames[1]))
+    body += M._element(M.BLOCK_GROUP, M._element(M.BLOCK, block(3, 100, 0, b"x")) + M._element(M.REFERENCE_BLOCK, b"\xff"))
+    body += M._element(M.BLOCK_GROUP, M._element(M.BLOCK, block(4, 200, frames[0], frames[1])) + M._uint(M.BLOCK_DURATION, 30))
+    got = M.parse(M.HEAD + M._element(M.SEGMENT, M._element(M.INFO, M._uint(M.TIMESTAMP_SCALE, 1_000_000)) + track + M._element(M.CLUSTER, body)))
+    assert [(t, ns // 1_000_000, key) for _, t, ns, _, key, _, _, _ in got.packets] == [(3, 55, False), (3, 75, False), (3, 95, False), (3, 150, False), (4, 250, True), (4, 250, True), (4, 250, True)]
+
+
+def test_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "same")] * 6 + [(None, "same")], "doc_id long, text string")
+    got = M.round_trip(docs).collect()
+    assert len(got) == 7 and len({(r.media_sha256, r.payload_sha256, r.feature) for r in got}) == 1

@@ -20,10 +20,12 @@ EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE = 0x1A45DFA3, 0x4282, 0x18538067,
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, RATE, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+REFERENCE_BLOCK, DEFAULT_DURATION = 0xFB, 0x23E383
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
-#: Elements that end a cluster of unknown size.
-TOP = {SEGMENT, INFO, TRACKS, CLUSTER, CUES}
+#: How deep each element stands: one that stands no deeper than an open element of unknown size ends it.
+LEVEL = {EBML: 0, SEGMENT: 0, INFO: 1, TRACKS: 1, CLUSTER: 1, CUES: 1}
+NUMBERS = {BLOCK_DURATION: "duration", CUE_TIME: "time", CUE_TRACK: "track", CUE_CLUSTER: "cluster", TRACK_NUMBER: "number", TRACK_TYPE: "type", CHANNELS: "channels", BIT_DEPTH: "bits", DEFAULT_DURATION: "frame_ns"}
 
 SAMPLE_RATE, FRAME, FRAMES_A_BLOCK, BLOCKS_A_CLUSTER = 8000, 1024, 8, 8
 UNIT = 64
@@ -149,69 +151,92 @@ def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
     return out
 
 
+class _Reader:
+    """State of a file that is read from its first element to its last."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.out = data, Parsed()
+        self.group: dict[str, object] = {}
+        self.time = self.segment = 0
+        #: (element, end, whether its size is unknown) of the elements around the place that is read.
+        self.around: list[tuple[int, int, bool]] = [(0, len(data), False)]
+
+    def number(self, at: int, end: int) -> int:
+        return int.from_bytes(self.data[at:end], "big")
+
+    def block(self, at: int, end: int, key: bool | None) -> None:
+        """Packets of a block; frames behind the first of a lace follow at the track's default duration, if it has one."""
+        track, at = _vint(self.data, at)
+        rel, flags = struct.unpack_from(">hB", self.data, at)
+        frames = _frames(self.data, at + 3, end, flags >> 1 & 3)
+        duration = self.group.get("duration") if key is not None else None
+        apart = self.out.tracks.get(track, {}).get("frame_ns", 0)
+        start = (self.time + rel) * self.out.scale
+        for i, (offset, size) in enumerate(frames):
+            self.out.packets.append((len(self.out.clusters) - 1, track, start + i * apart, duration, bool(flags & 0x80) if key is None else key, i, offset, size))
+
+    def open(self, element: int, begin: int, at: int, end: int, unknown: bool) -> None:
+        self.around.append((element, end, unknown))
+        if element == SEGMENT:
+            self.segment = at
+        elif element == CLUSTER:
+            self.time = 0
+            self.out.clusters.append(begin)
+        elif element in (BLOCK_GROUP, CUE_POINT, TRACK_ENTRY):
+            self.group = {}
+
+    def close(self) -> None:
+        element, _, _ = self.around.pop()
+        if element == BLOCK_GROUP and "block" in self.group:
+            self.block(*self.group["block"], "reference" not in self.group)
+        elif element == CUE_POINT:
+            self.out.cues.append((self.group.get("time", 0) * self.out.scale, self.group.get("track", 0), self.segment + self.group.get("cluster", 0)))
+        elif element == TRACK_ENTRY:
+            self.out.tracks[self.group.pop("number", 0)] = self.group
+            self.group = {}
+
+    def leaf(self, element: int, at: int, end: int) -> None:
+        if element == SIMPLE_BLOCK:
+            self.block(at, end, None)
+        elif element == BLOCK:
+            self.group["block"] = (at, end)
+        elif element == REFERENCE_BLOCK:
+            self.group["reference"] = True
+        elif element == CLUSTER_TIME:
+            self.time = self.number(at, end)
+        elif element == TIMESTAMP_SCALE:
+            self.out.scale = self.number(at, end)
+        elif element == CODEC:
+            self.group["codec"] = self.data[at:end].decode()
+        elif element == RATE:
+            self.group["rate"] = struct.unpack(">d" if end - at == 8 else ">f", self.data[at:end])[0]
+        elif element in NUMBERS:
+            self.group[NUMBERS[element]] = self.number(at, end)
+
+
 def parse(data: bytes) -> Parsed:
-    """Read all elements of a file; unknown ones are skipped, and sizes may be unknown."""
-    out = Parsed()
-    group: dict[str, object] = {}
-    cluster = {"n": -1, "time": 0}
-    segment = 0
-
-    def number(at: int, end: int) -> int:
-        return int.from_bytes(data[at:end], "big")
-
-    def block(at: int, end: int, simple: bool, duration: int | None) -> None:
-        track, at = _vint(data, at)
-        rel, flags = struct.unpack_from(">hB", data, at)
-        for i, (offset, size) in enumerate(_frames(data, at + 3, end, flags >> 1 & 3)):
-            out.packets.append((cluster["n"], track, (cluster["time"] + rel) * out.scale, duration, bool(flags & 0x80) if simple else True, i, offset, size))
-
-    def walk(at: int, end: int, parent: int) -> int:
-        nonlocal segment, group
-        while at < end:
-            begin = at
-            element, at = _vint(data, at, keep_marker=True)
-            size, at = _vint(data, at)
-            if parent == CLUSTER and size is not None and element in TOP and element != SEGMENT:
-                return begin
-            stop = end if size is None else at + size
-            if stop > end:
-                raise ValueError(f"element at {begin} ends behind its parent")
-            if element in MASTERS:
-                if element == SEGMENT:
-                    segment = at
-                elif element == CLUSTER:
-                    cluster.update(n=cluster["n"] + 1, time=0)
-                    out.clusters.append(begin)
-                elif element in (BLOCK_GROUP, CUE_POINT, TRACK_ENTRY):
-                    group = {}
-                after = walk(at, stop, element)
-                stop = after if size is None else stop
-                if element == BLOCK_GROUP and "block" in group:
-                    block(*group["block"], False, group.get("duration"))
-                elif element == CUE_POINT:
-                    out.cues.append((group.get("time", 0) * out.scale, group.get("track", 0), segment + group.get("cluster", 0)))
-                elif element == TRACK_ENTRY:
-                    out.tracks[group.pop("number", 0)] = group
-            elif element == SIMPLE_BLOCK:
-                block(at, stop, True, None)
-            elif element == BLOCK:
-                group["block"] = (at, stop)
-            elif element == CLUSTER_TIME:
-                cluster["time"] = number(at, stop)
-            elif element == TIMESTAMP_SCALE:
-                out.scale = number(at, stop)
-            elif element == CODEC:
-                group["codec"] = data[at:stop].decode()
-            elif element == RATE:
-                group["rate"] = struct.unpack(">d" if stop - at == 8 else ">f", data[at:stop])[0]
-            elif element in (BLOCK_DURATION, CUE_TIME, CUE_TRACK, CUE_CLUSTER, TRACK_NUMBER, TRACK_TYPE, CHANNELS, BIT_DEPTH):
-                name = {BLOCK_DURATION: "duration", CUE_TIME: "time", CUE_TRACK: "track", CUE_CLUSTER: "cluster", TRACK_NUMBER: "number", TRACK_TYPE: "type", CHANNELS: "channels", BIT_DEPTH: "bits"}[element]
-                group[name] = number(at, stop)
-            at = stop
-        return at
-
-    walk(0, len(data), 0)
-    return out
+    """Read all elements of a file, one after the other; unknown ones are skipped, and sizes may be unknown."""
+    reader, at = _Reader(data), 0
+    while at < len(data):
+        while at >= reader.around[-1][1]:
+            reader.close()
+        begin = at
+        element, at = _vint(data, at, keep_marker=True)
+        size, at = _vint(data, at)
+        while reader.around[-1][2] and LEVEL.get(element, 9) <= LEVEL.get(reader.around[-1][0], 9):
+            reader.close()
+        limit = reader.around[-1][1]
+        end = limit if size is None else at + size
+        if end > limit:
+            raise ValueError(f"element at {begin} ends behind its parent")
+        if element in MASTERS:
+            reader.open(element, begin, at, end, size is None)
+        else:
+            reader.leaf(element, at, end)
+            at = end
+    while len(reader.around) > 1:
+        reader.close()
+    return reader.out
 
 
 PACKETS = "media_id long, cluster int, track int, timestamp_ns long, keyframe boolean, lace int, offset long, size long, is_cue boolean"
@@ -292,5 +317,9 @@ def described(media: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Store every text as media and read it back. Null texts count as empty; repeated rows each return."""
+    """Store every text as media and read it back, one row per row of ``docs``.
+
+    Null texts count as empty; a null doc_id is kept; repeated rows each return, and equal texts have equal values. An empty
+    table gives an empty result. Other columns are ignored.
+    """
     return described(stored(docs))
