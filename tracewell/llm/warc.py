@@ -2,7 +2,8 @@
 
 Archives are gzip members, one per record. Each member names its own compressed length in its
 header's extra field, so a reader inflates a record's headers first and, unless its payload is wanted,
-seeks to the next one; members without the field are inflated to their end.
+seeks to the next one; members without the field are inflated to their end. A partition is a range of bytes of
+a compressed file, and has the records that begin there.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from tracewell.llm.runtime import shared_dir, ship
+from tracewell.llm.runtime import shared_dir, ship, written
 
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, content_type string, headers map<string,string>, payload_bytes long, payload binary, file string, offset long"
 FIELDS = pa.schema(
@@ -42,7 +43,8 @@ FIELDS = pa.schema(
 #: Columns that record headers give, and their names there.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "content_type": "content-type"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PART_BYTES = 64 << 20
+#: Bytes of a partition, and of a file that is written; bytes that are searched for a member at once.
+PART_BYTES, SEARCH = 64 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -135,25 +137,47 @@ def _member_start(head: bytes) -> tuple[int, int]:
     return at + (2 if flags & 2 else 0), length
 
 
-def records(stream, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], int | None, bytes | None, int]]:
-    """(headers, payload length, payload, offset) of the records whose headers ``wanted`` accepts; gzip or plain files."""
-    source, at = _Source(stream), 0
-    while at < source.size:
+def _first_member(source: _Source, at: int, end: int) -> int:
+    """Where the first gzip member of a record begins in [at, end), else ``end``: its marks, and a record behind them."""
+    while at < end:
+        window = source.at(at, SEARCH + 2)
+        found = window.find(b"\x1f\x8b\x08")
+        while 0 <= found < SEARCH and at + found < end:
+            head = source.at(at + found, 8192)
+            try:
+                if zlib.decompressobj(-15).decompress(head[_member_start(head)[0] :], 5) == b"WARC/":
+                    return at + found
+            except (ValueError, IndexError, struct.error, zlib.error):
+                pass  # the same bytes inside of compressed data
+            found = window.find(b"\x1f\x8b\x08", found + 1)
+        at += SEARCH
+    return end
+
+
+def records(stream, wanted, with_payload: bool, start: int = 0, end: int | None = None) -> Iterator[tuple[dict[str, str], int | None, bytes | None, int]]:
+    """(headers, payload length, payload, offset) of the records whose headers ``wanted`` accepts; gzip or plain files.
+
+    ``start``, ``end``: only records that begin there (compressed files).
+    """
+    source = _Source(stream)
+    end = source.size if end is None else min(end, source.size)
+    at = _first_member(source, start, end) if start else 0
+    while at < end:
         head = source.at(at, 8192)
         if head[:5] == b"WARC/":
-            end = head.find(b"\r\n\r\n")
-            while end < 0:
+            split = head.find(b"\r\n\r\n")
+            while split < 0:
                 more = source.at(at + len(head), 65536)
                 if not more:
                     raise ValueError(f"record at {at} has no end of headers")
                 head += more
-                end = head.find(b"\r\n\r\n")
-            headers = _parse_headers(head[:end])
+                split = head.find(b"\r\n\r\n")
+            headers = _parse_headers(head[:split])
             length = int(headers.get("content-length", 0))
             if wanted(headers):
                 # a payload is read whole only if it is asked for; else the start of the block gives its length
-                yield (headers, *_payload(headers, source.at(at + end + 4, length if with_payload else min(length, 65536)), length, with_payload), at)
-            at += end + 4 + length + 4
+                yield (headers, *_payload(headers, source.at(at + split + 4, length if with_payload else min(length, 65536)), length, with_payload), at)
+            at += split + 4 + length + 4
         elif head[:2] == b"\r\n":
             at += 2
         else:
@@ -166,8 +190,8 @@ def records(stream, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str]
                 if not more:
                     raise ValueError(f"member at {at} is cut short")
                 plain += unpack.decompress(more, 65536)
-            end = plain.find(b"\r\n\r\n")
-            headers = _parse_headers(plain[:end])
+            split = plain.find(b"\r\n\r\n")
+            headers = _parse_headers(plain[:split])
             take = wanted(headers)
             length = int(headers.get("content-length", 0))
             if not total or take and with_payload:
@@ -182,8 +206,11 @@ def records(stream, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str]
                         parts.append(got)
                 total = fed - len(unpack.unused_data) - at + 8
                 plain = b"".join(parts)
+                tail = unpack.unused_data[:4] if len(unpack.unused_data) >= 4 else source.at(at + total - 8, 4)
+                if take and zlib.crc32(plain) != int.from_bytes(tail, "little"):
+                    raise ValueError(f"member at {at} is damaged")
             if take:
-                yield (headers, *_payload(headers, plain[end + 4 : end + 4 + length], length, with_payload), at)
+                yield (headers, *_payload(headers, plain[split + 4 : split + 4 + length], length, with_payload), at)
             at += total
 
 
@@ -201,15 +228,19 @@ def _payload(headers: dict[str, str], block: bytes, length: int, with_payload: b
 
 @dataclass
 class WarcPartition(InputPartition):
-    files: tuple[tuple[str, int], ...]
+    #: (file, first byte, end) of each range.
+    ranges: tuple[tuple[str, int, int], ...]
 
-    def __init__(self, files: tuple[tuple[str, int], ...]) -> None:
+    def __init__(self, ranges: tuple[tuple[str, int, int], ...]) -> None:
         super().__init__(None)
-        self.files = files
+        self.ranges = ranges
 
 
 class WarcReader(DataSourceReader):
-    """Partitions are groups of whole files. Predicates on header columns are decided before a payload is touched."""
+    """Partitions are ranges of large compressed files, or groups of smaller files; a plain file stays whole, since its payloads may hold records.
+
+    Predicates on header columns are decided before a payload is touched.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
@@ -235,15 +266,17 @@ class WarcReader(DataSourceReader):
         info = store.get_file_info(path)
         found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
         files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith((".warc", ".warc.gz")))
-        parts: list[list[tuple[str, int]]] = []
+        ranges = [(name, at, min(at + self.part_bytes, size)) for name, size in files if name.endswith(".gz") for at in range(0, size, self.part_bytes)]
+        ranges += [(name, 0, size) for name, size in files if not name.endswith(".gz")]
+        parts: list[list[tuple[str, int, int]]] = []
         room = 0
-        for name, size in sorted(files, key=lambda f: (-f[1], f[0])):
-            if not parts or room < size:
+        for name, start, end in sorted(ranges, key=lambda r: (r[1] - r[2], r)):
+            if not parts or room < end - start:
                 parts.append([])
                 room = self.part_bytes
-            parts[-1].append((name, size))
-            room -= size
-        return [WarcPartition(tuple(p)) for p in parts]
+            parts[-1].append((name, start, end))
+            room -= end - start
+        return [WarcPartition(tuple(p)) for p in parts or [[]]]
 
     def _wanted(self, headers: dict[str, str]) -> bool:
         for kind, name, values in self.tests:
@@ -254,11 +287,11 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition: WarcPartition) -> Iterator[pa.RecordBatch]:
         store, _ = filesystem(self.path)
-        for name, _ in partition.files:
+        for name, start, end in partition.ranges:
             with store.open_input_file(name) as stream:
                 rows: list[tuple] = []
                 size = 0
-                for headers, length, payload, offset in records(stream, self._wanted, self.with_payload):
+                for headers, length, payload, offset in records(stream, self._wanted, self.with_payload, start, end):
                     values = [_plain(h, headers[h]) if h in headers else None for h in HEADERS.values()]
                     rows.append((*values, list(headers.items()), length, payload, name, offset))
                     size += len(payload or b"") + 500
@@ -282,15 +315,15 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 @dataclass
 class Written(WriterCommitMessage):
-    file: str
-    n: int
+    files: tuple[str, ...]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Rows of (record_id, target_uri, payload, refers_to) as records; a file per task, renamed when the job commits."""
+    """Rows of (record_id, target_uri, payload, refers_to) as records; files of about partBytes, renamed when the job commits."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
+        self.part_bytes = int(options.get("partbytes", PART_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -298,31 +331,37 @@ class WarcWriter(DataSourceArrowWriter):
         store, path = filesystem(self.path)
         store.create_dir(path, recursive=True)
         task = TaskContext.get()
-        name = f"{path}/part-{task.partitionId() if task else 0:05d}-{uuid.uuid4().hex}.warc.gz"
-        n = 0
-        with store.open_output_stream(name + ".open", compression=None) as out:
-            out.write(member(record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date": DATE, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")))
-            for batch in iterator:
-                for record_id, uri, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("record_id", "target_uri", "payload", "refers_to")), strict=True):
-                    out.write(member(page_record(record_id, " ".join((uri or "").split()), payload or b"", refers_to)))
-                    n += 1
-        return Written(name, n)
+        stem = f"{path}/part-{task.partitionId() if task else 0:05d}-{uuid.uuid4().hex}"
+        rows = (row for batch in iterator for row in zip(*(batch.column(c).to_pylist() for c in ("record_id", "target_uri", "payload", "refers_to")), strict=True))
+        files, row = [], next(rows, None)
+        while row is not None:
+            files.append(f"{stem}-{len(files):04d}.warc.gz")
+            with store.open_output_stream(files[-1] + ".open", compression=None) as out:
+                out.write(member(record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, files[-1])}>", "WARC-Date": DATE, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")))
+                size = 0
+                while row is not None and size < self.part_bytes:
+                    record_id, uri, payload, refers_to = row
+                    size += out.write(member(page_record(record_id, " ".join((uri or "").split()), payload or b"", refers_to)))
+                    row = next(rows, None)
+        return Written(tuple(files))
 
     def commit(self, messages: list[Written | None]) -> None:
         store, _ = filesystem(self.path)
-        for m in messages:
-            if m is not None:
-                store.move(m.file + ".open", m.file)
+        for name in (f for m in messages if m is not None for f in m.files):
+            store.move(name + ".open", name)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, _ = filesystem(self.path)
-        for m in messages:
-            if m is not None:
-                store.delete_file(m.file + ".open")
+        for name in (f for m in messages if m is not None for f in m.files):
+            store.delete_file(name + ".open")
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc")`` and ``df.write.format("warc")``; options: path, partBytes, payload (false: headers only)."""
+    """``spark.read.format("warc")`` and ``df.write.format("warc")``; options: path, partBytes, payload (false: headers only).
+
+    Load anew for each query: Spark keeps the predicates that one query has pushed down with the loaded table, and a later
+    query of the same DataFrame without any would still have them applied.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -354,8 +393,10 @@ def page_records(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), payload.alias("payload"))
     large = F.octet_length("payload") >= LEAST
     digests = rows.where(large).select("page_id", F.sha1("payload").alias("digest"))
-    several = digests.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keep")
-    named = rows.withColumn("digest", F.when(large, F.sha1("payload")))
+    # stored, so that its size is known: a small table is sent to the payloads, and only for a large one do payloads move
+    several = written(digests.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keep"), "repeated-digests")
+    # a smaller page has no digest to look for; its key says which page it is, so that such pages are not one group
+    named = rows.withColumn("digest", F.when(large, F.sha1("payload")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "target_uri", "payload").cast("string"))))
     again = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     record_id = F.concat(F.lit(PREFIX), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
     return named.join(several, "digest", "left").select(
