@@ -29,8 +29,7 @@ ODD = [(5_000_000_000, None), (7_000_000_000, ""), (8_000_000_000, "!!! ***"), (
 @pytest.mark.parametrize("odd", [False, True])
 def test_against_brute_force(spark, odd, monkeypatch):
     if odd:
-        monkeypatch.setattr(spotsigs, "BLOCK", 2)
-        monkeypatch.setattr(spotsigs, "GROUP", 2)
+        monkeypatch.setattr(spotsigs, "RANGES", 17)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + (ODD if odd else [])
     got = spotsigs.fingerprints(spark.createDataFrame([Row(doc_id=i, text=t, block=1, last="q", n_chars=-1) for i, t in rows])).collect()
     by = {r.doc_id: r for r in got}
@@ -44,6 +43,8 @@ def test_against_brute_force(spark, odd, monkeypatch):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.near_edited == pytest.approx(jaccard(spots(t), spots(edited))) and r.near_next == pytest.approx(jaccard(spots(t), spots(nxt)))
         assert len(r.fingerprint) == 16 * len(spots(t))
+        for is_near, a, b in ((r.edited_is_near, t, edited), (r.next_is_near, t, nxt)):
+            assert is_near == (100 * len(spots(a) & spots(b)) >= 80 * len(spots(a) | spots(b)))
     long = [r.near_edited for r in got if r.n_chars > 1500]
     assert sum(long) / len(long) > 0.4
 
@@ -78,4 +79,36 @@ def test_groups(spark):
                     root[max(x, y)] = min(x, y)
     got = {r.doc_id: r.component_id for r in spotsigs.near_groups(docs).collect()}
     assert got == {i: find(i) for i in ids}
-    assert F.col is not None
+
+
+def test_groups_of_odd_rows(spark):
+    text = "the old mill by the river was closed in the spring of that year for repairs and the miller left"
+    rows = [(4, text), (4, text), (None, text), (9, None), (8, ""), (7, "one two"), (6, "two one"), (3, text + " the end of it came soon")]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, own=1, token="x", partition=2, n=3) for i, t in rows])
+    got = sorted(((r.doc_id or 0), r.component_id) for r in spotsigs.near_groups(docs).collect())
+    assert len(got) == 8 and [c for i, c in got if i in (0, 4)] == [4, 4, 4] and all(i == c for i, c in got if i > 5)
+    assert spotsigs.near_groups(docs.limit(0)).count() == 0
+
+
+def test_near_sets_are_in_neighbouring_partitions(spark):
+    sizes = spark.range(1, 3000).select("id", spotsigs.size_partition(F.col("id")).alias("p")).collect()
+    by = {r.id: r.p for r in sizes}
+    assert all(by[n] - by[m] <= 1 for n in by for m in range(-(-n * 80 // 100), n + 1))
+
+
+def test_ranges_follow_the_ids(spark):
+    """A far id, many rows of one id and many without any leave no range with more than a small part of the rows."""
+    rows = [(i, f"text {i}") for i in range(4000)] + [(2**60, "far")] + [(77, f"same id {i}") for i in range(2000)] + [(None, f"no id {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("mark"))
+    block, blocks = spotsigs._range_of(docs, key)
+    sizes = [r["count"] for r in docs.groupBy(block.alias("b")).count().collect()]
+    assert len(sizes) == blocks > 20 and max(sizes) < 4 * len(rows) / blocks
+    got = spotsigs.fingerprints(docs).select("doc_id", "edited_sha256").collect()
+    order = sorted(((i is not None, i or 0), t) for i, t in rows if i != 77 and i is not None)
+    want = {}
+    for k, ((_, i), t) in enumerate(order):
+        nxt = order[k - 1][1]
+        want[i] = hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]).encode()).hexdigest()
+    wrong = [r.doc_id for r in got if r.doc_id not in (None, 77, 78, 0) and r.edited_sha256 != want[r.doc_id]]
+    assert len(got) == len(rows) and not wrong

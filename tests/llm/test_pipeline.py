@@ -1,11 +1,12 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 
 from tests.llm.test_op5 import brute
 from tests.llm.test_op8 import check
-from tracewell.llm import mixing, quality, secrets
+from tracewell.llm import mixing, packing, quality, secrets
 from tracewell.llm.runtime import written
 
 SF = "/root/testdata/sf0.01"
@@ -18,7 +19,12 @@ def test_every_stage(spark):
     for name, stage in P.STAGES:
         before, docs = docs, written(stage(spark, docs, SF), name)
         if name == "packing":
-            assert check([(r.doc_id, r.text) for r in before.collect()], docs.collect()) < 0.05 if before.groupBy("doc_id").count().where("count > 1").isEmpty() else docs.count() > 0
+            # mixing repeats documents; with ids of their own the copies can be told apart, and pack as the stage packs them
+            single = written(before.withColumn("doc_id", F.monotonically_increasing_id()), "single")
+            assert check([(r.doc_id, r.text) for r in single.collect()], packing.pack(single).collect()) < 0.05
+            ids = {r._row: r.doc_id for r in written(before.withColumn("_row", F.monotonically_increasing_id()), "rows").collect()}
+            pieces = lambda rows, name: Counter((name(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows)
+            assert pieces(docs.collect(), lambda i: i) == pieces(packing.pack(single).collect(), ids.__getitem__)
             continue
         assert docs.schema == schema
         old, new = defaultdict(list), defaultdict(list)
@@ -50,6 +56,21 @@ def test_run(spark):
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
 
 
+def test_many_repeats_of_one_document(spark):
+    text = "a text of more than five words that is repeated many times"
+    rows = [(1, text, "a", k % 3) for k in range(3000)] + [(1, text + " and more", "a", 7)] + [(2, "  ", None, k) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = P.distinct_documents(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text or "", r.n_chars) for r in got if r.doc_id == 1) == [(1, text, 0), (1, text + " and more", 7)]
+    assert sum(r.doc_id == 2 for r in got) == 50
+
+
+def test_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
 def test_repeated_rows_are_one_document(spark):
     text = "one two three four five six seven"
     rows = [(1, text, "a", 33), (1, text, "a", 33), (2, text, "b", 33), (None, text, "a", 33), (5, "", "a", 0), (5, "", "a", 0), (6, None, None, None), (7, "other words that nobody else has here", "a", 38)]

@@ -16,6 +16,10 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op1_spotsigs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
