@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, ngram_jaccard, packing, quality, secrets
@@ -21,34 +21,46 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject, null and empty ones scored as an empty text; all of them where no model can be fitted.
+
+    Ties and repeated rows go alike, other columns are kept, and an empty table gives an empty result.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the smallest doc_id; repeated rows of that id and text are one document.
+    """One document of each group, the smallest doc_id; repeated rows of that id and text are one document, the least by its other columns.
 
-    Texts without words are linked with nothing and stay, repeated or not; documents without an id can't stand
-    for a group and stay.
+    Null, empty and other texts without words are linked with nothing and stay, repeated or not; documents without an id can't
+    stand for a group and stay. Other columns, whatever their names, are kept. An empty table gives an empty result.
     """
     found = ngram_jaccard.near_duplicates(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), (F.count(F.lit(1)) > 1).alias("repeated"))
     kept = written(found.where("kept").select("doc_id", "repeated"), "kept-ids")
     single = docs.join(kept.where("not repeated"), "doc_id", "left_semi").select(*docs.columns)
-    # only ids that several rows have need their texts compared
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], "text")
-    counted = docs.join(kept.where("repeated"), "doc_id", "left_semi").withColumn("_repeat", F.row_number().over(same))
-    once = counted.where((F.col("_repeat") == 1) | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select(*docs.columns)
+    # equal rows of an id that several have come down to one in each task before they meet
+    counted = docs.join(kept.where("repeated"), "doc_id", "left_semi")
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = counted.where(~wordless).groupBy("doc_id", F.sha2("text", 256).alias("_text")).agg(F.min(F.struct(*others, "text")).alias("_row"))
+    once = least.select(*[F.col(c) if c == "doc_id" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]).unionByName(counted.where(wordless))
     return single.unionByName(once).unionByName(docs.where("doc_id is null"))
 
 
 def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, found secrets masked; null and empty texts, repeated rows and other columns as they are. Empty tables stay empty."""
     return secrets.redact(docs)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the schedule takes them, in its order; null and empty texts have no words to take. Repeated rows count each.
+
+    Other columns are kept; an empty table gives an empty result.
+    """
     return mixing.mixed(docs)
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents (null text: empty) in sequences; repeated rows are packed each, other columns left out. No rows for none."""
     return packing.pack(docs)
 
 
