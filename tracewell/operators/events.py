@@ -7,10 +7,10 @@ ingest_ord, the row's place in its input. A case is one machine's evidence; many
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.errors import TracewellError
+from tracewell.shared import ranged, running
 
 EVENTS = (
     "case_id string, event_type string, timestamp_utc timestamp, raw_timestamp string, source_artifact string, parser_name string, parser_version string, "
@@ -30,17 +30,35 @@ def timeline(events: DataFrame) -> DataFrame:
 
 
 def positions(events: DataFrame) -> DataFrame:
-    """``events`` with their place in their case's timeline."""
-    return events.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy(*order_key())).cast("long"))
+    """``events`` with their place in their case's timeline: ranges of it are counted, then numbered, so a case may have any size."""
+    dealt = ranged(events, ["case_id", *order_key()], "timeline")
+    order = [*order_key(), F.col("row")]
+    return running(dealt, ["case_id"], "part", order, F.lit(1).cast("long"), "before").withColumn("position", F.col("before") + 1).drop("before", "part", "row")
 
 
-def merged(*streams: DataFrame) -> DataFrame:
-    """Union of streams in timeline order; of equal events the earlier stream's comes first."""
+def united(*streams: DataFrame) -> DataFrame:
+    """The rows of all streams, each with the number of its stream."""
     parts = [s.withColumn("stream", F.lit(i)) for i, s in enumerate(streams)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy("case_id", *order_key()[:-1], "stream", "ingest_ord").drop("stream")
+    return out
+
+
+def merge_key() -> list[Column]:
+    """Order of merged streams: that of a timeline, and of equal events the earlier stream's first."""
+    return [*order_key()[:-1], F.col("stream"), F.col("ingest_ord")]
+
+
+def merged(*streams: DataFrame) -> DataFrame:
+    """Union of streams in timeline order; of equal events the earlier stream's comes first."""
+    return united(*streams).orderBy("case_id", *merge_key()).drop("stream")
+
+
+def merge_positions(*streams: DataFrame) -> DataFrame:
+    """The merged streams as a table: each event with its stream and its place in its case."""
+    dealt = ranged(united(*streams), ["case_id", *merge_key()], "merged")
+    return running(dealt, ["case_id"], "part", [*merge_key(), F.col("row")], F.lit(1).cast("long"), "before").withColumn("position", F.col("before") + 1).drop("before", "part", "row")
 
 
 def problems() -> Column:
@@ -48,7 +66,7 @@ def problems() -> Column:
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     checks = [F.when(F.col("timestamp_utc").isNull(), F.lit("timestamp_utc"))]
     checks += [F.when(blank(c), F.lit(c)) for c in ("raw_timestamp", "source_artifact", "parser_name", "parser_version")]
-    checks += [F.when(F.col("event_type").isin(INSERT, REMOVE) & blank("device_id"), F.lit("device_id")), F.when((F.col("event_type") == ACCESS) & F.col("file_path").isNull(), F.lit("file_path"))]
+    checks += [F.when(F.col("event_type").isin(INSERT, REMOVE) & blank("device_id"), F.lit("device_id")), F.when((F.col("event_type") == ACCESS) & (F.coalesce("file_path", F.lit("")) == ""), F.lit("file_path"))]
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
@@ -68,8 +86,3 @@ def validated(events: DataFrame, strict: bool = True) -> DataFrame:
 
 def type_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-def require(condition: bool, message: str, error: type[TracewellError] = TracewellError) -> None:
-    if not condition:
-        raise error(message)

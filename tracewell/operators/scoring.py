@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,34 +29,67 @@ def in_protected_directory(path: Column, weights: Weights) -> Column:
     return found
 
 
-def file_contributions(inside: DataFrame, weights: Weights | None = None, hashes: DataFrame | None = None) -> DataFrame:
-    """One row per rule that a file of a session fires: keys, file_ord, rule_idx, rule, points, source_artifacts, explanation.
+# Rules in their order, and what a finding says; {} stands for a value.
+RULE_INDEX = {"activity_within_30s": 0, "activity_within_5min": 0, "sensitive_extension": 1, "protected_directory": 2, "destination_hash_match": 3, SEVERAL: 4}
+SAYS = {
+    "activity_within_30s": "'{path}' was accessed {seconds}s after the session started, within the 30-second window.",
+    "activity_within_5min": "'{path}' was accessed {seconds}s after the session started, within the 5-minute window.",
+    "sensitive_extension": "'{path}' has a sensitive extension.",
+    "protected_directory": "'{path}' is located in a protected project directory.",
+    "destination_hash_match": "'{path}' has a SHA-256 hash matching a file found on the destination USB.",
+    SEVERAL: "{count} distinct confidential files were accessed in this session.",
+    "CONFIRMED": "A cryptographic hash match was found between a source file and a file on the destination USB.",
+    "HIGH": "Score {score} meets the High threshold ({limit}) and both session boundaries are backed by an observed device event, not inferred.",
+    "MEDIUM": "Score {score} meets the Medium threshold ({limit}), or multiple related files were accessed shortly after insertion, consistent with staging behaviour.",
+    "LOW": "Score {score} is above zero but below the Medium threshold ({limit}).",
+    "NONE": "No scoring rule fired for this session.",
+}
+
+
+def said(name: str, **values: Column | int) -> Column:
+    """The sentence of a rule or level, its values filled in."""
+    parts = re.split(r"\{(\w+)\}", SAYS[name])
+    return F.concat(*[(v if isinstance(v := values[p], Column) else F.lit(v)).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def with_hash_hits(events: DataFrame, hashes: DataFrame | None) -> DataFrame:
+    """``events`` with ``hash_hit``: whether the digest in their details is in ``hashes``.
 
     ``hashes``: (sha256) of files found on the destination, in lower case; joined as a table, whatever its size.
     """
-    w = weights or Weights()
-    rows = inside.where("file_path IS NOT NULL")
-    order = Window.partitionBy(*SESSION).orderBy(*[order_key()[i] for i in (0, 2, 1, 3, 5, 6, 7, 8)])
-    rows = rows.withColumn("file_ord", F.row_number().over(order).cast("long"))
     if hashes is None:
-        rows = rows.withColumn("hash_hit", F.lit(False))
-    else:
-        own = F.lower(F.get_json_object("details", "$.sha256"))
-        rows = rows.withColumn("_sha", own).join(hashes.select(F.col("sha256").alias("_sha"), F.lit(True).alias("_hit")).distinct(), "_sha", "left").withColumn("hash_hit", F.coalesce("_hit", F.lit(False)))
+        return events.withColumn("hash_hit", F.lit(False))
+    own = F.lower(F.get_json_object("details", "$.sha256"))
+    named = hashes.select(F.col("sha256").alias("_sha"), F.lit(True).alias("_hit")).distinct()
+    return events.withColumn("_own", own).join(named, F.col("_own") == F.col("_sha"), "left").withColumn("hash_hit", F.coalesce("_hit", F.lit(False))).drop("_own", "_sha", "_hit")
+
+
+def fired_rules(w: Weights) -> dict[str, tuple[Column, int]]:
+    """When each rule of a single file fires, on columns file_path, offset_us and hash_hit, and its points."""
     path, offset = F.col("file_path"), F.col("offset_us")
-    seconds = F.bround((offset / F.lit(1_000_000)).cast("decimal(30,6)"), 0).cast("long").cast("string")
-    quoted = F.concat(F.lit("'"), path, F.lit("'"))
-    delay = lambda limit: F.concat(quoted, F.lit(" was accessed "), seconds, F.lit(f"s after the session started, within the {limit} window."))
-
-    def rule(index: int, name: str, points: int, text: Column) -> Column:
-        return F.struct(F.lit(index).cast("long").alias("rule_idx"), F.lit(name).alias("rule"), F.lit(points).cast("long").alias("points"), text.alias("explanation"))
-
-    fired = F.array(
-        F.when((offset >= 0) & (offset <= 30_000_000), rule(0, "activity_within_30s", w.activity_within_30s, delay("30-second"))).when((offset >= 0) & (offset <= 300_000_000), rule(0, "activity_within_5min", w.activity_within_5min, delay("5-minute"))),
-        F.when(has_sensitive_extension(path, w), rule(1, "sensitive_extension", w.sensitive_extension, F.concat(quoted, F.lit(" has a sensitive extension.")))),
-        F.when(in_protected_directory(path, w), rule(2, "protected_directory", w.protected_directory, F.concat(quoted, F.lit(" is located in a protected project directory.")))),
-        F.when(F.col("hash_hit"), rule(3, "destination_hash_match", w.destination_hash_match, F.concat(quoted, F.lit(" has a SHA-256 hash matching a file found on the destination USB.")))),
-    )
+    soon = (offset >= 0) & (offset <= 30_000_000)
+    return {
+        "activity_within_30s": (soon, w.activity_within_30s),
+        "activity_within_5min": (~soon & (offset >= 0) & (offset <= 300_000_000), w.activity_within_5min),
+        "sensitive_extension": (has_sensitive_extension(path, w), w.sensitive_extension),
+        "protected_directory": (in_protected_directory(path, w), w.protected_directory),
+        "destination_hash_match": (F.col("hash_hit"), w.destination_hash_match),
+    }
+
+
+def file_contributions(inside: DataFrame, weights: Weights | None = None) -> DataFrame:
+    """One row per rule that a file of a session fires: keys, file_ord, rule_idx, rule, points, source_artifacts, explanation.
+
+    ``inside``: file events of sessions, with hash_hit.
+    """
+    order = Window.partitionBy(*SESSION).orderBy(*[order_key()[i] for i in (0, 2, 1, 3, 5, 6, 7, 8)])
+    rows = inside.where("file_path IS NOT NULL").withColumn("file_ord", F.row_number().over(order).cast("long"))
+    seconds = F.bround((F.col("offset_us") / F.lit(1_000_000)).cast("decimal(30,6)"), 0).cast("long")
+
+    def rule(name: str, points: int) -> Column:
+        return F.struct(F.lit(RULE_INDEX[name]).cast("long").alias("rule_idx"), F.lit(name).alias("rule"), F.lit(points).cast("long").alias("points"), said(name, path=F.col("file_path"), seconds=seconds).alias("explanation"))
+
+    fired = F.array(*[F.when(holds, rule(name, points)) for name, (holds, points) in fired_rules(weights or Weights()).items()])
     exploded = rows.select(*SESSION, "file_ord", F.array("source_artifact").alias("source_artifacts"), F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("r"))
     return exploded.select(*SESSION, "file_ord", "r.rule_idx", "r.rule", "r.points", "source_artifacts", "r.explanation")
 
@@ -65,40 +100,48 @@ def several_confidential(inside: DataFrame, weights: Weights | None = None) -> D
     path = F.col("file_path")
     paths = inside.where(has_sensitive_extension(path, w) | in_protected_directory(path, w)).groupBy(*SESSION).agg(F.sort_array(F.collect_set("file_path")).alias("source_artifacts")).where(F.size("source_artifacts") >= 2)
     return paths.select(
-        *SESSION, F.lit(None).cast("long").alias("file_ord"), F.lit(4).cast("long").alias("rule_idx"), F.lit(SEVERAL).alias("rule"), F.lit(w.multiple_confidential_files).cast("long").alias("points"), "source_artifacts",
-        F.concat(F.size("source_artifacts").cast("string"), F.lit(" distinct confidential files were accessed in this session.")).alias("explanation"),
+        *SESSION, F.lit(None).cast("long").alias("file_ord"), F.lit(RULE_INDEX[SEVERAL]).cast("long").alias("rule_idx"), F.lit(SEVERAL).alias("rule"), F.lit(w.multiple_confidential_files).cast("long").alias("points"), "source_artifacts",
+        said(SEVERAL, count=F.size("source_artifacts")).alias("explanation"),
     )
 
 
-def contributions(inside: DataFrame, weights: Weights | None = None, hashes: DataFrame | None = None) -> DataFrame:
-    return file_contributions(inside, weights, hashes).unionByName(several_confidential(inside, weights))
+def contributions(inside: DataFrame, weights: Weights | None = None) -> DataFrame:
+    return file_contributions(inside, weights).unionByName(several_confidential(inside, weights))
+
 
+def scores(inside: DataFrame, weights: Weights | None = None) -> DataFrame:
+    """Every session with its total and whether the two rules that confidence looks at have fired (even for no points).
 
-def scores(sessions: DataFrame, fired: DataFrame) -> DataFrame:
-    """Every session with its total and whether the two rules that confidence looks at have fired (even for no points)."""
-    sums = fired.groupBy(*SESSION).agg(F.sum("points").alias("total"), F.bool_or(F.col("rule") == "destination_hash_match").alias("hash_hit"), F.bool_or(F.col("rule") == SEVERAL).alias("several"))
-    filled = sessions.join(sums, list(SESSION), "left")
-    return filled.withColumn("total_score", F.coalesce("total", F.lit(0)).cast("long")).withColumn("hash_hit", F.coalesce("hash_hit", F.lit(False))).withColumn("several", F.coalesce("several", F.lit(False))).drop("total")
+    ``inside``: sessions with their files, hash_hit included. One grouping of that join gives all: points are summed as the
+    rules fire, and of the confidential paths the least and the greatest say whether there are two.
+    """
+    w = weights or Weights()
+    path = F.col("file_path")
+    points = sum((F.when(holds, F.lit(points)).otherwise(F.lit(0)) for holds, points in fired_rules(w).values()), F.lit(0).cast("long"))
+    secret = F.when(has_sensitive_extension(path, w) | in_protected_directory(path, w), path)
+    session = [c for c in ("start_utc", "start_observed", "end_utc", "end_observed", "session_id", "fully_observed", "duration_us") if c in inside.columns]
+    sums = inside.groupBy(*SESSION, *session).agg(F.sum(F.when(path.isNotNull(), points).otherwise(F.lit(0))).alias("total"), F.bool_or(F.col("hash_hit") & path.isNotNull()).alias("hash_hit"), (F.min(secret) < F.max(secret)).alias("several"))
+    several = F.coalesce("several", F.lit(False))
+    total = F.col("total") + F.when(several, F.lit(w.multiple_confidential_files)).otherwise(F.lit(0))
+    return sums.withColumn("total_score", total.cast("long")).withColumn("hash_hit", F.coalesce("hash_hit", F.lit(False))).withColumn("several", several).drop("total")
 
 
 def confidence(scored: DataFrame, thresholds: Thresholds | None = None) -> DataFrame:
     """Add confidence_rank (0 to 4), confidence_level and confidence_reason."""
     t = thresholds or Thresholds()
     score = F.col("total_score")
-    said = score.cast("string")
     ladder = [
-        (F.col("hash_hit"), 4, F.lit("A cryptographic hash match was found between a source file and a file on the destination USB.")),
-        ((score >= t.high) & F.col("fully_observed"), 3, F.concat(F.lit("Score "), said, F.lit(f" meets the High threshold ({t.high}) and both session boundaries are backed by an observed device event, not inferred."))),
-        ((score >= t.medium) | F.col("several"), 2, F.concat(F.lit("Score "), said, F.lit(f" meets the Medium threshold ({t.medium}), or multiple related files were accessed shortly after insertion, consistent with staging behaviour."))),
-        (score > 0, 1, F.concat(F.lit("Score "), said, F.lit(f" is above zero but below the Medium threshold ({t.medium})."))),
+        ("CONFIRMED", F.col("hash_hit"), {}),
+        ("HIGH", (score >= t.high) & F.col("fully_observed"), {"score": score, "limit": t.high}),
+        ("MEDIUM", (score >= t.medium) | F.col("several"), {"score": score, "limit": t.medium}),
+        ("LOW", score > 0, {"score": score, "limit": t.medium}),
     ]
-    rank, reason = F.lit(0), F.lit("No scoring rule fired for this session.")
-    for condition, n, text in reversed(ladder):
-        rank, reason = F.when(condition, F.lit(n)).otherwise(rank), F.when(condition, text).otherwise(reason)
+    rank, reason = F.lit(0), said("NONE")
+    for level, condition, values in reversed(ladder):
+        rank, reason = F.when(condition, F.lit(LEVELS.index(level))).otherwise(rank), F.when(condition, said(level, **values)).otherwise(reason)
     return scored.withColumn("confidence_rank", rank.cast("long")).withColumn("confidence_level", F.element_at(F.array(*map(F.lit, LEVELS)), (F.col("confidence_rank") + 1).cast("int"))).withColumn("confidence_reason", reason)
 
 
-def findings(sessions: DataFrame, inside: DataFrame, weights: Weights | None = None, thresholds: Thresholds | None = None, hashes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(one finding per session, zero scores included; all contributions)."""
-    fired = contributions(inside, weights, hashes)
-    return confidence(scores(sessions, fired), thresholds), fired
+def findings(inside: DataFrame, weights: Weights | None = None, thresholds: Thresholds | None = None) -> DataFrame:
+    """One finding per session, zero scores included; ``inside``: sessions with their files."""
+    return confidence(scores(inside, weights), thresholds)

@@ -61,24 +61,33 @@ def first_seen_devices(events: DataFrame, types: tuple[str, ...] = (INSERT, REMO
     return rows.withColumn("display_name", F.coalesce(text("friendly_name"), text("product"), "device_id"))
 
 
-def files_in_sessions(sessions: DataFrame, events: DataFrame, bucket: timedelta | None = timedelta(days=1)) -> DataFrame:
-    """File events within sessions of their case, both ends included; a file joins every session that holds it.
+def sessions_with_files(sessions: DataFrame, events: DataFrame, bucket: timedelta | None = timedelta(days=1)) -> DataFrame:
+    """Each session with each file event of its case within it, both ends included; rows without a file keep sessions that have none.
 
     ``bucket``: both sides are dealt by case and time bucket, a session once to each bucket it touches, so that the join
-    is an equi-join whose tasks stay small; None: the plain condition on the case, for few sessions.
+    is an equi-join whose tasks stay small, and a bucket of a session without a file is a row without one; None: the plain
+    condition on the case, for few sessions.
     """
-    ends = sessions.select("case_id", "device_id", "ordinal", "session_id", "start_utc", "end_utc")
     files = events.where(F.col("event_type") == ACCESS)
-    files = files.drop("device_id", *DEVICE, *[c for c in ("session_id", "ordinal", "start_utc", "end_utc", "bucket") if c in files.columns])
-    keys = ["case_id"]
+    files = files.drop("device_id", *DEVICE, *[c for c in (*sessions.columns, "bucket") if c in files.columns and c not in ("case_id", "device_id")]).withColumnRenamed("case_id", "_case")
+    ends, same = sessions, F.col("case_id") == F.col("_case")
     if bucket:
         width = int(bucket / timedelta(microseconds=1))
         number = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast({c} AS timestamp_ntz)) div {width}")
         ends = ends.withColumn("bucket", F.explode(F.sequence(number("start_utc"), number("end_utc"))))
-        files = files.withColumn("bucket", number("timestamp_utc"))
-        keys = ["case_id", "bucket"]
-    inside = ends.join(files, keys).where("timestamp_utc BETWEEN start_utc AND end_utc")
-    return inside.drop("bucket").withColumn("offset_us", F.expr("timestampdiff(MICROSECOND, start_utc, timestamp_utc)"))
+        files = files.withColumn("_bucket", number("timestamp_utc"))
+        same = same & (F.col("bucket") == F.col("_bucket"))
+    inside = ends.join(files, same & F.expr("timestamp_utc BETWEEN start_utc AND end_utc"), "left").drop("bucket", "_bucket", "_case")
+    return inside.withColumn("offset_us", F.expr("timestampdiff(MICROSECOND, start_utc, timestamp_utc)"))
+
+
+def files_in_sessions(sessions: DataFrame, events: DataFrame, bucket: timedelta | None = timedelta(days=1)) -> DataFrame:
+    """File events within sessions of their case, both ends included; a file joins every session that holds it."""
+    return files_of(sessions_with_files(sessions, events, bucket))
+
+
+def files_of(inside: DataFrame) -> DataFrame:
+    return inside.where("event_type IS NOT NULL").drop("start_observed", "end_observed", "fully_observed", "duration_us")
 
 
 def without_files(sessions: DataFrame, inside: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from tracewell.operators import events as E
 from tracewell.operators import reports, scoring, sessions
 from tracewell.plans.config import SessionConfig, Thresholds, Weights
+from tracewell.shared import written
 
 
 @dataclass(frozen=True)
@@ -19,12 +20,30 @@ class CaseResult:
     events: DataFrame
     sessions: DataFrame
     devices: DataFrame
-    files: DataFrame
-    contributions: DataFrame
-    findings: DataFrame
+    #: Sessions with their files: what all results are made of.
+    inside: DataFrame
+    weights: Weights | None = None
+    thresholds: Thresholds | None = None
+
+    @property
+    def files(self) -> DataFrame:
+        return sessions.files_of(self.inside)
+
+    @property
+    def contributions(self) -> DataFrame:
+        return scoring.contributions(self.files, self.weights)
+
+    @property
+    def findings(self) -> DataFrame:
+        return scoring.findings(self.inside, self.weights, self.thresholds)
+
+    def stored(self) -> CaseResult:
+        """The same with the join of sessions and files stored, for those who want more than one of its results."""
+        return replace(self, inside=written(self.inside, "sessions-with-files"))
 
     def write_reports(self, folder: str) -> None:
-        reports.write(self.findings, self.contributions, self.files, self.devices, folder)
+        case = self.stored()
+        reports.write(case.findings, case.contributions, case.files, case.devices, folder)
 
 
 def correlate(
@@ -34,6 +53,5 @@ def correlate(
     """Correlate the events of any number of cases at once."""
     valid = E.validated(events, strict)
     found = sessions.reconstruct(valid, session)
-    inside = sessions.files_in_sessions(found, valid, bucket)
-    results, fired = scoring.findings(found, inside, weights, thresholds, hashes)
-    return CaseResult(valid, found, sessions.first_seen_devices(valid), inside, fired, results)
+    inside = sessions.sessions_with_files(found, scoring.with_hash_hits(valid, hashes), bucket)
+    return CaseResult(valid, found, sessions.first_seen_devices(valid), inside, weights, thresholds)

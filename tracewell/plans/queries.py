@@ -7,6 +7,7 @@ error a removal of the user's device, everything else a file access. Users are d
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from tracewell.sources import event_xml, intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 WEIGHTS = Weights(protected_directories=("C:\\Projects\\confidential",))
+#: Time bucket of the interval join: a sixtieth of a day, as the events are.
+BUCKET = timedelta(minutes=24)
 FOUND: dict[str, tuple[Query, str]] = {}
 
 
@@ -40,8 +43,9 @@ def oracle_sql() -> dict[str, str]:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table as timeline events."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    """The ``events`` table as timeline events, a month of them within half a day, so that files follow connections by seconds too."""
+    close = F.expr("timestampadd(MICROSECOND, timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', cast(ts AS timestamp_ntz)) div 60, timestamp_ntz'2024-01-01')")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", close).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     device = F.col("event_type").isin("signup", "error")
     kind = F.when(F.col("event_type") == "signup", F.lit(E.INSERT)).when(F.col("event_type") == "error", F.lit(E.REMOVE)).otherwise(F.lit(E.ACCESS))
     folder = F.when(F.col("k") % 7 == 0, F.lit("confidential")).otherwise(F.concat(F.lit("d"), (F.col("k") % 7).cast("string")))
@@ -62,11 +66,11 @@ def destination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case(spark: SparkSession, sf_dir: str) -> CaseResult:
-    return correlate(evidence(spark, sf_dir), weights=WEIGHTS, hashes=destination(spark, sf_dir))
+    return correlate(evidence(spark, sf_dir), weights=WEIGHTS, hashes=destination(spark, sf_dir), bucket=BUCKET)
 
 
 ISO = "CASE WHEN strftime({0}, '%f') = '000000' THEN strftime({0}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({0}, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00'"
-EV = r"""WITH raw AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type IN ('signup', 'error') AS dev FROM events),
+EV = r"""WITH raw AS (SELECT * REPLACE (TIMESTAMP '2024-01-01' + to_microseconds(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) // 60) AS ts), CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type IN ('signup', 'error') AS dev FROM events),
 ev AS (SELECT 'CASE' || CAST(user_id % 50 AS VARCHAR) AS case_id, CASE event_type WHEN 'signup' THEN 'usb_insert' WHEN 'error' THEN 'usb_remove' ELSE 'file_access' END AS event_type, ts AS timestamp_utc,
   strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS raw_timestamp, 'evidence/' || event_type AS source_artifact, 'table' AS parser_name, '1' AS parser_version, CASE WHEN dev THEN 'USBSTOR#DEV' || user_id END AS device_id, CAST(user_id AS VARCHAR) AS serial_number, '' AS vendor,
   CASE WHEN user_id % 3 = 0 THEN 'Stick ' || user_id ELSE '' END AS product, '' AS friendly_name,
@@ -110,10 +114,10 @@ def event_canonicalize(spark, sf):
     return evidence(spark, sf)
 
 
-@query(EV + " SELECT ingest_ord, 'device_id' AS problem FROM ev WHERE event_type = 'usb_insert' UNION ALL SELECT ingest_ord, 'file_path' FROM ev WHERE event_type = 'file_access' AND k % 8 = 4 UNION ALL SELECT ingest_ord, 'raw_timestamp' FROM ev WHERE k % 9 = 0")
+@query(EV + " SELECT ingest_ord, 'device_id' AS problem FROM ev WHERE event_type = 'usb_insert' UNION ALL SELECT ingest_ord, 'file_path' FROM ev WHERE event_type = 'file_access' AND k % 8 >= 4 AND k % 8 <= 5 UNION ALL SELECT ingest_ord, 'raw_timestamp' FROM ev WHERE k % 9 = 0")
 def event_validate_violations(spark, sf):
     broken = evidence(spark, sf).withColumn("device_id", F.when(F.col("event_type") != E.INSERT, F.col("device_id")).otherwise(F.lit(" ")))
-    broken = broken.withColumn("file_path", F.when(F.col("file_size_bytes") % 8 != 4, F.col("file_path"))).withColumn("raw_timestamp", F.when(F.col("file_size_bytes") % 9 != 0, F.col("raw_timestamp")).otherwise(F.lit("")))
+    broken = broken.withColumn("file_path", F.when(F.col("file_size_bytes") % 8 == 5, F.lit("")).when(F.col("file_size_bytes") % 8 != 4, F.col("file_path"))).withColumn("raw_timestamp", F.when(F.col("file_size_bytes") % 9 != 0, F.col("raw_timestamp")).otherwise(F.lit("")))
     return E.violations(broken).select("ingest_ord", F.explode("problems").alias("problem"))
 
 
@@ -177,7 +181,7 @@ PAIRS = f"{SF} SELECT {KEYS}, session_id, ingest_ord, offset_us FROM sf"
 @query(PAIRS)
 def session_file_join(spark, sf):
     e = evidence(spark, sf)
-    return sessions.files_in_sessions(sessions.reconstruct(e), e, bucket=None).select("case_id", "device_id", "ordinal", "session_id", "ingest_ord", "offset_us")
+    return sessions.files_in_sessions(sessions.reconstruct(e), e, bucket=timedelta(minutes=6)).select("case_id", "device_id", "ordinal", "session_id", "ingest_ord", "offset_us")
 
 
 @query(PAIRS)
@@ -196,7 +200,7 @@ CO_COLUMNS = f"{KEYS}, CAST(file_ord AS BIGINT) AS file_ord, CAST(rule_idx AS BI
 
 def _rule(name: str) -> None:
     def run(spark, sf):
-        return case(spark, sf).contributions.where(F.col("rule") == name).withColumn("source_artifacts", F.array_join("source_artifacts", ";"))
+        return case(spark, sf).stored().contributions.where(F.col("rule") == name).withColumn("source_artifacts", F.array_join("source_artifacts", ";"))
 
     run.__name__ = f"rule_{name}"
     query(f"{CO} SELECT {CO_COLUMNS} FROM co WHERE rule = '{name}'")(run)
@@ -208,7 +212,7 @@ for _name in ("activity_within_30s", "activity_within_5min", "sensitive_extensio
 
 @query(f"{CO} SELECT {CO_COLUMNS} FROM co")
 def contributions_all(spark, sf):
-    return case(spark, sf).contributions.withColumn("source_artifacts", F.array_join("source_artifacts", ";"))
+    return case(spark, sf).stored().contributions.withColumn("source_artifacts", F.array_join("source_artifacts", ";"))
 
 
 @query(f"{FI} SELECT {KEYS}, total_score, hash_hit, several FROM fi")
@@ -240,7 +244,7 @@ CAST(total_score AS VARCHAR) AS total_score, confidence_level, confidence_reason
 FROM fi LEFT JOIN dv USING (case_id, device_id) LEFT JOIN co USING (case_id, device_id, ordinal)"""
 )
 def findings_csv_rows(spark, sf):
-    c = case(spark, sf)
+    c = case(spark, sf).stored()
     return reports.findings_rows(c.findings, c.contributions, c.devices).drop("order")
 
 
@@ -249,6 +253,12 @@ def timeline_csv_rows(spark, sf):
     return reports.timeline_rows(case(spark, sf).files)
 
 
+@query(EV + " SELECT case_id, ingest_ord, CASE event_type WHEN 'usb_insert' THEN 0 WHEN 'usb_remove' THEN 1 ELSE 2 END AS stream, row_number() OVER (PARTITION BY case_id ORDER BY timestamp_utc, event_type, source_artifact, coalesce(file_path, ''), coalesce(device_id, ''), ingest_ord) AS position FROM ev")
+def merge_order(spark, sf):
+    e = evidence(spark, sf)
+    return E.merge_positions(*[e.where(F.col("event_type") == t) for t in (E.INSERT, E.REMOVE, E.ACCESS)]).select("case_id", "ingest_ord", "stream", "position")
+
+
 @query(EV + " SELECT parser_name, parser_version, source_artifact, count(*) AS n FROM ev GROUP BY ALL")
 def parser_union(spark, sf):
     e = evidence(spark, sf)
