@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, ngram_jaccard, packing, quality, secrets
-from tracewell.llm.runtime import WORD, table, written
+from tracewell.llm.runtime import WORD, table
+from tracewell.shared import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
