@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.numbering import ranged, running
-from tracewell.llm.runtime import WORD, written
+from tracewell.llm.runtime import WORD
+from tracewell.shared import ranged, running, written
 
 BLOCK = 256
 CAP = 3

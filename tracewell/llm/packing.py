@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.kernels import LOWER
-from tracewell.llm.numbering import ranged, running
-from tracewell.llm.runtime import ship, written
+from tracewell.llm.runtime import ship
+from tracewell.shared import ranged, running, written
 
 CAPACITY = 2048
 #: Padding in tokens that a class may leave in a bin before its pieces are cut, and a length that is never cut.

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.ngram_jaccard import linked_classes
-from tracewell.llm.runtime import width, written
+from tracewell.shared import width, written
 
 #: The commonest words of English, German, French and Spanish.
 ANCHORS = (

@@ -33,7 +33,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from tracewell.llm.runtime import shared_dir, ship, written
+from tracewell.llm.runtime import ship
+from tracewell.shared import shared_dir, written
 
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, content_type string, headers map<string,string>, payload_bytes long, payload binary, file string, offset long"
 FIELDS = pa.schema(
