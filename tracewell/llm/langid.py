@@ -7,10 +7,10 @@ the word alone; tasks compute it once per word and add up whole texts.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm import kernels
 from tracewell.llm.runtime import crc_fold, ship
 
 #: Bounds of the training sample: rows of each language (about), and languages, those of most rows.
@@ -34,18 +35,33 @@ PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
 FIELDS = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the word's character n-grams; none for a word without letters."""
-    if not any(map(str.isalpha, word)):
-        return []
-    marked = f"<{word.lower()}>"
-    return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
+def subwords(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of n-grams: their buckets, word after word, and how many each word has.
+
+    A word is taken in lower case between < and >; one without letters has none. All words are hashed at once.
+    """
+    marked = [f"<{w.lower()}>" if any(map(str.isalpha, w)) else "" for w in words]
+    sizes = np.array([len(w) for w in marked], dtype=np.int64)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), sizes)
+    for n in GRAMS:
+        if len(codes) < n:
+            yield np.zeros(0, dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+            continue
+        h = np.full(len(codes) - n + 1, n, dtype=np.uint64)
+        for k in range(n):
+            h = h * np.uint64(kernels.BASES[0]) + codes[k : len(codes) - n + 1 + k]
+        inside = of[: len(h)] == of[n - 1 :]
+        yield (kernels.mix(h[inside]) % np.uint64(BUCKETS)).astype(np.int64), np.maximum(sizes - n + 1, 0)
 
 
 def histogram(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a whole text and how often each occurs: at most ``BUCKETS`` numbers, however long the text is."""
-    found = np.array([b for w, n in Counter(LETTERS.findall(text)).items() for b in subwords(w) * n], dtype=np.int64)
-    return np.unique(found, return_counts=True)
+    found = Counter(LETTERS.findall(text))
+    times = np.array(list(found.values()), dtype=np.int64)
+    parts = [(buckets, np.repeat(times, sizes)) for buckets, sizes in subwords(list(found))]
+    buckets, where = np.unique(np.concatenate([b for b, _ in parts]), return_inverse=True)
+    return buckets, np.bincount(where, weights=np.concatenate([t for _, t in parts]), minlength=len(buckets)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -89,7 +105,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
             back = wrong @ soft.T
             soft -= rate * mean.T @ wrong / len(batch)
             bias -= rate * wrong.mean(0) * 0.1
-            np.add.at(embed, flat, np.repeat(-rate * WIDTH * back, sizes, axis=0).astype(np.float32) * share)
+            steps_back = np.repeat(-rate * WIDTH * back, sizes, axis=0).astype(np.float32) * share
+            for k in range(WIDTH):  # repeated buckets add up
+                embed[:, k] += np.bincount(flat, weights=steps_back[:, k], minlength=BUCKETS).astype(np.float32)
             done += 1
     table = (embed @ soft).astype(np.float64)
     logits = np.array([n @ table[s] + bias for _, s, n in held])
@@ -133,26 +151,28 @@ class _Words(dict):
     """Row of a word in ``parts``: its sum of logits and its number of subwords."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.parts = model, np.zeros((1024, len(model.languages) + 1))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.parts):
-            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
-        buckets = subwords(word)
-        self.parts[at, :-1] = self.model.table[buckets].sum(0)
-        self.parts[at, -1] = len(buckets)
-        self[word] = at
-        return at
+        self.model, self.parts = model, np.zeros((0, len(model.languages) + 1))
+
+    def learn(self, words: list[str]) -> None:
+        new = np.zeros((len(words), self.parts.shape[1]))
+        for buckets, sizes in subwords(words):
+            held = sizes > 0
+            if held.any():
+                new[held, :-1] += np.add.reduceat(self.model.table[buckets], (np.cumsum(sizes) - sizes)[held])
+            new[:, -1] += sizes
+        self.update(zip(words, range(len(self), len(self) + len(words)), strict=True))
+        self.parts = np.concatenate([self.parts, new])
 
     def sums(self, texts: list[str]) -> np.ndarray:
         """A row for each text: all its words added up at once."""
         if len(self) > CACHED:
             self.clear()
+            self.parts = self.parts[:0]
         found = [LETTERS.findall(t) for t in texts]
+        self.learn(sorted(set(chain.from_iterable(found)).difference(self)))
         sizes = np.array([len(w) for w in found])
         out = np.zeros((len(texts), self.parts.shape[1]))
-        rows = np.array([self[w] for words in found for w in words], dtype=np.int64)
+        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=sizes.sum())
         if len(rows):
             held = sizes > 0
             out[held] = np.add.reduceat(self.parts[rows], (np.cumsum(sizes) - sizes)[held])
