@@ -80,7 +80,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model | None:
     """``rows``: (language, buckets, counts) in a fixed order. Every fifth row calibrates, the others train."""
-    data = [(lang, s, n / n.sum()) for lang, s, n in rows if len(s)]
+    data = [(lang, s, (n / n.sum()).astype(np.float32)) for lang, s, n in rows if len(s)]
     languages = tuple(sorted({lang for lang, _, _ in data}))
     if not languages:
         return None
@@ -97,7 +97,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
             batch = [fitted[i] for i in order[at : at + BATCH]]
             sizes = np.array([len(s) for _, s, _ in batch])
             flat = np.concatenate([s for _, s, _ in batch])
-            share = np.concatenate([n for _, _, n in batch]).astype(np.float32)[:, None]
+            share = np.concatenate([n for _, _, n in batch])[:, None]
             mean = np.add.reduceat(embed[flat] * share, np.cumsum(sizes) - sizes)
             wrong = _softmax(mean @ soft + bias)
             wrong[np.arange(len(batch)), [index[lang] for lang, _, _ in batch]] -= 1
@@ -122,10 +122,11 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Histograms as bytes: 16 bits of each bucket, 32 of its count."""
     for batch in batches:
-        for i, text in enumerate(batch.column(2)):
-            buckets, counts = histogram(text.as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([buckets.tolist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["lang", "place", "buckets", "counts"])
+        found = [histogram(text.as_py()) for text in batch.column(2)]
+        packed = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in zip(zip(*found, strict=True), (np.uint16, np.uint32), strict=True)] if found else [pa.array([], pa.binary())] * 2
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], names=["lang", "place", "buckets", "counts"])
 
 
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS) -> Model | None:
@@ -143,8 +144,8 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int = S
     part = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample_rows / n))])
     rows = rows.withColumn("place", F.xxhash64("doc_id", "text"))
     chosen = rows.where(F.pmod("place", F.lit(1_000_003)) / F.lit(1_000_003.0) < F.try_element_at(part, F.col("lang"))).groupBy("lang", "place").agg(F.min("text").alias("text"))
-    sample = chosen.mapInArrow(_histograms, "lang string, place long, buckets array<long>, counts array<long>").orderBy("place", "lang").limit(2 * sample_rows * len(counts)).collect()
-    return train([(r.lang, np.array(r.buckets, dtype=np.int64), np.array(r.counts, dtype=np.int64)) for r in sample])
+    sample = chosen.mapInArrow(_histograms, "lang string, place long, buckets binary, counts binary").orderBy("place", "lang").limit(2 * sample_rows * len(counts)).collect()
+    return train([(r.lang, np.frombuffer(r.buckets, np.uint16).astype(np.int32), np.frombuffer(r.counts, np.uint32)) for r in sample])
 
 
 class _Words(dict):
