@@ -290,9 +290,10 @@ def _strangers(rows: DataFrame, percent: int) -> DataFrame:
     A passage that a large linked group holds has that group's label; its few rows of other labels meet all rows, the group's
     own rows only them.
     """
+    # ``rows`` come dealt by shingle, and all that follows keeps to that: the shuffle of them is used again, not repeated
     counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("rows"))
     common = counts.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("common"))
-    both = written(rows.join(common, "token").select(*rows.columns, (F.col("label") == F.col("common")).alias("of_common")), "mixed-prefixes")
+    both = rows.join(common, "token").select(*rows.columns, (F.col("label") == F.col("common")).alias("of_common"))
     few, many = both.where("not of_common"), both.where("of_common")
     return _met(few, few, percent, lambda x, y: x < y).union(_met(few, many, percent, lambda x, y: x != y)).distinct()
 
