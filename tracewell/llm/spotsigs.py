@@ -105,8 +105,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     base = rows.withColumn("block", block.cast("long")).repartition("block")
     order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     own = with_chains(base, "text", "own").withColumn("lower", F.lag(F.struct("text", "own")).over(order))
-    # the last document of a range is before the first of the next, that of the last before the first of all
-    last = base.withColumn("last", F.lead(F.lit(1)).over(order).isNull()).where("last").select(F.pmod(F.col("block") + 1, F.lit(blocks)).alias("block"), F.col("text").alias("carried"))
+    # the last document of a range is before the first of the next, that of the last before the first of all; it is found
+    # by a grouping of its own, in which each task sends one text for a range, so that the texts above move once
+    greatest = rows.groupBy(block.cast("long").alias("block")).agg(F.max(F.struct(key.alias("key"), "text")).alias("last"))
+    last = greatest.select(F.pmod(F.col("block") + 1, F.lit(blocks)).alias("block"), F.col("last.text").alias("carried"))
     carried = with_chains(last, "carried", "chains")
     joined = own.join(carried.select("block", F.struct(F.col("carried").alias("text"), F.col("chains").alias("own")).alias("carried")), "block", "left")
     lower = F.coalesce("lower", "carried")
