@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.errors import ReportError
+from tracewell.errors import IntegrityError, ReportError
 from tracewell.functions.timestamps import isoformat
 from tracewell.operators.scoring import SESSION
 
@@ -41,8 +43,12 @@ def timeline_rows(inside: DataFrame) -> DataFrame:
     return inside.select("session_id", isoformat(F.col("timestamp_utc")).alias("timestamp_utc"), "event_type", text("file_path").alias("file_path"), text("file_size_bytes").alias("file_size_bytes"), "source_artifact", "parser_name", "parser_version")
 
 
-def finding_documents(findings: DataFrame, fired: DataFrame, devices: DataFrame) -> DataFrame:
-    """(kind, session_id, document): a JSON text per finding and per contribution, keys in alphabetical order."""
+def finding_documents(findings: DataFrame, fired: DataFrame, devices: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(kind, session_id, document): a JSON text per finding, per contribution and per event of a session, keys in alphabetical order.
+
+    An event has its parser's name and version and its details, so that each finding can be followed to its artifacts; a
+    session's events are lines of their own, however many there are.
+    """
     ends = lambda p: F.struct(F.col(f"{p}_observed").alias("observed"), isoformat(F.col(f"{p}_utc")).alias("timestamp_utc"))
     named = findings.join(devices, ["case_id", "device_id"], "left")
     document = F.to_json(
@@ -51,9 +57,14 @@ def finding_documents(findings: DataFrame, fired: DataFrame, devices: DataFrame)
             F.struct("device_id", "friendly_name", "product", "serial_number", "vendor").alias("device"), ends("end").alias("end"), F.struct(F.col("total_score").alias("total")).alias("score"), F.col("session_id"), ends("start").alias("start"),
         )
     )
-    first = named.select(F.lit("finding").alias("kind"), "session_id", document.alias("document"))
-    one = fired.join(findings.select(*SESSION, "session_id"), list(SESSION)).select(F.lit("contribution").alias("kind"), "session_id", F.to_json(F.struct("explanation", "points", "rule", F.col("session_id"), "source_artifacts")).alias("document"))
-    return first.unionByName(one)
+    out = named.select(F.lit("finding").alias("kind"), "session_id", document.alias("document"))
+    out = out.unionByName(fired.join(findings.select(*SESSION, "session_id"), list(SESSION)).select(F.lit("contribution").alias("kind"), "session_id", F.to_json(F.struct("explanation", "points", "rule", F.col("session_id"), "source_artifacts")).alias("document")))
+    if files is not None:
+        details = F.from_json("details", "map<string,string>")
+        sorted_details = F.map_from_entries(F.array_sort(F.map_entries(details)))
+        event = F.to_json(F.struct(sorted_details.alias("details"), "event_type", "file_path", "file_size_bytes", "parser_name", "parser_version", "raw_timestamp", "session_id", "source_artifact", isoformat(F.col("timestamp_utc")).alias("timestamp_utc")))
+        out = out.unionByName(files.select(F.lit("event").alias("kind"), "session_id", event.alias("document")))
+    return out
 
 
 def escaped(text: Column) -> Column:
@@ -63,33 +74,80 @@ def escaped(text: Column) -> Column:
 
 
 def careful(html: Column) -> Column:
-    """``html``, or an error if its wording claims more than evidence can show."""
+    """``html``, or an error if its wording claims more than evidence can show, or leaves out what must be said."""
     pattern = "|".join(rf"\b{re.escape(p)}\b" for p in FORBIDDEN)
-    wrong = F.raise_error(F.lit(f"{ReportError.__name__}: wording overstates the evidence")).cast("string")
-    return F.when(F.lower(html).rlike(pattern), wrong).otherwise(html)
+    fault = lambda says: F.raise_error(F.lit(f"{ReportError.__name__}: {says}")).cast("string")
+    low = F.lower(html)
+    return F.when(low.rlike(pattern), fault("wording overstates the evidence")).when(~low.contains(DISCLAIMER), fault("the disclaimer is missing")).otherwise(html)
+
 
+def html_fragments(findings: DataFrame, devices: DataFrame, fired: DataFrame | None = None) -> DataFrame:
+    """(session_id, html): one section per finding, with the disclaimer that every report must carry.
 
-def html_fragments(findings: DataFrame, devices: DataFrame) -> DataFrame:
-    """(session_id, html): one section per finding, with the disclaimer that every report must carry."""
+    With ``fired``, a section lists each artifact that its contributions rest on.
+    """
     when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss 'UTC'")
     seen = lambda c: F.when(F.col(c), F.lit("Observed")).otherwise(F.lit("Inferred"))
-    named = findings.join(devices.select("case_id", "device_id", "display_name"), ["case_id", "device_id"], "left")
+    named = findings.join(devices.select("case_id", "device_id", "display_name"), ["case_id", "device_id"], "left").withColumn("cited", F.array().cast("array<string>"))
+    if fired is not None:
+        cited = fired.select(*SESSION, F.explode("source_artifacts").alias("artifact")).groupBy(*SESSION).agg(F.sort_array(F.collect_set("artifact")).alias("_cited"))
+        named = named.join(cited, list(SESSION), "left").withColumn("cited", F.coalesce("_cited", "cited"))
+    list_ = F.when(F.size("cited") > 0, F.concat(F.lit("<ul><li>"), F.array_join(F.transform("cited", escaped), "</li><li>"), F.lit("</li></ul>"))).otherwise(F.lit(""))
     html = F.concat(
         F.lit("<section><h2>"), escaped(F.coalesce("display_name", "device_id")), F.lit("</h2><p>Activity "), F.lit(DISCLAIMER), F.lit(". Score "), F.col("total_score").cast("string"), F.lit(", "), F.initcap(F.lower("confidence_level")),
-        F.lit(": "), escaped(F.col("confidence_reason")), F.lit("</p><p>Start "), when("start_utc"), F.lit(" "), seen("start_observed"), F.lit("; end "), when("end_utc"), F.lit(" "), seen("end_observed"), F.lit("</p></section>"),
+        F.lit(": "), escaped(F.col("confidence_reason")), F.lit("</p><p>Start "), when("start_utc"), F.lit(" "), seen("start_observed"), F.lit("; end "), when("end_utc"), F.lit(" "), seen("end_observed"), F.lit("</p>"), list_, F.lit("</section>"),
     )
     return named.select("session_id", careful(html).alias("html"))
 
 
-def manifest(case_id: str, examiner: str, artifacts: DataFrame, parsers: DataFrame) -> DataFrame:
-    """Custody rows: (kind, name, value) for the case, each artifact's digest and each parser that ran."""
+def limitations(path: str | None = None) -> str:
+    """The text on what the results can't show: a file's, or this where there is none."""
+    if path and Path(path).is_file():
+        return Path(path).read_text(encoding="utf-8")
+    return f"Results are {DISCLAIMER}. Artifacts may be missing, altered or overwritten, and clocks may be wrong; an inferred end of a session is an assumption."
+
+
+def counts(findings: DataFrame, intake: DataFrame, after: DataFrame) -> DataFrame:
+    """(what, n): findings, digests at intake and digests taken afterwards, as a report's head states them."""
+    n = lambda rows, what: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    return n(findings, "findings").unionByName(n(intake, "intake_digests")).unionByName(n(after, "post_digests"))
+
+
+def report_frame(spark: SparkSession, manifest: DataFrame, text: str) -> DataFrame:
+    """(section, html): the limitations, and the custody record as a row for each entry of the manifest."""
+    said = spark.createDataFrame([(text,)], "text string").select(F.lit("limitations").alias("section"), careful(F.concat(F.lit("<section><h2>Limitations</h2><p>"), escaped(F.col("text")), F.lit("</p></section>"))).alias("html"))
+    row = F.concat(F.lit("<tr><td>"), escaped(F.col("kind")), F.lit("</td><td>"), escaped(F.col("name")), F.lit("</td><td>"), escaped(F.col("value")), F.lit("</td></tr>"))
+    return said.unionByName(manifest.select(F.lit("custody").alias("section"), row.alias("html")))
+
+
+def manifest(case_id: str, examiner: str, artifacts: DataFrame, parsers: DataFrame, settings: dict[str, str] | None = None, started: datetime | None = None, ended: datetime | None = None, after: DataFrame | None = None) -> DataFrame:
+    """Custody rows: (kind, name, value) for the case, its times and settings, each artifact's digest at intake and afterwards, and each parser."""
     spark = artifacts.sparkSession
-    head = spark.createDataFrame([("case", "case_id", case_id), ("case", "examiner", examiner), ("case", "schema_version", "1.0")], "kind string, name string, value string")
-    return head.unionByName(artifacts.select(F.lit("digest").alias("kind"), F.col("rel_path").alias("name"), F.col("sha256").alias("value"))).unionByName(parsers.select(F.lit("parser").alias("kind"), F.col("parser_name").alias("name"), F.col("parser_version").alias("value")).distinct())
+    head = [("case", "case_id", case_id), ("case", "examiner", examiner), ("case", "schema_version", "1.0")]
+    head += [("case", name, at.isoformat()) for name, at in (("started_utc", started), ("ended_utc", ended)) if at]
+    head += [("setting", name, value) for name, value in sorted((settings or {}).items())]
+    digests = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), F.col("rel_path").alias("name"), F.col("sha256").alias("value"))
+    out = spark.createDataFrame(head, "kind string, name string, value string").unionByName(digests(artifacts, "digest"))
+    if after is not None:
+        out = out.unionByName(digests(after, "post_digest"))
+    return out.unionByName(parsers.select(F.lit("parser").alias("kind"), F.col("parser_name").alias("name"), F.col("parser_version").alias("value")).distinct())
+
+
+def manifest_documents(manifest: DataFrame) -> DataFrame:
+    """A JSON line for each row of a manifest."""
+    return manifest.select(F.to_json(F.struct("kind", "name", "value")).alias("document"))
+
+
+def verified(manifest: DataFrame, now: DataFrame) -> DataFrame:
+    """(verified): whether every file of the manifest is there with the digest of its intake; a manifest without any is an error."""
+    kept = manifest.where("kind = 'digest'").join(now.select(F.col("rel_path").alias("name"), F.col("sha256").alias("now")), "name", "left")
+    empty = F.raise_error(F.lit(f"{IntegrityError.__name__}: the manifest has no digests, so there is nothing to verify")).cast("boolean")
+    return kept.agg(F.when(F.count(F.lit(1)) == 0, empty).otherwise(F.bool_and(F.col("value").eqNullSafe(F.col("now")))).alias("verified"))
 
 
 def write(findings: DataFrame, fired: DataFrame, inside: DataFrame, devices: DataFrame, folder: str) -> None:
+    """All reports of a case, each sorted and written by Spark."""
     findings_rows(findings, fired, devices).orderBy("order").drop("order").write.mode("overwrite").options(**CSV).csv(f"{folder}/findings_csv")
     timeline_rows(inside).orderBy("timestamp_utc", "session_id", "source_artifact").write.mode("overwrite").options(**CSV).csv(f"{folder}/timeline_csv")
-    finding_documents(findings, fired, devices).orderBy("session_id", F.desc("kind"), "document").select("document").write.mode("overwrite").text(f"{folder}/findings_json")
-    html_fragments(findings, devices).orderBy("session_id").select("html").write.mode("overwrite").text(f"{folder}/report_html")
+    finding_documents(findings, fired, devices, inside).orderBy("session_id", F.desc("kind"), "document").select("document").write.mode("overwrite").text(f"{folder}/findings_json")
+    html_fragments(findings, devices, fired).orderBy("session_id").select("html").write.mode("overwrite").text(f"{folder}/report_html")

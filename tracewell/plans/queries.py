@@ -17,7 +17,7 @@ from tracewell.operators import events as E
 from tracewell.operators import reports, scoring, sessions
 from tracewell.plans.config import Weights
 from tracewell.plans.pipeline import CaseResult, correlate
-from tracewell.sources import event_xml, intake
+from tracewell.sources import event_xml, intake, registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 WEIGHTS = Weights(protected_directories=("C:\\Projects\\confidential",))
@@ -266,6 +266,43 @@ def parser_union(spark, sf):
     return E.merged(*parts).groupBy("parser_name", "parser_version", "source_artifact").agg(F.count(F.lit(1)).alias("n"))
 
 
+XML_ROWS = EV + " SELECT ingest_ord, event_type, " + ISO.format("timestamp_utc") + " AS iso, device_id, file_path, CAST(ingest_ord AS VARCHAR) AS record_id FROM ev WHERE k % 11 <> 0 AND NOT (event_type = 'file_access' AND k % 5 = 0)"
+
+
+@query(XML_ROWS)
+def event_xml_rows(spark, sf):
+    """Every row of ``events`` as the XML of a log record, read back: every eleventh k is another provider's, every fifth file a key."""
+    e = evidence(spark, sf)
+    data = lambda name, value: F.concat(F.lit(f'<Data Name="{name}">'), value, F.lit("</Data>"))
+    insert, remove = F.col("event_type") == E.INSERT, F.col("event_type") == E.REMOVE
+    provider = F.when(F.col("file_size_bytes") % 11 == 0, F.lit("Other")).when(insert | remove, F.lit(event_xml.DFU)).otherwise(F.lit(event_xml.SECURITY))
+    number = F.when(insert, F.lit("2003")).when(remove, F.lit("2102")).otherwise(F.lit("4663"))
+    body = F.when(insert, F.concat(F.lit("<EventData>"), data("DeviceInstanceId", F.col("device_id")), F.lit("</EventData>"))).when(
+        remove, F.concat(F.lit('<UserData><X xmlns="urn:other"><InstanceId>'), F.col("device_id"), F.lit("</InstanceId></X></UserData>"))
+    ).otherwise(F.concat(F.lit("<EventData>"), data("ObjectType", F.when(F.col("file_size_bytes") % 5 == 0, F.lit("Key")).otherwise(F.lit("File"))), data("ObjectName", F.col("file_path")), F.lit("</EventData>")))
+    xml = F.concat(
+        F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="'), provider, F.lit('"/><EventID>'), number, F.lit('</EventID><TimeCreated SystemTime="'), F.col("raw_timestamp"), F.lit('0Z"/><EventRecordID>'),
+        F.col("ingest_ord").cast("string"), F.lit("</EventRecordID></System>"), body, F.lit("</Event>"),
+    )
+    read = event_xml.events(e.select("source_artifact", F.col("ingest_ord").alias("record_ord"), xml.alias("xml")))
+    return read.select("ingest_ord", "event_type", timestamps.isoformat(F.col("timestamp_utc")).alias("iso"), "device_id", "file_path", F.get_json_object("details", "$.record_id").alias("record_id"))
+
+
+@query(EV + " SELECT 'SYSTEM-' || case_id AS source_artifact, 'usb_drive_letter_assigned' AS event_type, 'USBSTOR\\Disk&Ven_V\\S' || serial_number AS device_id, " + ISO.format("timestamp_utc") + " AS iso, chr(CAST(65 + k % 26 AS INTEGER)) || ':' AS drive_letter FROM ev WHERE device_id IS NOT NULL AND k % 3 <> 0")
+def registry_mount_rows(spark, sf):
+    """Every device event of ``events`` as a value of its case's hive, read back; every third names no storage device."""
+    e = evidence(spark, sf).where("device_id IS NOT NULL")
+    hive = F.concat(F.lit("SYSTEM-"), "case_id")
+    target = F.concat(F.lit("\\??\\"), F.when(F.col("file_size_bytes") % 3 == 0, F.lit("SCSI")).otherwise(F.lit("USBSTOR")), F.lit("#Disk&Ven_V#S"), F.col("serial_number"), F.lit("#{guid}"))
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda key, at, name, number, raw: [hive.alias("source_artifact"), F.lit(key).alias("key_path"), at.cast("timestamp").alias("key_last_write"), F.lit(0).alias("value_ord"), name.alias("value_name"), none("string").alias("value_str"), number.alias("value_int"), raw.alias("value_bytes")]
+    letter = F.concat(F.lit("\\DosDevices\\"), F.chr(F.col("file_size_bytes") % 26 + 65), F.lit(":"))
+    values = e.select(*row("MountedDevices", F.col("timestamp_utc"), letter, none("long"), F.encode(target, "UTF-16LE")))
+    current = e.select(*row("Select", none("timestamp"), F.lit("Current"), F.lit(1).cast("long"), none("binary"))).distinct()
+    read = registry.events(values.unionByName(current))
+    return read.select("source_artifact", "event_type", "device_id", timestamps.isoformat(F.col("timestamp_utc")).alias("iso"), F.get_json_object("details", "$.drive_letter").alias("drive_letter"))
+
+
 def _sql(value: object) -> str:
     if value is None:
         return "NULL"

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.errors import ArtifactError
+from tracewell.errors import ArtifactError, IntegrityError
 
 REGISTRY, EVENT_LOG, SHORTCUT, JUMP_LIST, UNKNOWN = "registry_hive", "evtx_log", "lnk_shortcut", "jump_list", "unknown"
 #: First bytes of each format, as hexadecimal digits, in the order in which they are tried.
@@ -19,21 +19,38 @@ SUFFIXES = ((EVENT_LOG, ".evtx"), (SHORTCUT, ".lnk"), (JUMP_LIST, ".automaticdes
 CHUNK = 65_536
 
 
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for root, start in zip(batch["root"], batch["start"], strict=True):
+            found = [start] if os.path.isfile(start) else (os.path.join(folder, name) for folder, _, names in os.walk(start) for name in names)
+            rows = [(path, os.path.relpath(path, root).replace(os.sep, "/"), os.path.getsize(path)) for path in found if os.path.isfile(path)]
+            yield pd.DataFrame(rows, columns=["path", "rel_path", "size_bytes"])
+
+
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """path, rel_path and size of every regular file below ``root``, hidden and empty ones too.
 
     Spark's file sources skip names that begin with a dot or an underscore, and empty files; evidence may not be skipped.
-    Only names pass the driver.
+    The driver looks at the first level only; each folder there is walked in a task. ``root`` is a folder that executors see
+    under the same path.
     """
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    found = []
-    for folder, _, names in os.walk(root):
-        for name in names:
-            path = os.path.join(folder, name)
-            if os.path.isfile(path):
-                found.append((os.path.abspath(path), os.path.relpath(path, root).replace(os.sep, "/"), os.path.getsize(path)))
-    return spark.createDataFrame(found, "path string, rel_path string, size_bytes long")
+    top = os.path.abspath(root)
+    starts = spark.createDataFrame([(top, os.path.join(top, name)) for name in sorted(os.listdir(top))], "root string, start string")
+    return starts.repartition("start").mapInPandas(_walk, "path string, rel_path string, size_bytes long")
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, name in zip(batch["path"], batch["source_artifact"], strict=True):
+            with open(path, "rb") as f:
+                yield pd.DataFrame({"source_artifact": [name], "content": [f.read()]})
+
+
+def contents(found: DataFrame) -> DataFrame:
+    """(source_artifact, content) of artifacts, read in tasks, one file at a time."""
+    return found.select("path", F.col("rel_path").alias("source_artifact")).mapInPandas(_contents, "source_artifact string, content binary")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,3 +101,11 @@ def compared(intake: DataFrame, after: DataFrame) -> DataFrame:
     both = intake.select("rel_path", F.col("sha256").alias("before")).join(after.select("rel_path", F.col("sha256").alias("after")), "rel_path", "full")
     same = F.bool_and(F.col("before").eqNullSafe(F.col("after")))
     return both.agg(F.when(F.count(F.lit(1)) == 0, F.lit("pending")).when(same, F.lit("verified")).otherwise(F.lit("failed")).alias("verdict"))
+
+
+def confirmed(intake: DataFrame, after: DataFrame) -> DataFrame:
+    """``intake`` as it is, or an error at the first file whose digest is another one now, or that is gone."""
+    now = after.select(F.col("rel_path").alias("_path"), F.col("sha256").alias("_now"))
+    both = intake.join(now, F.col("rel_path") == F.col("_path"), "left")
+    changed = F.raise_error(F.concat(F.lit(f"{IntegrityError.__name__}: digest mismatch: "), "rel_path")).cast("string")
+    return both.withColumn("sha256", F.when(F.col("sha256").eqNullSafe(F.col("_now")), F.col("sha256")).otherwise(changed)).select(*intake.columns)

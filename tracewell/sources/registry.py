@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.errors import ParseError
 from tracewell.functions import timestamps, windows
 
 NAME, VERSION = "registry_parser", "1.0.0"
@@ -93,10 +92,10 @@ def user_mounts(values: DataFrame, case_id: str = "") -> DataFrame:
 def events(values: DataFrame, case_id: str = "") -> DataFrame:
     """Events of all hives: each kind of key is found where it exists. A hive with none of the known keys is an error."""
     known = (F.col("key_path") == "Select") | F.col("key_path").startswith(PORTABLE) | F.col("key_path").startswith(MOUNTPOINTS)
-    strange = values.groupBy("source_artifact").agg(F.bool_or(known).alias("ok")).where("NOT ok").select("source_artifact").limit(1).collect()
-    if strange:
-        raise ParseError(f"unsupported hive: {strange[0].source_artifact}")
+    strange = values.groupBy("source_artifact").agg(F.bool_or(known).alias("ok")).where("NOT ok")
+    wrong = strange.select(F.raise_error(F.concat(F.lit("unsupported hive: "), "source_artifact")).cast("string").alias("event_type"))
     out = usb_storage(values, case_id)
     for part in (mounted_devices, portable_devices, user_mounts):
         out = out.unionByName(part(values, case_id))
-    return out
+    # no row comes of it, but an error where there is one
+    return out.unionByName(wrong, allowMissingColumns=True)

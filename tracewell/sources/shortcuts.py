@@ -51,6 +51,10 @@ def _link_info(info: bytes) -> tuple[str | None, int | None, int | None]:
     """Path, volume serial and drive type of a LinkInfo block."""
     head, flags, volume, base, _, common = _take(info, "6I", 4)
     path = serial = drive = None
+    # what the header points at stands behind it, and inside the block
+    for at in ([volume, base] if flags & 1 else []) + [x for x in (common,) if x]:
+        if not head <= at < len(info):
+            raise ParseError(f"link block points outside itself, at {at}")
     if flags & 1:
         size, drive, serial = _take(info, "3I", volume)
         if size < 16:
