@@ -20,7 +20,7 @@ def plain(value):
 @pytest.fixture(scope="module")
 def other():
     db = duckdb.connect()
-    for t in ("events", "pages"):
+    for t in ("events", "pages", "orders"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return db
 
@@ -35,3 +35,11 @@ def test_same_rows(spark, other, name):
     theirs = Counter(tuple(map(plain, r)) for r in want.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
     assert ours == theirs
     assert ours
+
+
+@pytest.mark.parametrize("name", sorted(Q.EDGES))
+def test_edge_cases(spark, other, name):
+    column, kind, rows, out, _ = Q.EDGES[name]
+    got = spark.createDataFrame([(r,) for r in rows], f"{column} {kind}").select(column, *[f(Q.F.col(column)).alias(n) for n, f in out.items()])
+    want = other.sql(Q.edge_sql(name)).select(*[duckdb.ColumnExpression(c) for c in got.columns]).fetchall()
+    assert Counter(tuple(map(plain, r)) for r in got.collect()) == Counter(tuple(map(plain, r)) for r in want)

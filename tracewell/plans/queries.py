@@ -309,18 +309,23 @@ def _sql(value: object) -> str:
     return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
 
 
+#: Edge cases of the functions below, for tests: column, its type, values, and the expressions in both languages.
+EDGES: dict[str, tuple[str, str, list, dict[str, Callable[[Column], Column]], dict[str, str]]] = {}
+
+
 def _values(name: str, column: str, kind: str, rows: list, out: dict[str, Callable[[Column], Column]], sql: dict[str, str]) -> None:
-    """A query over inline values, written the same on both sides."""
+    """Queries of these functions over every row of ``orders`` and of ``events``."""
+    EDGES[name] = (column, kind, rows, out, sql)
+    _over_table(name, "orders", {"id": "o_orderkey", "k": "o_orderkey % 1000", "user_id": "o_custkey", "ts": "CAST(o_orderdate AS TIMESTAMP)", "event_type": "o_orderpriority"}, column, out, sql)
+    _over_events(name, column, out, sql)
 
-    def run(spark, sf):
-        table = spark.createDataFrame([(r,) for r in rows], f"{column} {kind}")
-        return table.select(column, *[f(F.col(column)).alias(n) for n, f in out.items()])
 
-    run.__name__ = name
+def edge_sql(name: str) -> str:
+    """The SQL of the edge cases of ``name`` as inline rows."""
+    column, kind, rows, _, sql = EDGES[name]
     cast = {"long": "BIGINT", "string": "VARCHAR", "int": "INTEGER"}[kind]
     inline = ", ".join(f"(CAST({_sql(r)} AS {cast}))" for r in rows)
-    query(f"WITH v({column}) AS (VALUES {inline}) SELECT {column}, {', '.join(f'{s} AS {n}' for n, s in sql.items())} FROM v")(run)
-    _over_events(name, column, out, sql)
+    return f"WITH v({column}) AS (VALUES {inline}) SELECT {column}, {', '.join(f'{s} AS {n}' for n, s in sql.items())} FROM v"
 
 
 #: Inputs of the same functions from every row of ``events``; both engines read these expressions ({us}: microseconds since 1970).
@@ -343,6 +348,20 @@ INPUTS = {
 COMPUTED = {"iso8601_parse": {"iso": "CASE WHEN trim(text) LIKE '%Z' THEN " + ISO.format("CAST(left(trim(text), 26) AS TIMESTAMP)") + " WHEN text LIKE '%+02:00' THEN " + ISO.format("(CAST(left(text, 26) AS TIMESTAMP) - INTERVAL 2 HOUR)") + " END"}}
 
 
+def _over_table(name: str, table: str, columns: dict[str, str], column: str, out: dict[str, Callable[[Column], Column]], sql: dict[str, str]) -> None:
+    names = ", ".join(f"{expression} AS {n}" for n, expression in columns.items())
+
+    def run(spark, sf):
+        e = spark.read.parquet(f"{sf}/{table}.parquet").selectExpr(*[f"{expression} AS {n}" for n, expression in columns.items()]).withColumn("stamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        made = e.select("id", F.expr(INPUTS[name].replace("{us}", "unix_micros(CAST(ts AS TIMESTAMP))")).alias(column))
+        return made.select("id", column, *[f(F.col(column)).alias(n) for n, f in out.items()])
+
+    run.__name__ = name
+    made = INPUTS[name].replace("{us}", "epoch_us(ts)")
+    raw = f"SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS stamp FROM (SELECT {names} FROM {table})"
+    query(f"WITH raw AS ({raw}), v AS (SELECT id, {made} AS {column} FROM raw) SELECT id, {column}, {', '.join(f'{s} AS {n}' for n, s in COMPUTED.get(name, sql).items())} FROM v")(run)
+
+
 def _over_events(name: str, column: str, out: dict[str, Callable[[Column], Column]], sql: dict[str, str]) -> None:
     """The same functions over the whole ``events`` table, as a query of its own."""
 
