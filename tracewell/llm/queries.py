@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import langid, matroska, mixing, ngram_jaccard, packing, quality, secrets, spotsigs, suffix_dedup, warc
+from tracewell.llm import langid, matroska, merkle, mixing, ngram_jaccard, packing, quality, secrets, seen_digests, spotsigs, suffix_dedup, token_links, warc
 from tracewell.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,9 +60,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.aligned(table(spark, sf_dir, "documents"))
+
+
+def op12_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seen_digests.dedup(table(spark, sf_dir, "documents")).drop("in_history")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": ngram_jaccard.ORACLE, "op5_ngram_jaccard_links": ngram_jaccard.LINKS_ORACLE, "op7_warc": warc.ORACLE}
+    return {"op5_ngram_jaccard_join": ngram_jaccard.ORACLE, "op5_ngram_jaccard_links": ngram_jaccard.LINKS_ORACLE, "op7_warc": warc.ORACLE, "op12_perfect_hash_dedup": seen_digests.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
