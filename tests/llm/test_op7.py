@@ -99,3 +99,34 @@ def test_ranges_of_a_file_and_rolled_files(spark, tmp_path):
 def test_payloads_are_not_shuffled_for_a_small_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     assert "BroadcastHashJoin" in warc.page_records(pages)._jdf.queryExecution().executedPlan().toString()
+
+
+def nested(rng):
+    """Pages whose payloads are themselves archives of incompressible records, which deflate stores as they are."""
+    inner = lambda i: b"".join(warc.member(warc.page_record(f"urn:page:inner{i}-{k}", "http://in/", rng.randbytes(rng.randrange(40_000)))) for k in range(4))
+    return [(f"urn:page:{i}", "http://out/", bytearray(inner(i)), None) for i in range(12)]
+
+
+def test_archives_within_archives(spark, tmp_path):
+    warc.register(spark)
+    rows = nested(random.Random(2))
+    spark.createDataFrame(rows, "record_id string, target_uri string, payload binary, refers_to string").coalesce(1).write.format("warc").mode("append").save(str(tmp_path))
+    for size in (777, 20_000, 60_000, 150_000, 250_000, 1 << 26):
+        read = spark.read.format("warc").option("partBytes", str(size)).load(str(tmp_path)).where("record_type = 'response'")
+        assert sorted((r.record_id, r.payload) for r in read.collect()) == sorted((r[0], r[2]) for r in rows)
+        assert (read.rdd.getNumPartitions() > 5) == (size < 200_000)
+
+
+def test_files_without_listed_starts(spark, tmp_path, monkeypatch):
+    """They are one range, and ranges once their starts are written; a list of another file's size counts for nothing."""
+    rows = nested(random.Random(4))
+    data = b"".join(warc.member(warc.page_record(r[0], r[1], bytes(r[2]))) for r in rows)
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    parts = lambda size: warc.WarcReader({"path": str(tmp_path), "partbytes": str(size)}).partitions()
+    assert len(parts(100_000)) == 1
+    monkeypatch.setattr(warc, "PART_BYTES", 100_000)
+    assert [r.starts for r in warc.index_starts(spark, str(tmp_path)).collect()] == [12] and len(parts(100_000)) > 3
+    read = spark.read.format("warc").option("partBytes", "100000").load(str(tmp_path))
+    assert sorted((r.record_id, r.payload) for r in read.collect()) == sorted((r[0], r[2]) for r in rows)
+    (tmp_path / "x.warc.gz").write_bytes(data + warc.member(warc.page_record("urn:page:99", "u", b"more")))
+    assert len(parts(100_000)) == 1

@@ -61,6 +61,20 @@ def test_ids_are_the_tokenizers():
     assert not wrong, wrong[:5]
 
 
+def test_capitals_before_marks():
+    """Each ASCII letter before each combining mark, bare and with punctuation, then 200,000 random strings of such parts."""
+    path = P.path("word_bpe_49k.json")
+    plain, words, rng = Tokenizer.from_file(path), Words(path), random.Random(12)
+    letters = [*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    marks = [chr(c) for c in range(0x300, 0x370)] + [chr(c) for c in (*range(0x1AB0, 0x1AC0), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x20F1), *range(0xFE20, 0xFE30), 0x3099, 0x309A, 0x345)]
+    texts = [a + m + p for a in letters for m in marks for p in ("", ".", "x,")]
+    texts += ["".join(x for _ in range(rng.randrange(1, 4)) for x in (rng.choice(letters), rng.choice([*marks, ""]), rng.choice([*".,;:!?'-& ", ""]))) for _ in range(200_000)]
+    for at in range(0, len(texts), 10_000):
+        part = texts[at : at + 10_000]
+        for text, want in zip(part, plain.encode_batch(part, add_special_tokens=False), strict=True):
+            assert words.ids(text.encode()) == struct.pack(f"<{len(want.ids)}I", *want.ids), repr(text)
+
+
 def test_repeated_rows_are_packed_each(spark):
     rows = [(i % 3, "one two three four") for i in range(60)] + [(None, "x y")] * 7
     got = pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()

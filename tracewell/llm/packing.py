@@ -77,8 +77,14 @@ class Words(dict):
         return ids
 
     def ids(self, text: bytes) -> bytes:
-        # special tokens are matched as written, so texts that may hold one keep their case
-        chunks = (text if b"<|" in text else text.translate(LOWER)).split()
+        # special tokens are matched as written, so texts that may hold one keep their case; so do chunks that are not wholly
+        # ASCII, since a capital and the mark behind it may compose to another letter than the small ones do
+        if b"<|" in text:
+            chunks = text.split()
+        elif text.isascii():
+            chunks = text.translate(LOWER).split()
+        else:
+            chunks = [c.translate(LOWER) if c.isascii() else c for c in text.split()]
         return b"".join(map(self.__getitem__, chunks))
 
 

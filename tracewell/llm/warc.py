@@ -3,7 +3,9 @@
 Archives are gzip members, one per record. Each member names its own compressed length in its
 header's extra field, so a reader inflates a record's headers first and, unless its payload is wanted,
 seeks to the next one; members without the field are inflated to their end. A partition is a range of bytes of
-a compressed file, and has the records that begin there.
+a compressed file, and has the records that begin there. Where ranges may begin is not guessed from the bytes, since a payload
+may itself be an archive: a list of true member starts, written with a file or by ``index_starts``, lies in a folder beside
+the file's, named ``.starts``; a file without one is one range.
 """
 
 from __future__ import annotations
@@ -44,8 +46,17 @@ FIELDS = pa.schema(
 #: Columns that record headers give, and their names there.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "content_type": "content-type"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of a partition, and of a file that is written; bytes that are searched for a member at once.
-PART_BYTES, SEARCH = 64 << 20, 1 << 20
+#: Bytes of a partition, and of a file that is written; bytes between listed member starts at least.
+PART_BYTES, STEP = 64 << 20, 16 << 10
+STARTS = ".starts"
+
+
+def starts_path(name: str) -> str:
+    """Where an archive's member starts are listed: archives alone lie in their own folder."""
+    folder, _, file = name.rpartition("/")
+    return f"{folder}{STARTS}/{file}{STARTS}"
+
+
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -138,31 +149,41 @@ def _member_start(head: bytes) -> tuple[int, int]:
     return at + (2 if flags & 2 else 0), length
 
 
-def _first_member(source: _Source, at: int, end: int) -> int:
-    """Where the first gzip member of a record begins in [at, end), else ``end``: its marks, and a record behind them."""
-    while at < end:
-        window = source.at(at, SEARCH + 2)
-        found = window.find(b"\x1f\x8b\x08")
-        while 0 <= found < SEARCH and at + found < end:
-            head = source.at(at + found, 8192)
-            try:
-                if zlib.decompressobj(-15).decompress(head[_member_start(head)[0] :], 5) == b"WARC/":
-                    return at + found
-            except (ValueError, IndexError, struct.error, zlib.error):
-                pass  # the same bytes inside of compressed data
-            found = window.find(b"\x1f\x8b\x08", found + 1)
-        at += SEARCH
-    return end
+def _thinned(starts: Iterator[int]) -> list[int]:
+    """Of rising offsets the first, and each that is ``STEP`` or more behind the last one taken."""
+    out: list[int] = []
+    for at in starts:
+        if not out or at >= out[-1] + STEP:
+            out.append(at)
+    return out
+
+
+def _starts_file(size: int, starts: list[int]) -> bytes:
+    """A file's size, which says whether the list is its, and member starts."""
+    return struct.pack(f"<{len(starts) + 1}Q", size, *starts)
+
+
+def _ranges(store, name: str, size: int, part_bytes: int) -> Iterator[tuple[str, int, int]]:
+    """Ranges of a compressed file that begin at members and are ``part_bytes`` long at least, as far as its starts are known."""
+    cuts = [0]
+    if size > part_bytes and store.get_file_info(starts_path(name)).is_file:
+        with store.open_input_file(starts_path(name)) as stream:
+            raw = stream.read()
+        whole, *starts = struct.unpack(f"<{len(raw) // 8}Q", raw)
+        for at in starts if whole == size else ():
+            if at >= cuts[-1] + part_bytes:
+                cuts.append(at)
+    return ((name, start, end) for start, end in zip(cuts, [*cuts[1:], size], strict=True))
 
 
 def records(stream, wanted, with_payload: bool, start: int = 0, end: int | None = None) -> Iterator[tuple[dict[str, str], int | None, bytes | None, int]]:
     """(headers, payload length, payload, offset) of the records whose headers ``wanted`` accepts; gzip or plain files.
 
-    ``start``, ``end``: only records that begin there (compressed files).
+    ``start``, ``end``: only records that begin there (compressed files); ``start`` must be a member's.
     """
     source = _Source(stream)
     end = source.size if end is None else min(end, source.size)
-    at = _first_member(source, start, end) if start else 0
+    at = start
     while at < end:
         head = source.at(at, 8192)
         if head[:5] == b"WARC/":
@@ -238,7 +259,7 @@ class WarcPartition(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    """Partitions are ranges of large compressed files, or groups of smaller files; a plain file stays whole, since its payloads may hold records.
+    """Partitions are ranges of large compressed files, or groups of smaller files; a file of no known member starts stays whole, since its payloads may hold records.
 
     Predicates on header columns are decided before a payload is touched.
     """
@@ -267,7 +288,7 @@ class WarcReader(DataSourceReader):
         info = store.get_file_info(path)
         found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
         files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith((".warc", ".warc.gz")))
-        ranges = [(name, at, min(at + self.part_bytes, size)) for name, size in files if name.endswith(".gz") for at in range(0, size, self.part_bytes)]
+        ranges = [r for name, size in files if name.endswith(".gz") for r in _ranges(store, name, size, self.part_bytes)]
         ranges += [(name, 0, size) for name, size in files if not name.endswith(".gz")]
         parts: list[list[tuple[str, int, int]]] = []
         room = 0
@@ -329,21 +350,26 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        store, path = filesystem(self.path)
-        store.create_dir(path, recursive=True)
+        store, path = filesystem(self.path.rstrip("/"))
+        for folder in (path, path + STARTS):
+            store.create_dir(folder, recursive=True)
         task = TaskContext.get()
         stem = f"{path}/part-{task.partitionId() if task else 0:05d}-{uuid.uuid4().hex}"
         rows = (row for batch in iterator for row in zip(*(batch.column(c).to_pylist() for c in ("record_id", "target_uri", "payload", "refers_to")), strict=True))
         files, row = [], next(rows, None)
         while row is not None:
             files.append(f"{stem}-{len(files):04d}.warc.gz")
+            size, starts = 0, []
             with store.open_output_stream(files[-1] + ".open", compression=None) as out:
                 out.write(member(record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, files[-1])}>", "WARC-Date": DATE, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")))
-                size = 0
                 while row is not None and size < self.part_bytes:
                     record_id, uri, payload, refers_to = row
+                    starts.append(out.tell())
                     size += out.write(member(page_record(record_id, " ".join((uri or "").split()), payload or b"", refers_to)))
                     row = next(rows, None)
+                total = out.tell()
+            with store.open_output_stream(starts_path(files[-1]), compression=None) as out:
+                out.write(_starts_file(total, _thinned(starts)))
         return Written(tuple(files))
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -354,7 +380,8 @@ class WarcWriter(DataSourceArrowWriter):
     def abort(self, messages: list[Written | None]) -> None:
         store, _ = filesystem(self.path)
         for name in (f for m in messages if m is not None for f in m.files):
-            store.delete_file(name + ".open")
+            for written_ in (name + ".open", starts_path(name)):
+                store.delete_file(written_)
 
 
 class WarcSource(DataSource):
@@ -384,6 +411,30 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
+def index_starts(spark: SparkSession, path: str) -> DataFrame:
+    """Write the member starts of archives from elsewhere beside their folders, so that large ones are read in ranges: (file, starts).
+
+    One task walks a file, by the members' own lengths where they say them. Run it once, and again for files that have changed.
+    """
+    register(spark)
+    root, part_bytes = path, PART_BYTES
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = filesystem(root)
+        for name in (n for batch in batches for n in batch.column(0).to_pylist()):
+            with store.open_input_file(name) as stream:
+                starts, size = _thinned(at for *_, at in records(stream, lambda headers: True, False)), stream.size()
+            store.create_dir(starts_path(name).rpartition("/")[0], recursive=True)
+            with store.open_output_stream(starts_path(name), compression=None) as out:
+                out.write(_starts_file(size, starts))
+            yield pa.RecordBatch.from_pydict({"file": [name], "starts": [len(starts)]})
+
+    store, _ = filesystem(path)
+    large = [(name,) for p in WarcReader({"path": path}).partitions() for name, start, end in p.ranges if name.endswith(".gz") and end - start > part_bytes]
+    files = spark.createDataFrame(large, "file string")
+    return written(files.repartition(max(1, len(large))).mapInArrow(walk, "file string, starts long"), "starts")
+
+
 PREFIX = "urn:page:"
 LEAST = 1000
 
