@@ -16,9 +16,9 @@ from __future__ import annotations
 import array
 import hashlib
 import itertools
+import os
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from tracewell.shared import written
 #: Ranges of side ids, and postings that one group of the cogroup reads, about.
 BUCKETS, GROUP = 128, 8_000_000
 #: Words and links that a task remembers, words of one step, pairs that it counts before it passes them on.
-CACHED, CACHED_LINKS, STEP, COUNTED = 250_000, 4_000_000, 200_000, 1_000_000
+CACHED, CACHED_LINKS, STEP, COUNTED = 500_000, 4_000_000, 200_000, 1_000_000
 #: White space as Unicode has it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 MARK = "\u2581"
@@ -53,31 +53,24 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Word(NamedTuple):
-    """Alignment of one piece of text; ``good``: both kinds of tokens have its bytes."""
-
-    good: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: list[int]
-
-
 def align(ids_a: list[int], sizes_a: list[int], ids_b: list[int], sizes_b: list[int]) -> tuple[list[str], list[int]]:
     """Groups, as 'a,a|b', and all links, as b * 65536 + a, of two token rows over the same bytes."""
     groups, links = [], []
     i = j = first_a = first_b = 0
-    end_a, end_b = sizes_a[0], sizes_b[0]
+    last, end_a, end_b = len(ids_a), sizes_a[0], sizes_b[0]
     while True:
         links.append(ids_b[j] << 16 | ids_a[i])
         if end_a == end_b:
-            groups.append(",".join(map(str, ids_a[first_a : i + 1])) + "|" + ",".join(map(str, ids_b[first_b : j + 1])))
-            i, j = i + 1, j + 1
-            first_a, first_b = i, j
-            if i == len(ids_a):
+            if i == first_a and j == first_b:
+                groups.append(f"{ids_a[i]}|{ids_b[j]}")
+            else:
+                groups.append(",".join(map(str, ids_a[first_a : i + 1])) + "|" + ",".join(map(str, ids_b[first_b : j + 1])))
+            first_a = i = i + 1
+            first_b = j = j + 1
+            if i == last:
                 return groups, links
-            end_a, end_b = end_a + sizes_a[i], end_b + sizes_b[j]
+            end_a += sizes_a[i]
+            end_b += sizes_b[j]
         elif end_a < end_b:
             i += 1
             end_a += sizes_a[i]
@@ -87,16 +80,19 @@ def align(ids_a: list[int], sizes_a: list[int], ids_b: list[int], sizes_b: list[
 
 
 class Aligner(dict):
-    """Number of each piece of text in the tables below, which hold its alignment; pieces are aligned as they come."""
+    """Number of each piece of text in the tables below, which hold its alignment; unknown pieces are learned together."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # tasks are what runs side by side
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a = {i: bytes(map(BYTES.__getitem__, token)) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        known = {i: bytes(map(BYTES.__getitem__, token)) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.bytes_a = [known.get(i, b"") for i in range(max(known) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         byte = re.compile("<0x([0-9A-F]{2})>")
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace(MARK, " ").encode() for p in pieces]
@@ -110,39 +106,42 @@ class Aligner(dict):
     def clear(self) -> None:
         super().clear()
         self.groups: list[str] = []
-        self.sums: list[tuple[int, int, int, int]] = []
         self.bad: set[int] = set()
-        self.starts, self.links = array.array("q", [0]), array.array("q")
+        #: Tokens of both kinds, groups and links of each piece, four numbers in a row; where its links begin; all links.
+        self.sums, self.starts, self.links = array.array("q"), array.array("q", [0]), array.array("q")
 
     def full(self) -> bool:
         return len(self) > CACHED or len(self.links) > CACHED_LINKS
 
-    def _ids_b(self, text: str) -> list[int] | None:
-        """Ids of a piece of a text, without the space that the tokenizer puts first; None if it runs into the piece."""
-        if text[0] == " ":
-            return self.b.encode(text[1:]) if len(text) > 1 else [self.mark]
-        ids = self.b.encode(text)
-        return ids[1:] if ids and ids[0] == self.mark else None
-
-    def word(self, text: str) -> Word:
-        ids_a, ids_b = self.a.encode(text, add_special_tokens=False).ids, self._ids_b(text)
-        raw = text.encode()
-        own_a, own_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b or ()]
-        if b"".join(own_a) != raw or b"".join(own_b) != raw:
-            return Word(False, 0, 0, 0, "", [])
-        groups, links = align(ids_a, list(map(len, own_a)), ids_b, list(map(len, own_b)))
-        return Word(True, len(ids_a), len(ids_b), len(groups), ";".join(groups), links)
-
-    def __missing__(self, text: str) -> int:
-        w, number = self.word(text), len(self.groups)
-        if not w.good:
-            self.bad.add(number)
-        self.groups.append(w.groups)
-        self.sums.append((w.n_a, w.n_b, w.n_groups, len(w.links)))
-        self.links.extend(w.links)
-        self.starts.append(len(self.links))
-        self[text] = number
-        return number
+    def learn(self, texts: list[str]) -> None:
+        """Align new pieces of texts; those that the tokens of either kind do not give back are noted as bad."""
+        # the second tokenizer puts a space first: a piece's own, or one that must stay a token by itself
+        all_b = self.b.encode([text[1:] if text[0] == " " else text for text in texts], num_threads=1)
+        all_a = [row.ids for row in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        for text, ids_a, ids_b in zip(texts, all_a, all_b, strict=True):
+            if text[0] != " ":
+                ids_b = ids_b[1:] if ids_b and ids_b[0] == self.mark else []
+            elif len(text) == 1:
+                ids_b = [self.mark]
+            own_a, own_b, raw = list(map(bytes_a, ids_a)), list(map(bytes_b, ids_b)), text.encode()
+            self[text] = len(self.groups)
+            if b"".join(own_a) == raw == b"".join(own_b):
+                groups, links = align(ids_a, list(map(len, own_a)), ids_b, list(map(len, own_b)))
+                self.groups.append(";".join(groups))
+                self.sums.extend((len(ids_a), len(ids_b), len(groups), len(links)))
+                self.links.extend(links)
+            else:
+                self.bad.add(len(self.groups))
+                self.groups.append("")
+                self.sums.extend((0, 0, 0, 0))
+            self.starts.append(len(self.links))
+
+    def numbers(self, texts: list[str]) -> list[int]:
+        """The numbers of pieces, which are learned where they are new."""
+        if new := list(dict.fromkeys(itertools.filterfalse(self.__contains__, texts))):
+            self.learn(new)
+        return list(map(self.__getitem__, texts))
 
 
 def aligner(paths: tuple[str, str]) -> Aligner:
@@ -157,7 +156,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return keys, counts
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+    first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
     return keys[first], np.add.reduceat(counts[order], first)
 
 
@@ -195,16 +194,27 @@ class _Task:
         self.held: list[tuple[int, np.ndarray, np.ndarray]] = []
         self.counts: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def steps(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, of a long one some at a time."""
+        if len(text) <= STEP:
+            yield self.words.pieces.findall(" " + text)
+        else:
+            pieces = (m[0] for m in self.words.pieces.finditer(" " + text))
+            while step := list(itertools.islice(pieces, STEP)):
+                yield step
+
     def add(self, doc_id: int | None, text: str | None) -> None:
         words, digest, sums, whole = self.words, hashlib.sha256(), np.zeros(4, dtype=np.int64), bool(text)
-        mine, pieces, first = [], words.pieces.finditer(" " + text) if text else iter(()), True
-        while whole and (step := [words[m[0]] for m in itertools.islice(pieces, STEP)]):
-            whole = not words.bad or words.bad.isdisjoint(step)
-            digest.update((("" if first else ";") + ";".join(map(words.groups.__getitem__, step))).encode())
-            number, n = np.unique(np.array(step), return_counts=True)
-            sums += n @ np.array([words.sums[i] for i in number.tolist()])
+        mine = []
+        for step in self.steps(text) if text else ():
+            numbers = words.numbers(step)
+            whole = whole and (not words.bad or words.bad.isdisjoint(numbers))
+            if not whole:
+                break
+            digest.update(((";" if mine else "") + ";".join(map(words.groups.__getitem__, numbers))).encode())
+            number, n = _summed(np.array(numbers), np.ones(len(numbers), dtype=np.int64))
+            sums += n @ np.frombuffer(words.sums, dtype=np.int64).reshape(-1, 4)[number]
             mine.append(self._links(number, n))
-            first = False
             if words.full():
                 words.clear()
         if whole:
