@@ -110,3 +110,9 @@ def test_only_the_difference_counts(spark):
     rows = [(n, block * n) for n in (1, 2, 50, 50)]
     scores = {r.score for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert len(scores) == 1
+
+
+def test_missing_ids_are_not_held_out(spark):
+    docs = spark.createDataFrame([(None, "words"), (5, "words")] * 2, "doc_id long, text string")
+    got = quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert len(got) == 4 and {r.held_out for r in got if r.doc_id is None} == {False}

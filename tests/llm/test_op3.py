@@ -93,3 +93,11 @@ def test_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "same")] * 6 + [(None, "same")], "doc_id long, text string")
     got = M.round_trip(docs).collect()
     assert len(got) == 7 and len({(r.media_sha256, r.payload_sha256, r.feature) for r in got}) == 1
+
+
+def test_cue_points_of_several_tracks():
+    positions = lambda track, at: M._element(M.CUE_POSITIONS, M._uint(M.CUE_TRACK, track) + M._uint(M.CUE_CLUSTER, at))
+    points = M._element(M.CUE_POINT, M._uint(M.CUE_TIME, 4) + positions(1, 11) + positions(2, 26)) + M._element(M.CUE_POINT, M._uint(M.CUE_TIME, 9) + positions(2, 40))
+    got = M.parse(M.HEAD + M._element(M.SEGMENT, M._element(M.CUES, points)))
+    base = got.cues[0][2] - 11
+    assert [(ns // got.scale, track, at - base) for ns, track, at in got.cues] == [(4, 1, 11), (4, 2, 26), (9, 2, 40)]

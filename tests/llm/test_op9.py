@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import Row
@@ -92,15 +93,19 @@ def test_keyword_boundary():
 
 
 def test_words_come_from_all_documents(spark):
-    words = secrets.common_words(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    assert 1000 < len(words) <= secrets.MOST_WORDS + len(secrets.RANK)
-    assert secrets.RANK.items() <= words.items()
-
-
-def test_word_list_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(secrets, "MOST_WORDS", 300)
-    words = secrets.common_words(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    assert 290 <= len(words.keys() - secrets.RANK.keys()) <= 300
+    """All words that two documents hold, ranked by documents, then by name; and spans as a dictionary of them all gives them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    leaks = [(5000, "pwd is andonwhndly1"), (5001, "pwd is andonwhndlyzzqq"), (5002, "token: P4ssw0rd-riverRIVER, pin: 'kvxqzjwpmh'"), (5003, "an andonwhndly"), (5004, "an andonwhndly")]
+    docs = docs.unionByName(spark.createDataFrame(leaks, "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    counts = Counter(w for _, t in rows if t for w in secrets._held(t.encode()))
+    order = sorted((w for w, n in counts.items() if n >= 2), key=lambda w: (-counts[w], w))
+    words = {w: i for i, w in enumerate(order, len(secrets.COMMON) + 1)}
+    assert {r.word: r["rank"] for r in secrets.ranked_words(docs).collect()} == words and len(words) > 1000
+    got = {r.doc_id: (r.spans, r.guess_cost) for r in secrets.scan(docs).collect()}
+    for i, t in rows:
+        found, cost = secrets.judged((t or "").encode(), words | secrets.RANK)
+        assert got[i] == (secrets._joined(found), cost), t
 
 
 def piece_cost(s, words):
@@ -162,3 +167,9 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "token: abcdefghijk")] * 5, "doc_id long, text string")
     assert [r.n_assign for r in secrets.scan(docs).collect()] == [1] * 5 and secrets.redact(docs).count() == 5
     assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "token: abcdefghijk", 18, 7, 8, 9, "x"), (2, "clean", 5, 1, 2, 3, None)], "doc_id long, text string, n_chars long, `a b` int, `a.b` int, `a-b` int, `c``d` string")
+    got = secrets.redact(docs)
+    assert got.schema == docs.schema and {tuple(r) for r in got.collect()} == {(1, "[SECRET]", 8, 7, 8, 9, "x"), (2, "clean", 5, 1, 2, 3, None)}

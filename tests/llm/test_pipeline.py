@@ -78,3 +78,13 @@ def test_repeated_rows_are_one_document(spark):
     got = P.distinct_documents(spark, docs, SF)
     assert got.schema == docs.schema
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, text), (1, text), (5, ""), (5, ""), (6, ""), (7, rows[-1][1])]
+
+
+def test_columns_of_any_name_pass_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("a b", "a.b", "a-b", "c`d", "row", "slot", "score", "digest", "component_id"))])
+    for name, stage in P.STAGES[:-1]:
+        got = written(stage(spark, odd, SF), name)
+        assert got.dtypes == odd.dtypes and got.where("`a.b` = 1 and `c``d` = 3 and component_id = 8").count() == got.count() > 0, name
+        odd = got
+    assert P.STAGES[-1][1](spark, odd, SF).count() > 0

@@ -228,5 +228,5 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """``predict`` with a model of ``docs``' own rows outside the held-out fold, and ``held_out``; a null doc_id is in fold 0."""
+    """``predict`` with a model of ``docs``' own rows outside the held-out fold, and ``held_out``; a null doc_id is in no fold, so not held out."""
     return predict(docs, fit(docs, folds, held_out)).select("doc_id", (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "lang_pred", "score", "rejected")

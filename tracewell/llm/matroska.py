@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.runtime import ship
+from tracewell.shared import written
 
 # Element identifiers of the format, with their length markers.
 EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1
@@ -184,12 +185,15 @@ class _Reader:
             self.out.clusters.append(begin)
         elif element in (BLOCK_GROUP, CUE_POINT, TRACK_ENTRY):
             self.group = {}
+        elif element == CUE_POSITIONS:
+            # a point has a position for each of its tracks, all at its time
+            self.group = {k: v for k, v in self.group.items() if k == "time"}
 
     def close(self) -> None:
         element, _, _ = self.around.pop()
         if element == BLOCK_GROUP and "block" in self.group:
             self.block(*self.group["block"], "reference" not in self.group)
-        elif element == CUE_POINT:
+        elif element == CUE_POSITIONS:
             self.out.cues.append((self.group.get("time", 0) * self.out.scale, self.group.get("track", 0), self.segment + self.group.get("cluster", 0)))
         elif element == TRACK_ENTRY:
             self.out.tracks[self.group.pop("number", 0)] = self.group
@@ -317,9 +321,9 @@ def described(media: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Store every text as media and read it back, one row per row of ``docs``.
+    """Store every text in a table of media and read that back, one row per row of ``docs``.
 
     Null texts count as empty; a null doc_id is kept; repeated rows each return, and equal texts have equal values. An empty
     table gives an empty result. Other columns are ignored.
     """
-    return described(stored(docs))
+    return described(written(stored(docs), "media"))

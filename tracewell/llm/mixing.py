@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.runtime import WORD
+from tracewell.llm.runtime import WORD, columns_of, quoted
 from tracewell.shared import ranged, running, written
 
 BLOCK = 256
@@ -117,7 +117,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     names = docs.columns
     # a stored number for each row, so that both its uses agree whatever ``docs`` is
-    rows = written(docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    rows = written(docs.select(F.struct(*columns_of(docs)).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
     _, _, parts = _mixed_pieces(rows.select("doc.doc_id", "doc.source", "doc.text", "row"), block, F.col("row"))
     copies = parts.groupBy("row", "lap", "size").agg(F.sum("words").alias("keep"), F.min(F.struct("slot", "first")).alias("at"))
     joined = rows.join(copies, "row").orderBy("at.slot", "row", "lap")
@@ -125,4 +125,4 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     part = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("keep").cast("int")), " ")
     text = F.when(whole, F.col("doc.text")).otherwise(part)
     changed = {"text": text, "n_chars": F.when(whole, F.col("doc.n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in names else None}
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(f"doc.`{c}`").alias(c) for c in names])
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(f"doc.{quoted(c)}").alias(c) for c in names])

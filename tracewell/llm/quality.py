@@ -18,8 +18,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tracewell.llm.runtime import crc_fold, ship
+from tracewell.llm.runtime import columns_of, crc_fold, quoted, ship
 from tracewell.shared import written
 
 #: Bytes of a block, at most.
@@ -178,7 +179,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
     if not model.good:
         warnings.warn("quality: no model could be fitted, so all documents are kept", stacklevel=2)
         return docs
-    columns = docs.columns
-    held = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = f"row {docs.select(F.struct(*columns).alias('row')).schema['row'].dataType.simpleString()}, score double, good_bytes long, bad_bytes long"
-    return held.mapInArrow(_score(model, ["row"]), schema).where(F.col("score") >= threshold).select("row.*")
+    held = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = StructType([held.schema["row"], StructField("score", DoubleType()), StructField("good_bytes", LongType()), StructField("bad_bytes", LongType())])
+    return held.mapInArrow(_score(model, ["row"]), schema).where(F.col("score") >= threshold).select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

@@ -33,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id's decimal text, modulo ``folds`` (null id: 0)."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
+    """crc32 of the id's decimal text, modulo ``folds``; a null id is in no fold (-1)."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1)).cast("int")

@@ -37,6 +37,8 @@ from tracewell.llm.runtime import ship
 #: Long enough that few strings share one by chance, short enough that one entry stands for about 15 windows.
 QGRAM = 20
 CHUNK_DOCS = 700
+#: Bytes of a chunk, about, however many documents they are: one Arrow group holds them.
+CHUNK_BYTES = 16 << 20
 #: Bytes that are sorted by chunk and compressed together.
 PRESSED = 48 << 20
 #: A bucket that has more extensions than this within a chunk is known to be mixed; one entry says so.
@@ -417,9 +419,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_docs: int = CHUNK_DO
         raise ValueError(f"length must exceed {QGRAM}")
     spark = docs.sparkSession
     ship(spark)
-    n = docs.count()
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
     bits = min(MOST_BITS, max(FEWEST_BITS, (n // DOCS_A_BUCKET).bit_length()))
-    chunks = max(1, -(-n // chunk_docs))
+    chunks = max(1, -(-n // chunk_docs), -(-size // CHUNK_BYTES))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # by id and text, so that rows without an id, however many, are dealt to all chunks
     source = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
