@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, ngram_jaccard, packing, quality, secrets
-from tracewell.llm.runtime import WORD, table
+from tracewell.llm.runtime import WORD, columns_of, quoted, table
 from tracewell.shared import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -37,13 +37,13 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     found = ngram_jaccard.near_duplicates(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), (F.count(F.lit(1)) > 1).alias("repeated"))
     kept = written(found.where("kept").select("doc_id", "repeated"), "kept-ids")
-    single = docs.join(kept.where("not repeated"), "doc_id", "left_semi").select(*docs.columns)
+    single = docs.join(kept.where("not repeated"), "doc_id", "left_semi").select(*columns_of(docs))
     # equal rows of an id that several have come down to one in each task before they meet
     counted = docs.join(kept.where("repeated"), "doc_id", "left_semi")
     wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    least = counted.where(~wordless).groupBy("doc_id", F.sha2("text", 256).alias("_text")).agg(F.min(F.struct(*others, "text")).alias("_row"))
-    once = least.select(*[F.col(c) if c == "doc_id" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]).unionByName(counted.where(wordless))
+    least = counted.where(~wordless).groupBy("doc_id", F.sha2("text", 256).alias("_text")).agg(F.min(F.struct(*map(quoted, others), "text")).alias("_row"))
+    once = least.select(*[F.col(c) if c == "doc_id" else F.col(f"_row.{quoted(c)}").alias(c) for c in docs.columns]).unionByName(counted.where(wordless))
     return single.unionByName(once).unionByName(docs.where("doc_id is null"))
 
 
