@@ -3,11 +3,12 @@
 import base64
 import json
 import struct
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 
 from tests.unit.test_sources import data, event, shortcut, ticks
+from tracewell.errors import ArtifactError, IntegrityError
 from tracewell.operators import reports
 from tracewell.plans.config import CaseConfig
 from tracewell.plans.evidence import dispatched, examine
@@ -51,9 +52,13 @@ def test_examine(spark, folder, tmp_path):
     assert ("case", "started_utc") in record and sum(k == "digest" for k, _ in record) == sum(k == "post_digest" for k, _ in record) == 5
     text = lambda name: "".join(p.read_text() for p in (out / name).glob("part-*"))
     assert "<li>logs/a.events.xml</li>" in text("report_html") and '"ProcessName":"x.exe"' in text("findings_json") and '"parser_version":"1.0.0"' in text("findings_json")
-    frame = spark.read.parquet(str(out / "report_frame")).collect()
-    assert {r.section for r in frame} == {"limitations", "custody"}
-    assert {r.what: r.n for r in reports.counts(got.case.findings, got.artifacts, got.artifacts).collect()} == {"findings": 1, "intake_digests": 5, "post_digests": 5}
+    assert "<h2>Limitations</h2>" in text("report_frame") and "<td>artifacts</td><td>5</td>" in text("report_frame") and "<td>digest</td>" in text("report_frame")
+    assert got.counts == {"findings": 1, "artifacts": 5, "artifacts_after": 5, "events": 5}
+    assert record["case", "integrity_verdict"] == "verified" and record["case", "tool_name"] == reports.TOOL
+    lines = text("findings_csv").splitlines()
+    assert sum(line.startswith("session_id,") for line in lines) == 1 and lines[0].startswith("session_id,") and len(lines) == 4
+    names = [json.loads(line)["name"] for line in text("case_manifest").splitlines() if '"kind":"digest"' in line]
+    assert names == ["SYSTEM.values.jsonl", "deep/er/.hidden", "logs/a.events.xml", "notes.txt", "r.lnk"]
 
 
 def test_no_reports_without_the_gate(spark, folder, tmp_path):
@@ -65,7 +70,7 @@ def test_verification(spark, folder):
     found = intake.artifacts(spark, str(folder))
     before = spark.createDataFrame(found.collect(), found.schema)
     none = spark.createDataFrame([], "parser_name string, parser_version string")
-    record = reports.manifest("c", "e", before, none, ended=datetime(2026, 1, 1))
+    record = reports.manifest("c", "e", before, none, ended=datetime(2026, 1, 1, tzinfo=timezone.utc))
     assert reports.verified(record, found).first().verified is True and intake.confirmed(before, found).count() == 5
     (folder / "notes.txt").write_text("changed")
     assert reports.verified(record, intake.artifacts(spark, str(folder))).first().verified is False
@@ -79,7 +84,61 @@ def test_verification(spark, folder):
 
 def test_unparsed_evidence_has_no_events(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
-    assert dispatched(intake.artifacts(spark, str(tmp_path)), "c").count() == 0
+    assert dispatched(intake.artifacts(spark, str(tmp_path)), str(tmp_path), "c").count() == 0
+
+
+def test_empty_evidence_is_an_error(spark, tmp_path):
+    (tmp_path / "evidence").mkdir()
+    with pytest.raises(ArtifactError, match="no evidence"):
+        examine(spark, CaseConfig(str(tmp_path / "evidence"), str(tmp_path / "out"), "c1", "me"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_parsers_without_events_are_named(spark, tmp_path):
+    (tmp_path / "a.events.xml").write_text(event("Other", 1))
+    (tmp_path / "limitations.md").write_text("They stole it")
+    got = examine(spark, CaseConfig(str(tmp_path), str(tmp_path.parent / "out-none"), "c1", "me"))
+    assert [(r.name, r.value) for r in got.manifest.where("kind = 'parser'").collect()] == [("evtx_parser", "1.0.0")] and got.counts["events"] == 0
+
+
+def published(out):
+    return {p.relative_to(out).parts[0]: "".join(q.read_text() for q in sorted(p.glob("part-*"))) for p in sorted(out.iterdir())}
+
+
+def test_a_failing_case_publishes_nothing(spark, folder, tmp_path):
+    """Neither where a line claims too much nor where evidence has changed; what was published before stays, and runs with fixed times agree."""
+    out, now = tmp_path / "out", datetime(2026, 5, 1, tzinfo=timezone.utc)
+    run = lambda **more: examine(spark, CaseConfig(str(folder), str(out), "c1", "me"), started=now, ended=now, **more)
+    with pytest.raises(Exception, match="overstates"):
+        run(limitations=f"They stole it; {reports.DISCLAIMER}")
+    assert not out.exists() and not list(tmp_path.glob("*.staged-*"))
+    run()
+    first = published(out)
+    assert set(first) == {*reports.REPORTS, reports.FRAME, "case_manifest"} and all(first.values())
+    with pytest.raises(Exception, match="disclaimer"):
+        run(limitations="nothing")
+    run()
+    assert published(out) == first and not list(tmp_path.glob("*.staged-*"))
+
+
+def test_changed_evidence(spark, folder, tmp_path, monkeypatch):
+    out, real = tmp_path / "out", intake.artifacts
+    seen = []
+
+    def changing(*args, **more):
+        if seen:
+            (folder / "notes.txt").write_text("changed")
+        seen.append(1)
+        return real(*args, **more)
+
+    monkeypatch.setattr(intake, "artifacts", changing)
+    with pytest.raises(IntegrityError, match="changed"):
+        examine(spark, CaseConfig(str(folder), str(out), "c1", "me"))
+    assert not out.exists()
+    seen.clear()
+    (folder / "notes.txt").write_text("n")
+    got = examine(spark, CaseConfig(str(folder), str(out), "c1", "me"), strict=False)
+    assert got.verdict.first().verdict == "failed" and '"name":"integrity_verdict","value":"failed"' in published(out)["case_manifest"]
 
 
 def test_disclaimer_and_wording(spark):

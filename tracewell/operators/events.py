@@ -29,9 +29,16 @@ def timeline(events: DataFrame) -> DataFrame:
     return events.orderBy("case_id", *order_key())
 
 
-def positions(events: DataFrame) -> DataFrame:
-    """``events`` with their place in their case's timeline: ranges of it are counted, then numbered, so a case may have any size."""
-    dealt = ranged(events, ["case_id", *order_key()], "timeline")
+ORDERED = ("case_id", "timestamp_utc", "event_type", "source_artifact", "file_path", "device_id", "parser_name", "parser_version", "raw_timestamp", "ingest_ord")
+
+
+def positions(events: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``events`` with their place in their case's timeline: ranges of it are counted, then numbered, so a case may have any size.
+
+    ``keep``: columns that are wanted besides those that decide the order, which alone are then stored and sorted.
+    """
+    narrow = events if keep is None else events.select(*ORDERED, *[c for c in keep if c not in ORDERED])
+    dealt = ranged(narrow, ["case_id", *order_key()], "timeline")
     order = [*order_key(), F.col("row")]
     return running(dealt, ["case_id"], "part", order, F.lit(1).cast("long"), "before").withColumn("position", F.col("before") + 1).drop("before", "part", "row")
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.errors import IntegrityError, ReportError
 from tracewell.functions.timestamps import isoformat
+from tracewell.operators import publishing
 from tracewell.operators.scoring import SESSION
 
 # What a report must say and must not say.
@@ -60,13 +60,16 @@ def finding_documents(findings: DataFrame, fired: DataFrame, devices: DataFrame,
     out = named.select(F.lit("finding").alias("kind"), "session_id", document.alias("document"))
     out = out.unionByName(fired.join(findings.select(*SESSION, "session_id"), list(SESSION)).select(F.lit("contribution").alias("kind"), "session_id", F.to_json(F.struct("explanation", "points", "rule", F.col("session_id"), "source_artifacts")).alias("document")))
     if files is not None:
-        details = F.from_json("details", "map<string,string>")
-        sorted_details = F.map_from_entries(F.array_sort(F.map_entries(details)))
-        event = F.to_json(F.struct(sorted_details.alias("details"), "event_type", "file_path", "file_size_bytes", "parser_name", "parser_version", "raw_timestamp", "session_id", "source_artifact", isoformat(F.col("timestamp_utc")).alias("timestamp_utc")))
-        out = out.unionByName(files.select(F.lit("event").alias("kind"), "session_id", event.alias("document")))
+        out = out.unionByName(files.select(F.lit("event").alias("kind"), "session_id", event_document().alias("document")))
     return out
 
 
+def event_document() -> Column:
+    """An event of a session as JSON. Its details keep their types, lists and nested objects too, keys in alphabetical order."""
+    details = F.parse_json("details")
+    return F.to_json(F.struct(details.alias("details"), "event_type", "file_path", "file_size_bytes", "parser_name", "parser_version", "raw_timestamp", "session_id", "source_artifact", isoformat(F.col("timestamp_utc")).alias("timestamp_utc")))
+
+
 def escaped(text: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))
@@ -100,30 +103,36 @@ def html_fragments(findings: DataFrame, devices: DataFrame, fired: DataFrame | N
     return named.select("session_id", careful(html).alias("html"))
 
 
-def limitations(path: str | None = None) -> str:
-    """The text on what the results can't show: a file's, or this where there is none."""
-    if path and Path(path).is_file():
-        return Path(path).read_text(encoding="utf-8")
-    return f"Results are {DISCLAIMER}. Artifacts may be missing, altered or overwritten, and clocks may be wrong; an inferred end of a session is an assumption."
+def limitations(text: str | None = None) -> str:
+    """The text on what the results can't show: the examiner's, or this. It never comes from the evidence."""
+    return text if text is not None else f"Results are {DISCLAIMER}. Artifacts may be missing, altered or overwritten, and clocks may be wrong; an inferred end of a session is an assumption."
 
 
-def counts(findings: DataFrame, intake: DataFrame, after: DataFrame) -> DataFrame:
-    """(what, n): findings, digests at intake and digests taken afterwards, as a report's head states them."""
-    n = lambda rows, what: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
-    return n(findings, "findings").unionByName(n(intake, "intake_digests")).unionByName(n(after, "post_digests"))
+def report_frame(spark: SparkSession, manifest: DataFrame, text: str, counts: dict[str, int] | None = None) -> DataFrame:
+    """(section, html): the limitations, what was counted, and the custody record as a row for each entry of the manifest."""
+    said = spark.createDataFrame([(text,)], "text string").select(F.lit("limitations").alias("section"), careful(F.concat(F.lit("<section><h2>Limitations</h2><p>"), escaped(F.col("text")), F.lit("</p></section>"))).alias("html"))
+    cell = lambda *texts: F.concat(F.lit("<tr>"), *[x for t in texts for x in (F.lit("<td>"), escaped(t), F.lit("</td>"))], F.lit("</tr>"))
+    numbers = spark.createDataFrame(sorted((k, str(v)) for k, v in (counts or {}).items()), "what string, n string")
+    counted = numbers.select(F.lit("counts").alias("section"), cell(F.col("what"), F.col("n")).alias("html"))
+    return said.unionByName(counted).unionByName(manifest.select(F.lit("custody").alias("section"), cell(F.col("kind"), F.col("name"), F.col("value")).alias("html")))
 
 
-def report_frame(spark: SparkSession, manifest: DataFrame, text: str) -> DataFrame:
-    """(section, html): the limitations, and the custody record as a row for each entry of the manifest."""
-    said = spark.createDataFrame([(text,)], "text string").select(F.lit("limitations").alias("section"), careful(F.concat(F.lit("<section><h2>Limitations</h2><p>"), escaped(F.col("text")), F.lit("</p></section>"))).alias("html"))
-    row = F.concat(F.lit("<tr><td>"), escaped(F.col("kind")), F.lit("</td><td>"), escaped(F.col("name")), F.lit("</td><td>"), escaped(F.col("value")), F.lit("</td></tr>"))
-    return said.unionByName(manifest.select(F.lit("custody").alias("section"), row.alias("html")))
+# The tool's name and version, and the version of the manifest's form.
+TOOL, TOOL_VERSION, SCHEMA_VERSION = "tracewell", "0.3.0", "1.0"
 
 
-def manifest(case_id: str, examiner: str, artifacts: DataFrame, parsers: DataFrame, settings: dict[str, str] | None = None, started: datetime | None = None, ended: datetime | None = None, after: DataFrame | None = None) -> DataFrame:
-    """Custody rows: (kind, name, value) for the case, its times and settings, each artifact's digest at intake and afterwards, and each parser."""
+def manifest(
+    case_id: str, examiner: str, artifacts: DataFrame, parsers: DataFrame, settings: dict[str, str] | None = None, started: datetime | None = None, ended: datetime | None = None,
+    after: DataFrame | None = None, verdict: str = "pending",
+) -> DataFrame:
+    """Custody rows: (kind, name, value) for the case, its times, settings and verdict, each artifact's digest at intake and afterwards, and each parser.
+
+    Times must say their zone.
+    """
+    if any(at is not None and at.tzinfo is None for at in (started, ended)):
+        raise ReportError("times of a manifest must say their zone")
     spark = artifacts.sparkSession
-    head = [("case", "case_id", case_id), ("case", "examiner", examiner), ("case", "schema_version", "1.0")]
+    head = [("case", "case_id", case_id), ("case", "examiner", examiner), ("case", "schema_version", SCHEMA_VERSION), ("case", "tool_name", TOOL), ("case", "tool_version", TOOL_VERSION), ("case", "integrity_verdict", verdict)]
     head += [("case", name, at.isoformat()) for name, at in (("started_utc", started), ("ended_utc", ended)) if at]
     head += [("setting", name, value) for name, value in sorted((settings or {}).items())]
     digests = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), F.col("rel_path").alias("name"), F.col("sha256").alias("value"))
@@ -145,9 +154,44 @@ def verified(manifest: DataFrame, now: DataFrame) -> DataFrame:
     return kept.agg(F.when(F.count(F.lit(1)) == 0, empty).otherwise(F.bool_and(F.col("value").eqNullSafe(F.col("now")))).alias("verified"))
 
 
+FINDINGS_CSV, TIMELINE_CSV, FINDINGS_JSON, REPORT_HTML, FRAME = "findings_csv", "timeline_csv", "findings_json", "report_html", "report_frame"
+REPORTS = (FINDINGS_CSV, TIMELINE_CSV, FINDINGS_JSON, REPORT_HTML)
+
+
+def lines(findings: DataFrame, fired: DataFrame, inside: DataFrame, devices: DataFrame) -> list[DataFrame]:
+    """The reports on sessions as (report, key, line), in the order that each has."""
+    col, number, time = F.col, publishing.whole_number, publishing.moment
+    rows = findings_rows(findings, fired, devices)
+    o = lambda name: F.col(f"order.{name}")
+    place = [o("case_id"), time(o("start_utc")), o("device_id"), o("session_id"), number(o("ordinal")), o("last").cast("string"), number(o("file_ord")), number(o("rule_idx"))]
+    documents = finding_documents(findings, fired, devices, inside)
+    kinds = F.create_map(*[F.lit(x) for pair in (("finding", "0"), ("event", "1"), ("contribution", "2")) for x in pair])
+    timeline = timeline_rows(inside)
+    fragments = html_fragments(findings, devices, fired)
+    return [
+        publishing.csv(FINDINGS_CSV, rows, [c for c in rows.columns if c != "order"], CSV, *place),
+        publishing.csv(TIMELINE_CSV, timeline, timeline.columns, CSV, col("timestamp_utc"), col("session_id"), col("source_artifact")),
+        publishing.report(FINDINGS_JSON, documents, col("document"), col("session_id"), kinds[col("kind")]),
+        publishing.report(REPORT_HTML, fragments, col("html"), col("session_id")),
+    ]
+
+
+def record_lines(manifest: DataFrame, frame: DataFrame) -> list[DataFrame]:
+    """The manifest, paths by their components, and the report's frame as (report, key, line)."""
+    rows = manifest.withColumn("document", F.to_json(F.struct("kind", "name", "value")))
+    parts = F.replace("name", F.lit("/"), F.lit("\x01"))
+    return [publishing.report(publishing.MANIFEST, rows, F.col("document"), F.col("kind"), parts), publishing.report(FRAME, frame, F.col("html"), F.when(F.col("section") == "limitations", F.lit("0")).when(F.col("section") == "counts", F.lit("1")).otherwise(F.lit("2")))]
+
+
 def write(findings: DataFrame, fired: DataFrame, inside: DataFrame, devices: DataFrame, folder: str) -> None:
-    """All reports of a case, each sorted and written by Spark."""
-    findings_rows(findings, fired, devices).orderBy("order").drop("order").write.mode("overwrite").options(**CSV).csv(f"{folder}/findings_csv")
-    timeline_rows(inside).orderBy("timestamp_utc", "session_id", "source_artifact").write.mode("overwrite").options(**CSV).csv(f"{folder}/timeline_csv")
-    finding_documents(findings, fired, devices, inside).orderBy("session_id", F.desc("kind"), "document").select("document").write.mode("overwrite").text(f"{folder}/findings_json")
-    html_fragments(findings, devices, fired).orderBy("session_id").select("html").write.mode("overwrite").text(f"{folder}/report_html")
+    """All reports on sessions, or none if a line of one claims too much."""
+    publishing.publish(lines(findings, fired, inside, devices), REPORTS, folder)
+
+
+def read_csv(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """A published CSV as a table of texts; its one header is told by its cells, since it is the first part's alone."""
+    rows = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).options(**CSV | {"header": "false"}).csv(folder)
+    header = F.lit(True)
+    for c in columns:
+        header = header & F.col(c).eqNullSafe(F.lit(c))
+    return rows.where(~header).select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])

@@ -1,23 +1,21 @@
-"""From a folder of evidence to findings: intake, dispatch to parsers, correlation, and a second look at every digest."""
+"""From a folder of evidence to published reports: intake, dispatch to parsers, correlation, a second look at every digest."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.errors import ArtifactError, IntegrityError
 from tracewell.operators import events as E
-from tracewell.operators import reports
+from tracewell.operators import publishing, reports
 from tracewell.plans.config import CaseConfig, SessionConfig, Thresholds, Weights
 from tracewell.plans.pipeline import CaseResult, correlate
 from tracewell.shared import written
 from tracewell.sources import event_xml, intake, registry, shortcuts
-
-#: Exports that stand for binary logs and hives: a record's XML, or a registry value as JSON, on each line.
-XML_EXPORT, VALUE_EXPORT = ".events.xml", ".values.jsonl"
-VALUES = "key_path string, key_last_write timestamp, value_ord int, value_name string, value_str string, value_int long, value_bytes binary"
+from tracewell.sources.exports import VALUE_EXPORT, XML_EXPORT
 
 
 @dataclass(frozen=True)
@@ -25,39 +23,69 @@ class Examined:
     artifacts: DataFrame
     case: CaseResult
     manifest: DataFrame
-    #: One row: verified, failed, or pending where there was no file.
+    #: One row: verified, or failed.
     verdict: DataFrame
+    #: What was counted in the passes that read and wrote it: artifacts, artifacts_after, events, and findings of written reports.
+    counts: dict[str, int] = field(default_factory=dict)
+
+
+def counted(df: DataFrame, name: str, label: str, counts: dict[str, int]) -> DataFrame:
+    """``df``, stored; its number of rows is observed as it is written, not by another scan."""
+    seen = Observation(name)
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    counts[name] = seen.get["n"]
+    return out
 
 
-def lines(found: DataFrame, suffix: str) -> DataFrame:
-    """(source_artifact, record_ord, line): the lines of exported files."""
-    text = F.decode("content", "UTF-8")
-    rows = intake.contents(found.where(F.lower("rel_path").endswith(suffix))).select("source_artifact", F.posexplode(F.split(text, "\\r?\\n")).alias("record_ord", "line"))
-    return rows.where(F.trim("line") != "")
+def parser_of(name: Column, kind: Column) -> Column:
+    """(parser_name, parser_version) of the parser that an artifact goes to; null for what no parser reads."""
+    one = lambda parser, version: F.struct(F.lit(parser).alias("parser_name"), F.lit(version).alias("parser_version"))
+    low = F.lower(name)
+    out = F.when(low.endswith(XML_EXPORT), one(event_xml.NAME, event_xml.VERSION)).when(low.endswith(VALUE_EXPORT), one(registry.NAME, registry.VERSION))
+    return out.when(kind == intake.SHORTCUT, one(*shortcuts.LNK)).when(kind == intake.JUMP_LIST, one(*shortcuts.JUMP))
 
 
-def dispatched(found: DataFrame, case_id: str) -> DataFrame:
+def parsers_of(found: DataFrame) -> DataFrame:
+    """(parser_name, parser_version) of all artifacts' parsers, whether they gave events or not."""
+    return found.select(parser_of(F.col("rel_path"), F.col("artifact_type")).alias("p")).where("p IS NOT NULL").select("p.*").distinct()
+
+
+def dispatched(found: DataFrame, root: str, case_id: str) -> DataFrame:
     """Events of all artifacts, each kind by its parser; what no parser reads is hashed and has no events."""
-    records = lines(found, XML_EXPORT).select("source_artifact", "record_ord", F.col("line").alias("xml"))
-    values = lines(found, VALUE_EXPORT).select("source_artifact", F.from_json("line", VALUES).alias("v")).select("source_artifact", "v.*")
+    spark = found.sparkSession
+    values = written(registry.read(spark, root), "registry-values")
     binary = intake.contents(found.where(F.col("artifact_type").isin(intake.SHORTCUT, intake.JUMP_LIST)))
-    return E.united(event_xml.events(records, case_id), registry.events(values, case_id), shortcuts.events(binary, case_id)).drop("stream")
+    return E.united(event_xml.read(spark, root, case_id), registry.events(values, case_id), shortcuts.events(binary, case_id)).drop("stream")
 
 
 def examine(
     spark: SparkSession, config: CaseConfig, session: SessionConfig | None = None, weights: Weights | None = None, thresholds: Thresholds | None = None,
-    hashes: DataFrame | None = None, write_reports: bool = True,
+    hashes: DataFrame | None = None, write_reports: bool = True, limitations: str | None = None, started: datetime | None = None, ended: datetime | None = None, strict: bool = True,
 ) -> Examined:
-    """Run a case from its evidence folder to its reports (none are written without ``write_reports``)."""
-    started = datetime.now(timezone.utc)
-    found = written(intake.artifacts(spark, config.evidence_dir), "artifacts")
-    events = written(dispatched(found, config.case_id), "events")
+    """Run a case from its evidence folder to its reports (none are written without ``write_reports``).
+
+    Without any artifact there is nothing to examine: an error. All reports are published together, or none: a line that claims
+    too much ends the run, and so does evidence that has changed meanwhile, unless ``strict`` is off; then the manifest says that
+    verification failed. ``started`` and ``ended`` fix the times of the manifest, ``limitations`` is the examiner's text on what
+    results can't show. With fixed times two runs write the same bytes.
+    """
+    began, counts = started or datetime.now(timezone.utc), {}
+    found = counted(intake.artifacts(spark, config.evidence_dir), "artifacts", "artifacts", counts)
+    if not counts["artifacts"]:
+        raise ArtifactError(f"no evidence below {config.evidence_dir}")
+    events = counted(dispatched(found, config.evidence_dir, config.case_id), "events", "events", counts)
     case = correlate(events, session, weights, thresholds, hashes)
-    after = written(intake.artifacts(spark, config.evidence_dir), "artifacts-after")
+    after = counted(intake.artifacts(spark, config.evidence_dir), "artifacts_after", "artifacts-after", counts)
+    verdict = written(intake.compared(found, after), "verdict")
+    said = verdict.first().verdict
+    if strict and said != "verified":
+        raise IntegrityError("the evidence has changed since intake; nothing was published")
     settings = {k: v for part in (config, session or SessionConfig(), weights or Weights(), thresholds or Thresholds()) for k, v in part.snapshot().items()}
-    record = reports.manifest(config.case_id, config.examiner, found, events, settings, started, datetime.now(timezone.utc), after)
+    record = reports.manifest(config.case_id, config.examiner, found, parsers_of(found), settings, began, ended or datetime.now(timezone.utc), after, said)
     if write_reports:
-        case.write_reports(config.output_dir)
-        reports.manifest_documents(record).orderBy("document").write.mode("overwrite").text(f"{config.output_dir}/case_manifest")
-        reports.report_frame(spark, record, reports.limitations(f"{config.evidence_dir}/limitations.md")).write.mode("overwrite").parquet(f"{config.output_dir}/report_frame")
-    return Examined(found, case, record, intake.compared(found, after))
+        case = case.stored()
+        findings = counted(case.findings, "findings", "findings", counts)
+        lines = reports.lines(findings, case.contributions, case.files, case.devices)
+        frame = reports.report_frame(spark, record, reports.limitations(limitations), counts)
+        publishing.publish([*lines, *reports.record_lines(record, frame)], (*reports.REPORTS, reports.FRAME, publishing.MANIFEST), config.output_dir)
+    return Examined(found, case, record, verdict, counts)

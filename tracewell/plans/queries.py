@@ -6,6 +6,7 @@ error a removal of the user's device, everything else a file access. Users are d
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import timestamps, windows
 from tracewell.operators import events as E
-from tracewell.operators import reports, scoring, sessions
+from tracewell.operators import identity, reports, scoring, sessions
 from tracewell.plans.config import Weights
 from tracewell.plans.pipeline import CaseResult, correlate
+from tracewell.shared import shared_dir
 from tracewell.sources import event_xml, intake, registry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,7 +130,7 @@ def event_type_counts(spark, sf):
 
 @query(EV + " SELECT case_id, ingest_ord, row_number() OVER (PARTITION BY case_id ORDER BY timestamp_utc, event_type, source_artifact, coalesce(file_path, ''), coalesce(device_id, ''), ingest_ord) AS position FROM ev")
 def timeline_order(spark, sf):
-    return E.positions(evidence(spark, sf)).select("case_id", "ingest_ord", "position")
+    return E.positions(evidence(spark, sf), keep=()).select("case_id", "ingest_ord", "position")
 
 
 @query(LC + " SELECT case_id, device_id, ordinal, ins AS is_insert, nt = 'usb_insert' AS next_insert, nts AS next_time, pt = 'usb_insert' AS previous_insert FROM lc")
@@ -248,6 +250,15 @@ def findings_csv_rows(spark, sf):
     return reports.findings_rows(c.findings, c.contributions, c.devices).drop("order")
 
 
+@query(FOUND["findings_csv_rows"][1])
+def published_findings_csv(spark, sf):
+    """All reports of all cases, published together; the findings' table is what the CSV says when it is read again."""
+    c = case(spark, sf).stored()
+    folder = f"{shared_dir(spark)}/case-{uuid.uuid4().hex}"
+    reports.write(c.findings, c.contributions, c.files, c.devices, folder)
+    return reports.read_csv(spark, f"{folder}/{reports.FINDINGS_CSV}", [name for name in reports.findings_rows(c.findings, c.contributions, c.devices).columns if name != "order"])
+
+
 @query(f"{SF} SELECT session_id, {ISO.format('timestamp_utc')} AS timestamp_utc, event_type, file_path, CAST(file_size_bytes AS VARCHAR) AS file_size_bytes, source_artifact, parser_name, parser_version FROM sf")
 def timeline_csv_rows(spark, sf):
     return reports.timeline_rows(case(spark, sf).files)
@@ -269,9 +280,8 @@ def parser_union(spark, sf):
 XML_ROWS = EV + " SELECT ingest_ord, event_type, " + ISO.format("timestamp_utc") + " AS iso, device_id, file_path, CAST(ingest_ord AS VARCHAR) AS record_id FROM ev WHERE k % 11 <> 0 AND NOT (event_type = 'file_access' AND k % 5 = 0)"
 
 
-@query(XML_ROWS)
-def event_xml_rows(spark, sf):
-    """Every row of ``events`` as the XML of a log record, read back: every eleventh k is another provider's, every fifth file a key."""
+def event_records(spark, sf) -> DataFrame:
+    """(source_artifact, record_ord, xml): each row of ``events`` as a log record; every eleventh k is another provider's, every fifth file a key."""
     e = evidence(spark, sf)
     data = lambda name, value: F.concat(F.lit(f'<Data Name="{name}">'), value, F.lit("</Data>"))
     insert, remove = F.col("event_type") == E.INSERT, F.col("event_type") == E.REMOVE
@@ -284,10 +294,25 @@ def event_xml_rows(spark, sf):
         F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="'), provider, F.lit('"/><EventID>'), number, F.lit('</EventID><TimeCreated SystemTime="'), F.col("raw_timestamp"), F.lit('0Z"/><EventRecordID>'),
         F.col("ingest_ord").cast("string"), F.lit("</EventRecordID></System>"), body, F.lit("</Event>"),
     )
-    read = event_xml.events(e.select("source_artifact", F.col("ingest_ord").alias("record_ord"), xml.alias("xml")))
+    return e.select("source_artifact", F.col("ingest_ord").alias("record_ord"), xml.alias("xml"))
+
+
+@query(XML_ROWS)
+def event_xml_rows(spark, sf):
+    """Every row of ``events`` as the XML of a log record, read back."""
+    read = event_xml.events(event_records(spark, sf))
     return read.select("ingest_ord", "event_type", timestamps.isoformat(F.col("timestamp_utc")).alias("iso"), "device_id", "file_path", F.get_json_object("details", "$.record_id").alias("record_id"))
 
 
+@query(XML_ROWS.replace("SELECT ingest_ord, event_type", "SELECT event_type"))
+def event_export_rows(spark, sf):
+    """The same records as files of exports, read in ranges of 256 KB; what is of no use is left out by its provider and id as it is read."""
+    folder = f"{shared_dir(spark)}/event-exports-{uuid.uuid4().hex}"
+    event_records(spark, sf).select("xml").write.text(folder)
+    read = event_xml.read(spark, folder, suffix=".txt", partBytes=256 << 10)
+    return read.select("event_type", timestamps.isoformat(F.col("timestamp_utc")).alias("iso"), "device_id", "file_path", F.get_json_object("details", "$.record_id").alias("record_id"))
+
+
 @query(EV + " SELECT 'SYSTEM-' || case_id AS source_artifact, 'usb_drive_letter_assigned' AS event_type, 'USBSTOR\\Disk&Ven_V\\S' || serial_number AS device_id, " + ISO.format("timestamp_utc") + " AS iso, chr(CAST(65 + k % 26 AS INTEGER)) || ':' AS drive_letter FROM ev WHERE device_id IS NOT NULL AND k % 3 <> 0")
 def registry_mount_rows(spark, sf):
     """Every device event of ``events`` as a value of its case's hive, read back; every third names no storage device."""
@@ -303,6 +328,102 @@ def registry_mount_rows(spark, sf):
     return read.select("source_artifact", "event_type", "device_id", timestamps.isoformat(F.col("timestamp_utc")).alias("iso"), F.get_json_object("details", "$.drive_letter").alias("drive_letter"))
 
 
+HIVE_ROWS = (
+    EV + r""", u AS (SELECT *, CAST(serial_number AS BIGINT) AS n FROM ev),
+d AS (SELECT *, 'USBSTOR\Disk&Ven_V' || (n % 5) || '&Prod_P_' || (n % 7) || '&Rev_1\S' || n AS instance FROM u WHERE device_id IS NOT NULL),
+r AS (SELECT 'SYSTEM-' || case_id AS source_artifact, event_type, instance AS device_id, 'S' || n AS serial_number, 'V' || (n % 5) AS vendor, 'P ' || (n % 7) AS product, 'F' || n AS friendly_name, arg_min(timestamp_utc, ingest_ord) AS seen_at, NULL AS volume_guid FROM d WHERE n % 11 <> 0 GROUP BY case_id, event_type, instance, n
+UNION ALL SELECT 'SYSTEM-' || case_id, 'usb_device_registered', instance, 'S' || n, 'V' || (n % 5), 'P ' || (n % 7), 'F' || n, max(timestamp_utc), NULL FROM d WHERE n % 11 = 0 GROUP BY case_id, instance, n
+UNION ALL SELECT 'SOFTWARE-' || case_id, 'usb_device_registered', 'USBSTOR\Disk&Ven_V\S' || n, 'S' || n, '', '', 'Drive ' || n, max(timestamp_utc), NULL FROM d GROUP BY case_id, n
+UNION ALL SELECT 'NTUSER-' || case_id, 'usb_user_mount', NULL, '', '', '', '', max(timestamp_utc), CASE WHEN k % 2 = 0 THEN '{V' || (k % 20) || '}' END FROM u WHERE device_id IS NULL GROUP BY case_id, CASE WHEN k % 2 = 0 THEN k % 20 ELSE 100 + k % 26 END, CASE WHEN k % 2 = 0 THEN '{V' || (k % 20) || '}' END)
+SELECT source_artifact, event_type, device_id, serial_number, vendor, product, friendly_name, """
+    + ISO.format("seen_at")
+    + " AS iso, volume_guid FROM r"
+)
+
+
+def hive_values(spark, sf) -> DataFrame:
+    """Each row of ``events`` as values of its case's hives: device events of two, file events of the user's."""
+    e = evidence(spark, sf).withColumn("n", F.col("serial_number").cast("long"))
+    number = F.col("n").cast("string")
+    none = {"key_last_write": F.lit(None).cast("timestamp"), "value_ord": F.lit(0), "value_name": F.lit(None).cast("string"), "value_str": F.lit(None).cast("string"), "value_int": F.lit(None).cast("long"), "value_bytes": F.lit(None).cast("binary")}
+    row = lambda rows, hive, key, **more: rows.select(F.concat(F.lit(f"{hive}-"), "case_id").alias("source_artifact"), key.alias("key_path"), *[v.alias(c) for c, v in (none | more).items()])
+    devices, files, at = e.where("device_id IS NOT NULL"), e.where("device_id IS NULL"), F.col("timestamp_utc").cast("timestamp")
+    instance = F.concat(F.lit("ControlSet001\\Enum\\USBSTOR\\Disk&Ven_V"), (F.col("n") % 5).cast("string"), F.lit("&Prod_P_"), (F.col("n") % 7).cast("string"), F.lit("&Rev_1\\S"), number)
+    digits = F.lpad(F.hex(F.unix_micros(at) * 10 + F.lit(timestamps.EPOCH_GAP * 10)), 16, "0")
+    little = F.unhex(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]))
+    prop = F.concat(instance, F.lit(f"\\Properties\\{registry.PROPERTIES}\\"), F.when(F.col("event_type") == E.INSERT, F.lit("0066")).otherwise(F.lit("0067")))
+    entry = F.when(F.col("file_size_bytes") % 2 == 0, F.concat(F.lit("{V"), (F.col("file_size_bytes") % 20).cast("string"), F.lit("}"))).otherwise(F.chr(F.col("file_size_bytes") % 26 + 65))
+    parts = [
+        row(e, "SYSTEM", F.lit("Select"), value_name=F.lit("Current"), value_int=F.lit(1).cast("long")).distinct(),
+        row(devices, "SYSTEM", instance, key_last_write=at, value_name=F.lit("FriendlyName"), value_str=F.concat(F.lit("F"), number)),
+        row(devices.where("n % 11 <> 0"), "SYSTEM", prop, value_name=F.lit(""), value_ord=F.col("ingest_ord").cast("int"), value_bytes=little),
+        row(devices, "SOFTWARE", F.concat(F.lit(registry.PORTABLE + "\\SWD#USBSTOR#Disk&Ven_V#S"), number, F.lit("#{g}")), key_last_write=at, value_name=F.lit("FriendlyName"), value_str=F.concat(F.lit("Drive "), number)),
+        row(files, "NTUSER", F.concat(F.lit(registry.MOUNTPOINTS + "\\"), entry), key_last_write=at),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _hive_rows(found: DataFrame) -> DataFrame:
+    return found.select("source_artifact", "event_type", "device_id", "serial_number", "vendor", "product", "friendly_name", timestamps.isoformat(F.col("timestamp_utc")).alias("iso"), F.get_json_object("details", "$.volume_guid").alias("volume_guid"))
+
+
+@query(HIVE_ROWS)
+def registry_hive_rows(spark, sf):
+    return _hive_rows(registry.events(hive_values(spark, sf)))
+
+
+@query(HIVE_ROWS)
+def registry_export_rows(spark, sf):
+    """The same values as a file of exports for each hive, read in ranges of 256 KB."""
+    folder = f"{shared_dir(spark)}/value-exports-{uuid.uuid4().hex}"
+    v = hive_values(spark, sf)
+    v.select(F.col("source_artifact").alias("hive"), F.to_json(F.struct(*[c for c in v.columns if c != "source_artifact"])).alias("value")).repartition("hive").write.partitionBy("hive").text(folder)
+    read = registry.read(spark, folder, suffix=".txt", partBytes=256 << 10)
+    return _hive_rows(registry.events(read.withColumn("source_artifact", F.regexp_extract("source_artifact", "hive=([^/]+)/", 1))))
+
+
+IDENTITY = EV + r""", u AS (SELECT *, CAST(serial_number AS BIGINT) AS n FROM ev),
+m AS (SELECT case_id, ingest_ord, list_filter(CASE WHEN event_type = 'usb_insert' THEN ['device:USB\VID_1\S' || n, 'serial:S' || n] WHEN event_type = 'usb_remove' THEN ['device:USBSTOR\Disk\S' || n || '&0', 'serial:S' || n, 'volume:{v' || (n // 50 % 2) || '}', 'letter:' || chr(CAST(65 + n // 50 % 20 AS INTEGER)) || ':']
+  WHEN k % 2 = 0 THEN ['volume:{v' || (n // 50 % 3) || '}'] ELSE ['letter:' || chr(CAST(65 + k % 26 AS INTEGER)) || ':'] END, lambda x: x IS NOT NULL) AS names FROM u),
+l AS (SELECT DISTINCT case_id, names FROM m),
+e AS (SELECT DISTINCT case_id, names[1] AS a, unnest(names) AS b FROM l),
+b AS (SELECT case_id, a, b FROM e UNION SELECT case_id, b, a FROM e),
+r AS (SELECT DISTINCT case_id, a AS node, a AS other FROM b UNION SELECT r.case_id, r.node, b.b FROM r JOIN b ON r.case_id = b.case_id AND r.other = b.a),
+i AS (SELECT case_id, node, min(substr(other, 8)) FILTER (other LIKE 'device:%') AS identity FROM r GROUP BY ALL)
+SELECT m.ingest_ord, i.identity FROM m LEFT JOIN i ON m.case_id = i.case_id AND m.names[1] = i.node"""
+
+
+@query(IDENTITY.replace("WITH raw", "WITH RECURSIVE raw", 1))
+def device_identity(spark, sf):
+    """Each row of ``events`` names devices as logs, hives, mount points or paths do; its identity is the least instance id in reach."""
+    n, k = F.col("serial_number").cast("long"), F.col("file_size_bytes")
+    e = evidence(spark, sf)
+    insert, remove, mount = F.col("event_type") == E.INSERT, F.col("event_type") == E.REMOVE, (F.col("event_type") == E.ACCESS) & (k % 2 == 0)
+    guid = lambda of: F.concat(F.lit("{V"), F.expr(f"cast(serial_number AS long) div 50 % {of}").cast("string"), F.lit("}"))
+    details = F.when(remove, F.to_json(F.struct(guid(2).alias("volume_guid"), F.concat(F.chr(F.expr("cast(serial_number AS long) div 50 % 20") + 65), F.lit(":")).alias("drive_letter")))).when(mount, F.to_json(F.struct(guid(3).alias("mount_point_entry"), guid(3).alias("volume_guid"))))
+    named = e.select(
+        "case_id", "ingest_ord", F.when(mount, F.lit(registry.MOUNT)).when(remove, F.lit(registry.LETTER)).otherwise(F.col("event_type")).alias("event_type"),
+        F.when(insert, F.concat(F.lit("USB\\VID_1\\S"), n.cast("string"))).when(remove, F.concat(F.lit("USBSTOR\\Disk\\S"), n.cast("string"), F.lit("&0"))).alias("device_id"),
+        F.concat(F.chr(k % 26 + 65), F.lit(":\\f")).alias("file_path"), F.coalesce(details, F.lit("{}")).alias("details"),
+    )
+    return identity.with_identity(named).select("ingest_ord", "identity")
+
+
+@query(
+    EV + r""" SELECT ingest_ord, '{"details":{"flag":' || (k % 2 = 0) || ',"half":' || k || '.5,"k":' || k || ',"list":[' || k || ',"x",null],"nested":{"a":{},"b":"' || k || '"}},"event_type":"file_access","file_path":"' || replace(file_path, '\', '\\') || '","file_size_bytes":' || k ||
+ ',"parser_name":"table","parser_version":"1","raw_timestamp":"' || raw_timestamp || '","session_id":"s","source_artifact":"' || source_artifact || '","timestamp_utc":"' || """ + ISO.format("timestamp_utc") + """ || '"}' AS document FROM ev WHERE event_type = 'file_access'"""
+)
+def typed_event_documents(spark, sf):
+    """Details of all types, keys in no order, pass into the report's documents as they are."""
+    k = F.col("file_size_bytes").cast("string")
+    details = F.concat(F.lit('{"list":['), k, F.lit(',"x",null],"k":'), k, F.lit(',"nested":{"b":"'), k, F.lit('","a":{}},"half":'), k, F.lit('.5,"flag":'), (F.col("file_size_bytes") % 2 == 0).cast("string"), F.lit("}"))
+    files = evidence(spark, sf).where(F.col("event_type") == E.ACCESS).withColumn("details", details).withColumn("session_id", F.lit("s"))
+    return files.select("ingest_ord", reports.event_document().alias("document"))
+
+
 def _sql(value: object) -> str:
     if value is None:
         return "NULL"
@@ -400,9 +521,12 @@ def sha256_digest(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
 
 
-@query("SELECT 'failed' AS changed, 'verified' AS same")
+@query("SELECT CASE WHEN count(*) = 0 THEN 'pending' WHEN bool_or(page_id % 97 = 3) THEN 'failed' ELSE 'verified' END AS changed, CASE WHEN count(*) = 0 THEN 'pending' WHEN bool_and(sha256(html) = sha256(html || '')) THEN 'verified' ELSE 'failed' END AS same FROM pages")
 def digest_verify(spark, sf):
-    first = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").cast("string").alias("rel_path"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
-    changed = first.withColumn("sha256", F.when(F.col("rel_path") == "0", F.lit("x")).otherwise(F.col("sha256")))
+    """Digests of all pages against themselves, and against digests of pages of which some have changed."""
+    digest = F.sha2(F.col("html").cast("binary"), 256)
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    first = pages.select(F.col("page_id").cast("string").alias("rel_path"), digest.alias("sha256"))
+    changed = pages.withColumn("html", F.when(F.col("page_id") % 97 == 3, F.concat("html", F.lit("!"))).otherwise(F.col("html"))).select(F.col("page_id").cast("string").alias("rel_path"), digest.alias("sha256"))
     both = intake.compared(first, changed).withColumn("which", F.lit("changed")).unionByName(intake.compared(first, first).withColumn("which", F.lit("same")))
     return both.groupBy().pivot("which", ["changed", "same"]).agg(F.first("verdict"))

@@ -1,14 +1,36 @@
-"""Tables in the folder that the driver and all executors see, and running numbers over groups of any size."""
+"""Tables in the folder that the driver and all executors see, running numbers over groups of any size, code in workers, stores."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+PACKAGE_ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package when it runs from a checkout; on a cluster that has the package this is harmless."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGE_ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
+
+
+def store_of(path: str):
+    """The file store of a path (local, or any that a URI names), and the path there."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where that is unset, a new local folder in local mode (tests), and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

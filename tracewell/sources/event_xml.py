@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions.timestamps import iso8601
+from tracewell.sources.exports import EventExports, exported
+
 NAME, VERSION = "evtx_parser", "1.0.0"
 # Providers, event ids and what they say.
 DFU, PNP, SECURITY = "Microsoft-Windows-DriverFrameworks-UserMode", "Microsoft-Windows-Kernel-PnP", "Microsoft-Windows-Security-Auditing"
@@ -49,8 +52,17 @@ def events(records: DataFrame, case_id: str = "") -> DataFrame:
     device = F.coalesce(*[_data(n) for n in DEVICE_FIELDS], _text(f"(/Event/UserData//*[{in_user}])[1]"))
     details = F.to_json(F.struct("provider", "event_id", "record_id", "channel", *[F.when(is_file, _data(n)).alias(n) for n in FILE_FIELDS]))
     none = F.lit("")
+    # a time without an offset could be of any zone
+    at = F.coalesce(iso8601(F.col("raw")), F.raise_error(F.concat(F.lit("event record whose time is no ISO 8601 time with an offset: "), "source_artifact")).cast("timestamp"))
     return rows.where(once).select(
-        F.lit(case_id).alias("case_id"), "event_type", F.col("raw").try_cast("timestamp").alias("timestamp_utc"), F.col("raw").alias("raw_timestamp"), "source_artifact", F.lit(NAME).alias("parser_name"), F.lit(VERSION).alias("parser_version"),
+        F.lit(case_id).alias("case_id"), "event_type", at.alias("timestamp_utc"), F.col("raw").alias("raw_timestamp"), "source_artifact", F.lit(NAME).alias("parser_name"), F.lit(VERSION).alias("parser_version"),
         F.when(~is_file, _required(device, "a device")).alias("device_id"), none.alias("serial_number"), none.alias("vendor"), none.alias("product"), none.alias("friendly_name"),
         F.when(is_file, _required(_data("ObjectName"), "an object name")).alias("file_path"), F.lit(None).cast("long").alias("file_size_bytes"), details.alias("details"), F.col("record_ord").cast("long").alias("ingest_ord"),
     )
+
+
+def read(spark: SparkSession, root: str, case_id: str = "", **options: object) -> DataFrame:
+    """Events of all exported logs below ``root``; records of other providers and ids are left out where they are read."""
+    records = exported(spark, EventExports, root, **options)
+    known = F.col("provider").isin(*sorted({p for p, _, _ in KINDS})) & F.col("event_id").isin(*sorted({e for _, e, _ in KINDS}))
+    return events(records.where(known).select("source_artifact", "record_ord", F.col("record").alias("xml")), case_id)

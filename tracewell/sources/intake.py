@@ -7,49 +7,73 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.errors import ArtifactError, IntegrityError
+from tracewell.shared import ship, store_of, written
 
 REGISTRY, EVENT_LOG, SHORTCUT, JUMP_LIST, UNKNOWN = "registry_hive", "evtx_log", "lnk_shortcut", "jump_list", "unknown"
 #: First bytes of each format, as hexadecimal digits, in the order in which they are tried.
 MAGIC = ((REGISTRY, "72656766"), (EVENT_LOG, "456C6646696C6500"), (SHORTCUT, "4C000000"))
 SUFFIXES = ((EVENT_LOG, ".evtx"), (SHORTCUT, ".lnk"), (JUMP_LIST, ".automaticdestinations-ms"), (JUMP_LIST, ".customdestinations-ms"))
 CHUNK = 65_536
+#: Names of a folder that one batch of a listing holds.
+LISTED = 10_000
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What lies in folders: path, size, and whether it is a folder. Links to folders are not followed."""
     for batch in batches:
-        for root, start in zip(batch["root"], batch["start"], strict=True):
-            found = [start] if os.path.isfile(start) else (os.path.join(folder, name) for folder, _, names in os.walk(start) for name in names)
-            rows = [(path, os.path.relpath(path, root).replace(os.sep, "/"), os.path.getsize(path)) for path in found if os.path.isfile(path)]
-            yield pd.DataFrame(rows, columns=["path", "rel_path", "size_bytes"])
+        for folder in batch["folder"]:
+            store, path = store_of(folder)
+            if isinstance(store, fs.LocalFileSystem):
+                with os.scandir(path) as entries:
+                    rows = [(e.path, 0 if e.is_dir(follow_symlinks=False) else e.stat().st_size, e.is_dir(follow_symlinks=False)) for e in entries if e.is_dir(follow_symlinks=False) or e.is_file()]
+            else:
+                prefix = folder[: len(folder) - len(path)]
+                rows = [(prefix + e.path, e.size or 0, e.type == fs.FileType.Directory) for e in store.get_file_info(fs.FileSelector(path))]
+            for at in range(0, len(rows), LISTED):
+                yield pd.DataFrame(rows[at : at + LISTED], columns=["path", "size_bytes", "is_folder"])
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """path, rel_path and size of every regular file below ``root``, hidden and empty ones too.
 
     Spark's file sources skip names that begin with a dot or an underscore, and empty files; evidence may not be skipped.
-    The driver looks at the first level only; each folder there is walked in a task. ``root`` is a folder that executors see
-    under the same path.
+    Folders are looked into level by level, those of each level dealt anew to all tasks, so neither a deep nor a wide part of
+    the tree is one task's. ``root`` is a folder that executors see under the same path, or a URI of a store.
     """
-    if not os.path.isdir(root):
+    store, path = store_of(root)
+    if store.get_file_info(path).type != fs.FileType.Directory:
         raise NotADirectoryError(root)
-    top = os.path.abspath(root)
-    starts = spark.createDataFrame([(top, os.path.join(top, name)) for name in sorted(os.listdir(top))], "root string, start string")
-    return starts.repartition("start").mapInPandas(_walk, "path string, rel_path string, size_bytes long")
+    ship(spark)
+    top = (root[: root.index("://") + 3] + root.split("://", 1)[1].rstrip("/")) if "://" in root else path
+    level, found = spark.createDataFrame([(top,)], "folder string"), []
+    while True:
+        step = written(level.repartition("folder").mapInPandas(_entries, "path string, size_bytes long, is_folder boolean"), "listing")
+        found.append(step.where("NOT is_folder"))
+        level = step.where("is_folder").select(F.col("path").alias("folder"))
+        if level.isEmpty():
+            break
+    files = found[0]
+    for more in found[1:]:
+        files = files.unionByName(more)
+    return files.select("path", F.substr("path", F.lit(len(top) + 2)).alias("rel_path"), "size_bytes")
 
 
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, name in zip(batch["path"], batch["source_artifact"], strict=True):
-            with open(path, "rb") as f:
+            store, own = store_of(path)
+            with store.open_input_file(own) as f:
                 yield pd.DataFrame({"source_artifact": [name], "content": [f.read()]})
 
 
 def contents(found: DataFrame) -> DataFrame:
     """(source_artifact, content) of artifacts, read in tasks, one file at a time."""
+    ship(found.sparkSession)
     return found.select("path", F.col("rel_path").alias("source_artifact")).mapInPandas(_contents, "source_artifact string, content binary")
 
 
@@ -58,8 +82,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heads, digests = [], []
         for path in batch["path"]:
             digest, head = hashlib.sha256(), b""
+            store, own = store_of(path)
             try:
-                with open(path, "rb") as f:
+                with store.open_input_file(own) as f:
                     while chunk := f.read(CHUNK):
                         head = head or chunk[:8]
                         digest.update(chunk)

@@ -2,14 +2,19 @@
 
 A row: source_artifact, key_path, key_last_write, value_ord, value_name, value_str, value_int, value_bytes;
 a key without values has one row with null value columns.
+
+Each value is told once which entry of the registry it belongs to: a device instance, whatever depth of its tree the value is
+at, a portable device, a mount point, or a drive letter. One grouping by entry then gives all that is known of it, and events
+are made of the groups; hives are judged by one more, narrow grouping.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import timestamps, windows
+from tracewell.sources.exports import ValueExports, exported
 
 NAME, VERSION = "registry_parser", "1.0.0"
 # Places in the registry, and the device properties that hold times.
@@ -18,84 +23,97 @@ TIMES = {"0064": "usb_device_first_install", "0066": "usb_insert", "0067": "usb_
 REGISTERED, LETTER, MOUNT = "usb_device_registered", "usb_drive_letter_assigned", "usb_user_mount"
 PORTABLE = r"Microsoft\Windows Portable Devices\Devices"
 MOUNTPOINTS = r"Software\Microsoft\Windows\CurrentVersion\Explorer\MountPoints2"
+SELECT, LETTERS, STORAGE = "Select", "MountedDevices", r"\Enum\USBSTOR"
+VALUES = "key_path string, key_last_write timestamp, value_ord int, value_name string, value_str string, value_int long, value_bytes binary"
 
 
-def _event(rows: DataFrame, kind: Column, at: Column, raw: Column, details: Column, case_id: str) -> DataFrame:
-    blank = lambda c: F.col(c) if c in rows.columns else F.lit("")
-    device = F.col("device_id") if "device_id" in rows.columns else F.lit(None).cast("string")
-    return rows.select(
-        F.lit(case_id).alias("case_id"), kind.alias("event_type"), at.alias("timestamp_utc"), raw.alias("raw_timestamp"), "source_artifact", F.lit(NAME).alias("parser_name"), F.lit(VERSION).alias("parser_version"),
-        device.alias("device_id"), *[blank(c).alias(c) for c in ("serial_number", "vendor", "product", "friendly_name")],
-        F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("long").alias("file_size_bytes"), F.to_json(details).alias("details"), F.xxhash64("source_artifact", "key_path", kind).alias("ingest_ord"),
-    )
-
-
-def control_sets(values: DataFrame) -> DataFrame:
-    """(source_artifact, control_set) of hives that name a current one; no positive number is an error."""
-    number = F.col("value_int")
-    name = F.when(number > 0, F.format_string("ControlSet%03d", number)).otherwise(F.raise_error(F.concat(F.lit("no control set in "), "source_artifact")).cast("string"))
-    return values.where(r"key_path = 'Select' AND value_name = 'Current'").select("source_artifact", name.alias("control_set"))
+def read(spark: SparkSession, root: str, **options: object) -> DataFrame:
+    """The values of all exported hives below ``root``."""
+    records = exported(spark, ValueExports, root, **options)
+    return records.select("source_artifact", F.from_json("record", VALUES).alias("v")).select("source_artifact", "v.*")
 
 
-def usb_storage(values: DataFrame, case_id: str = "") -> DataFrame:
-    """Install, arrival and removal of each device instance below Enum\\USBSTOR; its registration, by the key's last write, if it has none."""
-    own = values.join(control_sets(values), "source_artifact").where(F.col("key_path").startswith(F.concat("control_set", F.lit("\\Enum\\USBSTOR\\"))))
-    parts = F.split("key_path", r"\\")
-    rows = own.withColumn("device_key", F.try_element_at(parts, F.lit(4))).withColumn("serial_number", F.try_element_at(parts, F.lit(5))).withColumn("depth", F.size(parts)).where("serial_number IS NOT NULL")
-    keys = ["source_artifact", "device_key", "serial_number"]
-    instance = rows.where("depth = 5").groupBy(*keys).agg(
-        F.min("key_path").alias("key_path"), F.max("key_last_write").alias("written"), F.max(F.when(F.col("value_name") == "FriendlyName", F.col("value_str"))).alias("friendly"), F.max(F.when(F.col("value_name") == "DeviceDesc", F.col("value_str"))).alias("device_desc"),
-    )
-    ticks = timestamps.filetime_bytes(F.col("value_bytes"))
-    prop = rows.where((F.col("depth") == 8) & (F.try_element_at(parts, F.lit(6)) == "Properties") & (F.lower(F.try_element_at(parts, F.lit(7))) == PROPERTIES) & F.try_element_at(parts, F.lit(8)).isin(*TIMES))
-    times = prop.withColumn("property", F.try_element_at(parts, F.lit(8))).withColumn("ticks", F.coalesce(ticks, F.nullif(F.col("value_int").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")))).where("ticks IS NOT NULL")
-    times = times.groupBy(*keys, "property").agg(F.min_by("ticks", "value_ord").alias("ticks"))
-    named = instance.withColumn("k", windows.device_key(F.col("device_key"))).withColumn("device_id", F.concat_ws("\\", F.lit("USBSTOR"), "device_key", "serial_number"))
-    named = named.select(*keys, "key_path", "written", "device_id", F.col("k.vendor").alias("vendor"), F.col("k.product").alias("product"), F.coalesce("friendly", F.lit("")).alias("friendly_name"), F.col("k.device_class").alias("device_class"), F.col("k.revision").alias("revision"), "device_desc")
-    base = [F.col("key_path").alias("registry_key"), "device_class", "revision", windows.generated_serial(F.col("serial_number")).alias("windows_generated_serial"), F.nullif(F.col("device_desc"), F.lit("")).alias("device_desc")]
-    lifecycle = named.join(times, keys)
-    kind = F.element_at(F.create_map(*[F.lit(x) for p in TIMES.items() for x in p]), F.col("property"))
-    recent = F.when(kind != TIMES["0064"], F.lit(True)).alias("records_most_recent_only")
-    found = _event(lifecycle, kind, timestamps.filetime(F.col("ticks")), F.col("ticks").cast("string"), F.struct(*base, F.concat(F.lit(PROPERTIES + "\\"), "property").alias("device_property"), recent), case_id)
-    bare = named.join(times.select(*keys).distinct(), keys, "left_anti")
-    registered = _event(bare, F.lit(REGISTERED), F.col("written"), timestamps.isoformat(F.col("written")), F.struct(*base, F.lit(True).alias("timestamp_from_key_lastwrite")), case_id)
-    return found.unionByName(registered)
-
-
-def mounted_devices(values: DataFrame, case_id: str = "") -> DataFrame:
-    target = windows.mounted_target(F.col("value_bytes"))
-    rows = values.where("key_path = 'MountedDevices' AND value_bytes IS NOT NULL").withColumn("target", target).where(F.upper("target").contains("USBSTOR")).withColumn("device_id", windows.device_of_path(F.col("target"))).where("device_id IS NOT NULL")
-    guid = F.coalesce(F.nullif(windows.volume_guid(F.col("value_name")), F.lit("")), F.nullif(windows.volume_guid(F.col("target")), F.lit("")))
-    details = F.struct(F.col("key_path").alias("registry_key"), F.nullif(windows.drive_letter(F.col("value_name")), F.lit("")).alias("drive_letter"), guid.alias("volume_guid"), F.lit(True).alias("timestamp_from_key_lastwrite"))
-    return _event(rows.withColumn("serial_number", F.element_at(F.split("device_id", r"\\"), 3)), F.lit(LETTER), F.col("key_last_write"), timestamps.isoformat(F.col("key_last_write")), details, case_id)
-
+def hives(values: DataFrame) -> DataFrame:
+    """(source_artifact, control_set, fault): the current control set of hives that have one, and what is wrong with a hive."""
+    key = F.col("key_path")
+    machine = (key == SELECT) | key.startswith(SELECT + "\\") | (key == LETTERS) | key.rlike(r"^ControlSet\d+\\")
+    user = key.startswith(PORTABLE) | key.startswith(MOUNTPOINTS)
+    current = F.max(F.when((key == SELECT) & (F.col("value_name") == "Current"), F.coalesce("value_int", F.lit(0))))
+    found = values.groupBy("source_artifact").agg(F.bool_or(machine).alias("machine"), F.bool_or(user).alias("user"), current.alias("current"))
+    fault = F.when(~F.col("machine") & ~F.col("user"), F.lit("unsupported hive: ")).when(F.col("machine") & (F.coalesce("current", F.lit(0)) <= 0), F.lit("no control set in "))
+    return found.select("source_artifact", F.when(F.col("current") > 0, F.format_string("ControlSet%03d", "current")).alias("control_set"), F.concat(fault, "source_artifact").alias("fault"))
 
-def _children(values: DataFrame, parent: str) -> DataFrame:
-    """Direct subkeys of a key: name, last write and FriendlyName."""
-    rows = values.where(F.col("key_path").startswith(parent + "\\")).withColumn("entry", F.substr("key_path", F.lit(len(parent) + 2))).where(~F.col("entry").contains("\\"))
-    return rows.groupBy("source_artifact", "key_path", "entry").agg(F.max("key_last_write").alias("written"), F.max(F.when(F.col("value_name") == "FriendlyName", F.col("value_str"))).alias("friendly"))
 
+def _below(parent: str) -> Column:
+    """The direct subkey of ``parent`` that the row is of; null for rows elsewhere, and deeper."""
+    entry = F.substr("key_path", F.lit(len(parent) + 2))
+    return F.when(F.col("key_path").startswith(parent + "\\") & ~entry.contains("\\"), entry)
 
-def portable_devices(values: DataFrame, case_id: str = "") -> DataFrame:
-    rows = _children(values, PORTABLE).withColumn("device_id", windows.device_of_path(F.col("entry"))).where("device_id IS NOT NULL").withColumn("serial_number", F.element_at(F.split("device_id", r"\\"), 3)).withColumn("friendly_name", F.coalesce("friendly", F.lit("")))
-    details = F.struct(F.col("key_path").alias("registry_key"), F.col("entry").alias("portable_device_entry"), F.lit(True).alias("timestamp_from_key_lastwrite"))
-    return _event(rows, F.lit(REGISTERED), F.col("written"), timestamps.isoformat(F.col("written")), details, case_id)
 
-
-def user_mounts(values: DataFrame, case_id: str = "") -> DataFrame:
-    guid = F.nullif(windows.volume_guid(F.col("entry")), F.lit(""))
-    details = F.struct(F.col("key_path").alias("registry_key"), F.col("entry").alias("mount_point_entry"), F.lit(True).alias("timestamp_from_key_lastwrite"), guid.alias("volume_guid"), F.when(guid.isNull(), F.lit("drive_letter_or_share")).alias("mount_point_kind"))
-    rows = _children(values, MOUNTPOINTS)
-    return _event(rows, F.lit(MOUNT), F.col("written"), timestamps.isoformat(F.col("written")), details, case_id)
+def entries(values: DataFrame) -> DataFrame:
+    """Each known entry once: source_artifact, kind, entry, parts, key_path, written, friendly, device_desc, target, value_name and the ticks of ``TIMES``."""
+    parts = F.split("key_path", r"\\")
+    at = lambda i: F.try_element_at(parts, F.lit(i))
+    instance = F.when(F.col("control_set").isNotNull() & F.col("key_path").startswith(F.concat("control_set", F.lit(STORAGE + "\\"))) & at(5).isNotNull(), F.concat_ws("\\", F.slice(parts, 1, 5)))
+    target = windows.mounted_target(F.col("value_bytes"))
+    letter = F.when((F.col("key_path") == LETTERS) & F.upper(target).contains("USBSTOR"), F.concat_ws("\\", F.col("key_path"), F.col("value_ord").cast("string"), "value_name", F.col("key_last_write").cast("string"), F.hex("value_bytes")))
+    kinds = [("instance", instance), ("portable", _below(PORTABLE)), ("mount", _below(MOUNTPOINTS)), ("letter", letter)]
+    place = F.coalesce(*[F.when(entry.isNotNull(), F.struct(F.lit(kind).alias("kind"), entry.alias("entry"))) for kind, entry in kinds])
+    rows = values.join(hives(values).select("source_artifact", "control_set"), "source_artifact").withColumn("place", place).where("place IS NOT NULL")
+    # what the entry's own key says; of its device properties, deeper in its tree, the first value that holds a time
+    own = (F.col("place.kind") != "instance") | (F.size(parts) == 5)
+    named = lambda name: F.max(F.when(own & (F.col("value_name") == name), F.col("value_str")))
+    ticks = F.coalesce(timestamps.filetime_bytes(F.col("value_bytes")), F.nullif(F.col("value_int").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")))
+    timed = (F.size(parts) == 8) & (at(6) == "Properties") & (F.lower(at(7)) == PROPERTIES) & ticks.isNotNull()
+    first = lambda p: F.min_by(ticks, F.when(timed & (at(8) == p), F.coalesce("value_ord", F.lit(0)))).alias(f"ticks_{p}")
+    return rows.groupBy("source_artifact", "place.kind", "place.entry").agg(
+        F.bool_or(own).alias("seen"), F.min(F.when(own, F.col("key_path"))).alias("key_path"), F.max(F.when(own, F.col("key_last_write"))).alias("written"), named("FriendlyName").alias("friendly"), named("DeviceDesc").alias("device_desc"),
+        F.min(F.when(F.col("place.kind") == "letter", target)).alias("target"), F.min("value_name").alias("value_name"), *[first(p) for p in TIMES],
+    ).where("seen")
+
+
+def _made(kind: Column | str, at: Column, raw: Column, *details: Column | str) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("event_type"), at.alias("timestamp_utc"), raw.alias("raw_timestamp"), F.to_json(F.struct(*details)).alias("details"))
 
 
 def events(values: DataFrame, case_id: str = "") -> DataFrame:
-    """Events of all hives: each kind of key is found where it exists. A hive with none of the known keys is an error."""
-    known = (F.col("key_path") == "Select") | F.col("key_path").startswith(PORTABLE) | F.col("key_path").startswith(MOUNTPOINTS)
-    strange = values.groupBy("source_artifact").agg(F.bool_or(known).alias("ok")).where("NOT ok")
-    wrong = strange.select(F.raise_error(F.concat(F.lit("unsupported hive: "), "source_artifact")).cast("string").alias("event_type"))
-    out = usb_storage(values, case_id)
-    for part in (mounted_devices, portable_devices, user_mounts):
-        out = out.unionByName(part(values, case_id))
+    """Events of all hives. A hive with none of the known keys is an error, as is a machine's without a current control set.
+
+    A device instance has its installation, arrival and removal, and its registration, by the key's last write, if it has none.
+    """
+    kind, written, entry, target = F.col("kind"), F.col("written"), F.col("entry"), F.col("target")
+    parts = F.split("key_path", r"\\")
+    device_key, serial = F.try_element_at(parts, F.lit(4)), F.try_element_at(parts, F.lit(5))
+    key = windows.device_key(device_key)
+    from_write = F.lit(True).alias("timestamp_from_key_lastwrite")
+    where = F.col("key_path").alias("registry_key")
+    stamp = timestamps.isoformat(written)
+    base = [where, key["device_class"].alias("device_class"), key["revision"].alias("revision"), windows.generated_serial(serial).alias("windows_generated_serial"), F.nullif("device_desc", F.lit("")).alias("device_desc")]
+    lifecycle = F.array(*[
+        F.when(F.col(f"ticks_{p}").isNotNull(), _made(what, timestamps.filetime(F.col(f"ticks_{p}")), F.col(f"ticks_{p}").cast("string"), *base, F.lit(f"{PROPERTIES}\\{p}").alias("device_property"), F.lit(True if what != TIMES["0064"] else None).cast("boolean").alias("records_most_recent_only")))
+        for p, what in TIMES.items()
+    ])
+    lifecycle = F.filter(lifecycle, lambda e: e.isNotNull())
+    registered = F.array(_made(REGISTERED, written, stamp, *base, from_write))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    guid = F.coalesce(blank(windows.volume_guid(F.col("value_name"))), blank(windows.volume_guid(target)))
+    letter = F.array(_made(LETTER, written, stamp, where, blank(windows.drive_letter(F.col("value_name"))).alias("drive_letter"), guid.alias("volume_guid"), from_write))
+    portable = F.array(_made(REGISTERED, written, stamp, where, entry.alias("portable_device_entry"), from_write))
+    mounted = blank(windows.volume_guid(entry))
+    mount = F.array(_made(MOUNT, written, stamp, where, entry.alias("mount_point_entry"), from_write, mounted.alias("volume_guid"), F.when(mounted.isNull(), F.lit("drive_letter_or_share")).alias("mount_point_kind")))
+    made = F.when(kind == "instance", F.when(F.size(lifecycle) > 0, lifecycle).otherwise(registered)).when(kind == "letter", letter).when(kind == "portable", portable).otherwise(mount)
+    named = F.when(kind == "letter", windows.device_of_path(target)).when(kind == "portable", windows.device_of_path(entry)).when(kind == "instance", F.concat_ws("\\", F.lit("USBSTOR"), device_key, serial))
+    none = F.lit("")
+    found = entries(values).withColumn("device_id", named).where((kind == "mount") | F.col("device_id").isNotNull())
+    rows = found.select(
+        "source_artifact", "key_path", "kind", "entry", "device_id", F.coalesce(F.when(kind == "instance", serial), F.try_element_at(F.split("device_id", r"\\"), F.lit(3)), none).alias("serial_number"),
+        F.when(kind == "instance", key["vendor"]).otherwise(none).alias("vendor"), F.when(kind == "instance", key["product"]).otherwise(none).alias("product"),
+        F.when(kind.isin("instance", "portable"), F.coalesce("friendly", none)).otherwise(none).alias("friendly_name"), F.explode(made).alias("e"),
+    )
+    out = rows.select(
+        F.lit(case_id).alias("case_id"), "e.event_type", "e.timestamp_utc", "e.raw_timestamp", "source_artifact", F.lit(NAME).alias("parser_name"), F.lit(VERSION).alias("parser_version"), "device_id", "serial_number", "vendor", "product", "friendly_name",
+        F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("long").alias("file_size_bytes"), "e.details", F.xxhash64("source_artifact", "kind", "entry", "e.event_type").alias("ingest_ord"),
+    )
     # no row comes of it, but an error where there is one
+    wrong = hives(values).where("fault IS NOT NULL").select(F.raise_error(F.col("fault")).cast("string").alias("event_type"))
     return out.unionByName(wrong, allowMissingColumns=True)
