@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
+from tracewell.shared import ship as ship_package
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Words of the contracts: everything between ASCII white space.
@@ -23,10 +20,7 @@ def ship(spark: SparkSession) -> None:
     """
     if spark.conf.get(BATCH, None) is None:
         spark.conf.set(BATCH, str(8 << 20))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if PACKAGE_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
+    ship_package(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
