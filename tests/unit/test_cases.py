@@ -6,7 +6,7 @@ import pytest
 
 from tracewell.errors import ConfigError, PathOverlapError
 from tracewell.operators import events as E
-from tracewell.operators import reports, sessions
+from tracewell.operators import identity, reports, scoring, sessions
 from tracewell.plans.config import CaseConfig, SessionConfig, Thresholds, Weights
 from tracewell.plans.pipeline import correlate
 
@@ -113,3 +113,33 @@ def test_reports(spark, tmp_path):
     wrong = got.findings.selectExpr("* EXCEPT (confidence_reason)", "'He stole it' AS confidence_reason")
     with pytest.raises(Exception, match="wording"):
         reports.html_fragments(wrong, got.devices).collect()
+
+
+def test_digests_of_file_events_alone_meet_the_table(spark):
+    """Whatever the filter lets through, hits are those of a set; only texts are digests, and device events are not shuffled."""
+    details = ['{"sha256": "%s"}' % d for d in ("AA", "bb", "zz", "")] + ['{"sha256": 12}', '{"sha256": ["aa"]}', '{"sha256": null}', "{}", "no json", None]
+    items = [(i, kind, d) for i, (kind, d) in enumerate((kind, d) for kind in (E.ACCESS, E.INSERT) for d in details)] + [(100 + i, E.ACCESS, '{"sha256": "h%d"}' % i) for i in range(500)]
+    events = spark.createDataFrame(items, "ingest_ord long, event_type string, details string")
+    known = [("aa",), ("bb",), ("12",), ("aa",), (None,)] + [(f"h{i}",) for i in range(0, 500, 3)]
+    for bits in (1 << 15, 64):
+        scoring.LEAST_BITS = scoring.MOST_BITS = bits
+        marked = scoring.with_hash_hits(events, spark.createDataFrame(known, "sha256 string"))
+        got = {r.ingest_ord for r in marked.where("hash_hit").collect()}
+        assert got == {0, 1} | {100 + i for i in range(0, 500, 3)} and marked.count() == len(items)
+    scoring.LEAST_BITS, scoring.MOST_BITS = 1 << 15, 1 << 27
+    assert scoring.with_hash_hits(events, spark.createDataFrame([], "sha256 string")).where("hash_hit").count() == 0
+
+
+def test_identity_across_artifacts(spark):
+    made = [
+        (1, "c", E.INSERT, "USB\\VID_1\\SER1", None, "{}"), (2, "c", "usb_device_registered", "USBSTOR\\Disk\\SER1&0", None, "{}"),
+        (3, "c", "usb_drive_letter_assigned", "USBSTOR\\Disk\\ser1&0", None, '{"drive_letter": "E:", "volume_guid": "{AB}"}'), (4, "c", "usb_user_mount", None, None, '{"volume_guid": "{ab}", "mount_point_entry": "{ab}"}'),
+        (5, "c", E.ACCESS, None, "e:\\x.txt", "{}"), (6, "c", E.ACCESS, None, "C:\\y.txt", "{}"), (7, "d", E.ACCESS, None, "e:\\x.txt", "{}"), (8, "c", E.INSERT, "USB\\VID_1\\7&1a&0", None, "{}"), (9, "c", E.REMOVE, "USBSTOR\\Disk\\7&1a&0", None, "{}"),
+        (10, "c", "usb_user_mount", None, None, '{"mount_point_entry": "E", "mount_point_kind": "drive_letter_or_share"}'), (11, None, E.INSERT, "USB\\X\\S9", None, None), (12, "c", "x", None, None, "no json"), (13, "c", E.ACCESS, None, "\\\\share\\f", "{}"),
+    ]
+    events = spark.createDataFrame(made, "ingest_ord long, case_id string, event_type string, device_id string, file_path string, details string")
+    got = {r.ingest_ord: r.identity for r in identity.with_identity(events).collect()}
+    one = "USBSTOR\\Disk\\SER1&0"
+    assert len(got) == 13 and {got[i] for i in (1, 2, 3, 4, 5, 10)} == {min(one, "USB\\VID_1\\SER1")}
+    # a serial that Windows made up links nothing; other cases, letters and shares are no one's
+    assert got[8] == "USB\\VID_1\\7&1a&0" and got[9] == "USBSTOR\\Disk\\7&1a&0" and got[11] == "USB\\X\\S9" and {got[i] for i in (6, 7, 12, 13)} == {None}

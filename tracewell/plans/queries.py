@@ -20,6 +20,7 @@ from tracewell.plans.config import Weights
 from tracewell.plans.pipeline import CaseResult, correlate
 from tracewell.shared import shared_dir
 from tracewell.sources import event_xml, intake, registry
+from tracewell.streaming import sessions as arriving
 
 Query = Callable[[SparkSession, str], DataFrame]
 WEIGHTS = Weights(protected_directories=("C:\\Projects\\confidential",))
@@ -143,6 +144,19 @@ def usb_sessions(spark, sf):
     return sessions.reconstruct(evidence(spark, sf))
 
 
+@query(f"{SE} SELECT {SESSION_COLUMNS} FROM se")
+def streamed_sessions(spark, sf):
+    """The same sessions of events that arrive in several files, in the order of their numbers; each file is a step of the stream."""
+    folder = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    e = evidence(spark, sf).withColumn("timestamp_utc", F.col("timestamp_utc").cast("timestamp"))
+    e.repartitionByRange(4, "ingest_ord").write.parquet(f"{folder}/events")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    # files may arrive in any order of their times, so nothing is late
+    found = arriving.track(stream, delay="400 days")
+    found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/sessions").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return arriving.settled(spark.read.schema(found.schema).parquet(f"{folder}/sessions"))
+
+
 def _some(condition: str, where: str) -> tuple[str, str]:
     return condition, f"{SE} SELECT {SESSION_COLUMNS} FROM se WHERE {where}"
 
@@ -380,7 +394,7 @@ def registry_export_rows(spark, sf):
     """The same values as a file of exports for each hive, read in ranges of 256 KB."""
     folder = f"{shared_dir(spark)}/value-exports-{uuid.uuid4().hex}"
     v = hive_values(spark, sf)
-    v.select(F.col("source_artifact").alias("hive"), F.to_json(F.struct(*[c for c in v.columns if c != "source_artifact"])).alias("value")).repartition("hive").write.partitionBy("hive").text(folder)
+    v.select(F.col("source_artifact").alias("hive"), F.to_json(F.struct(*[c for c in v.columns if c != "source_artifact"]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value")).repartition("hive").write.partitionBy("hive").text(folder)
     read = registry.read(spark, folder, suffix=".txt", partBytes=256 << 10)
     return _hive_rows(registry.events(read.withColumn("source_artifact", F.regexp_extract("source_artifact", "hive=([^/]+)/", 1))))
 
