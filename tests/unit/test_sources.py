@@ -5,7 +5,6 @@ from datetime import datetime
 
 import pytest
 
-from tracewell.errors import ParseError
 from tracewell.sources import event_xml, intake, registry, shortcuts
 
 NS = 'xmlns="http://schemas.microsoft.com/win/2004/08/events/event"'
@@ -122,8 +121,31 @@ def test_jump_lists(spark):
     for name, body in (("xyz.customDestinations-ms", custom), ("5b0a6ed0f523a518.customDestinations-ms", b"none"), ("5b0a6ed0f523a518.automaticDestinations-ms", b"none")):
         with pytest.raises(Exception):  # noqa: B017
             shortcuts.events(files(spark, (name, body))).collect()
-    with pytest.raises(ParseError):
-        shortcuts.decode(b"")
+    with pytest.raises(Exception, match="not a shortcut"):
+        shortcuts.events(files(spark, ("a.lnk", b""))).collect()
+    wrong = {r.entry: r.fault for r in shortcuts.decoded(shortcuts.carved(files(spark, ("5b0a6ed0f523a518.customDestinations-ms", custom)))).collect()}
+    assert wrong[0] is None and wrong[1]
+
+
+def wide_shortcut(base, tail, at=None):
+    """A shortcut whose LinkInfo has wide texts besides narrow ones that say something else, and a relative path."""
+    narrow, wide = b"C:\\narrow\0", [x.encode("utf-16-le", "surrogatepass") + b"\0\0" for x in (base, tail)]
+    volume = struct.pack("<4I", 17, 3, 0xFFFFFFFF, 16) + b"\0"
+    places = [36, 36 + len(volume), 36 + len(volume) + len(narrow), 36 + len(volume) + len(narrow) + 1]
+    ends = [places[3], at or places[3] + len(wide[0])]
+    body = volume + narrow + b"\0" + wide[0] + wide[1]
+    info = struct.pack("<9I", 36 + len(body), 36, 1, places[0], places[1], 0, places[2], *ends) + body
+    texts = b"".join(struct.pack("<H", len(t)) + t.encode("utf-16-le") for t in ("a name", "..\\rel.txt"))
+    return shortcuts.SIGNATURE + struct.pack("<IIQQQI", 0x1 | 0x2 | 0x4 | 0x8 | 0x80, 0x21, 0, 133486419060000000, 0, 5) + bytes(20) + struct.pack("<H", 4) + b"idid" + info + texts
+
+
+def test_wide_link_info(spark):
+    path = lambda *a: [r.file_path for r in shortcuts.events(files(spark, ("a.lnk", wide_shortcut(*a)))).collect()]
+    assert path("E:\\\u4e2d\u6587", "x.txt") == ["E:\\\u4e2d\u6587\\x.txt"] and path("E:\\dir\\", "\\\U0001f600.txt") == ["E:\\dir\\\U0001f600.txt"]
+    assert path("E:\\a.txt", "A.TXT") == ["E:\\a.txt"] and path("E:\\\ud83d!", "") == ["E:\\\ufffd!"]
+    for at in (20, 5000):
+        with pytest.raises(Exception, match="outside itself"):
+            path("E:\\a", "b", at)
 
 
 def test_intake(spark, tmp_path):

@@ -18,8 +18,8 @@ from tracewell.operators import events as E
 from tracewell.operators import identity, reports, scoring, sessions
 from tracewell.plans.config import Weights
 from tracewell.plans.pipeline import CaseResult, correlate
-from tracewell.shared import shared_dir
-from tracewell.sources import event_xml, intake, registry
+from tracewell.shared import shared_dir, written
+from tracewell.sources import event_xml, intake, registry, shortcuts
 from tracewell.streaming import sessions as arriving
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -399,6 +399,54 @@ def registry_export_rows(spark, sf):
     return _hive_rows(registry.events(read.withColumn("source_artifact", F.regexp_extract("source_artifact", "hive=([^/]+)/", 1))))
 
 
+SHORTCUT_ROWS = (
+    EV + r""", f AS (SELECT *, CAST(serial_number AS BIGINT) AS n, ['file_created', 'file_access', 'file_modified'] AS kinds FROM ev WHERE event_type = 'file_access'),
+x AS (SELECT *, unnest([1, 2, 3]) AS i FROM f)
+SELECT ingest_ord, kinds[i] AS event_type, """
+    + ISO.format("timestamp_utc + to_seconds(i)")
+    + r""" AS iso, CASE k % 3 WHEN 0 THEN file_path WHEN 1 THEN 'E:\wide\' || k || '\' || chr(CAST(20013 + k % 50 AS INTEGER)) || '.txt' ELSE '..\rel' || k END AS file_path, k AS file_size_bytes,
+  CASE WHEN k % 3 < 2 THEN upper(lpad(hex(n * 7919), 8, '0')) END AS volume_serial_number, CASE WHEN k % 3 < 2 THEN CASE k % 2 WHEN 0 THEN 'removable' ELSE 'fixed' END END AS drive_type, k % 4 = 0 AS in_list FROM x WHERE i <> 1 OR k % 5 <> 0"""
+)
+
+
+@query(SHORTCUT_ROWS)
+def shortcut_rows(spark, sf):
+    """Each file event of ``events`` as a shortcut file's bytes, or as an entry of a custom jump list, read back: narrow and wide paths, and relative ones."""
+    k, n = F.col("file_size_bytes"), F.col("serial_number").cast("long")
+    e = evidence(spark, sf).where(F.col("event_type") == E.ACCESS)
+
+    def number(value: Column, size: int) -> Column:
+        digits = F.lpad(F.hex(value), 2 * size, "0")
+        return F.unhex(F.concat(*[F.substring(digits, i, 2) for i in range(2 * size - 1, 0, -2)]))
+
+    lit = lambda b: F.lit(b)
+    ticks = lambda i: (F.unix_micros(F.col("timestamp_utc").cast("timestamp")) + i * 1_000_000) * 10 + F.lit(timestamps.EPOCH_GAP * 10)
+    word = lambda v, size=4: number(v if isinstance(v, Column) else F.lit(v), size)
+    created = F.when(k % 5 == 0, F.lit(0).cast("long")).otherwise(ticks(1))
+    flags = F.when(k % 3 == 2, F.lit(0x8 | 0x80)).otherwise(F.lit(0x2 | 0x80))
+    head = F.concat(lit(shortcuts.SIGNATURE), word(flags), word(0x21), word(created, 8), word(ticks(2), 8), word(ticks(3), 8), word(k), lit(bytes(20)))
+    volume = F.concat(word(17), word(F.when(k % 2 == 0, F.lit(2)).otherwise(F.lit(3))), word(n * 7919), word(16), lit(b"\0"))
+    base = F.concat(F.encode("file_path", "ISO-8859-1"), lit(b"\0"))
+    narrow = F.concat(volume, base, lit(b"\0"))
+    size = lambda c: F.octet_length(c)
+    info = F.concat(word(size(narrow) + 28), word(28), word(1), word(28), word(28 + 17), word(0), word(size(narrow) + 27), narrow)
+    start = F.concat(F.encode(F.concat(F.lit("E:\\wide\\"), k.cast("string")), "UTF-16LE"), lit(b"\0\0"))
+    tail = F.concat(F.encode(F.concat(F.decode(number(F.lit(20013) + k % 50, 2), "UTF-16LE"), F.lit(".txt")), "UTF-16LE"), lit(b"\0\0"))
+    body = F.concat(narrow, start, tail)
+    wide = F.concat(word(size(body) + 36), word(36), word(1), word(36), word(36 + 17), word(0), word(size(narrow) + 35), word(size(narrow) + 36), word(size(narrow) + 36 + size(start)), body)
+    relative = F.concat(F.lit("..\\rel"), k.cast("string"))
+    content = F.concat(head, F.when(k % 3 == 0, info).when(k % 3 == 1, wide).otherwise(F.concat(word(F.length(relative), 2), F.encode(relative, "UTF-16LE"))))
+    listed = k % 4 == 0
+    name = F.concat(F.col("ingest_ord").cast("string"), F.when(listed, F.lit("/5b0a6ed0f523a518.customDestinations-ms")).otherwise(F.lit(".lnk")))
+    made = e.select(name.alias("source_artifact"), F.when(listed, F.concat(lit(b"head"), content, lit(b"between"), lit(shortcuts.SIGNATURE), lit(b"corrupt"))).otherwise(content).alias("content"))
+    detail = lambda c: F.get_json_object("details", f"$.{c}").alias(c)
+    found = shortcuts.events(written(made, "shortcut-files"))
+    return found.select(
+        F.regexp_extract("source_artifact", r"^(\d+)", 1).cast("long").alias("ingest_ord"), "event_type", timestamps.isoformat(F.col("timestamp_utc")).alias("iso"), "file_path", "file_size_bytes", detail("volume_serial_number"), detail("drive_type"),
+        (F.col("parser_name") == shortcuts.JUMP[0]).alias("in_list"),
+    )
+
+
 IDENTITY = EV + r""", u AS (SELECT *, CAST(serial_number AS BIGINT) AS n FROM ev),
 m AS (SELECT case_id, ingest_ord, list_filter(CASE WHEN event_type = 'usb_insert' THEN ['device:USB\VID_1\S' || n, 'serial:S' || n] WHEN event_type = 'usb_remove' THEN ['device:USBSTOR\Disk\S' || n || '&0', 'serial:S' || n, 'volume:{v' || (n // 50 % 2) || '}', 'letter:' || chr(CAST(65 + n // 50 % 20 AS INTEGER)) || ':']
   WHEN k % 2 = 0 THEN ['volume:{v' || (n // 50 % 3) || '}'] ELSE ['letter:' || chr(CAST(65 + k % 26 AS INTEGER)) || ':'] END, lambda x: x IS NOT NULL) AS names FROM u),
