@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tracewell import shared
 from tracewell.errors import ConfigError, PathOverlapError
 from tracewell.operators import events as E
 from tracewell.operators import identity, reports, scoring, sessions
@@ -115,18 +116,18 @@ def test_reports(spark, tmp_path):
         reports.html_fragments(wrong, got.devices).collect()
 
 
-def test_digests_of_file_events_alone_meet_the_table(spark):
+def test_digests_of_file_events_alone_meet_the_table(spark, monkeypatch):
     """Whatever the filter lets through, hits are those of a set; only texts are digests, and device events are not shuffled."""
     details = ['{"sha256": "%s"}' % d for d in ("AA", "bb", "zz", "")] + ['{"sha256": 12}', '{"sha256": ["aa"]}', '{"sha256": null}', "{}", "no json", None]
     items = [(i, kind, d) for i, (kind, d) in enumerate((kind, d) for kind in (E.ACCESS, E.INSERT) for d in details)] + [(100 + i, E.ACCESS, '{"sha256": "h%d"}' % i) for i in range(500)]
     events = spark.createDataFrame(items, "ingest_ord long, event_type string, details string")
     known = [("aa",), ("bb",), ("12",), ("aa",), (None,)] + [(f"h{i}",) for i in range(0, 500, 3)]
     for bits in (1 << 15, 64):
-        scoring.LEAST_BITS = scoring.MOST_BITS = bits
+        monkeypatch.setattr(shared, "LEAST_BITS", bits)
+        monkeypatch.setattr(shared, "MOST_BITS", bits)
         marked = scoring.with_hash_hits(events, spark.createDataFrame(known, "sha256 string"))
         got = {r.ingest_ord for r in marked.where("hash_hit").collect()}
         assert got == {0, 1} | {100 + i for i in range(0, 500, 3)} and marked.count() == len(items)
-    scoring.LEAST_BITS, scoring.MOST_BITS = 1 << 15, 1 << 27
     assert scoring.with_hash_hits(events, spark.createDataFrame([], "sha256 string")).where("hash_hit").count() == 0
 
 

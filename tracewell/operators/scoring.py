@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import windows
 from tracewell.operators.events import ACCESS, order_key
 from tracewell.plans.config import Thresholds, Weights
-from tracewell.shared import written
+from tracewell.shared import key_filter, with_maybe, written
 
 SESSION = ("case_id", "device_id", "ordinal")
 LEVELS = ("NONE", "LOW", "MEDIUM", "HIGH", "CONFIRMED")
@@ -53,24 +53,12 @@ def said(name: str, **values: Column | int) -> Column:
     return F.concat(*[(v if isinstance(v := values[p], Column) else F.lit(v)).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
-#: Bits of the filter before the join of digests: at least, for each digest, and at most (16 MB, so that it can be broadcast).
-LEAST_BITS, BITS_A_DIGEST, MOST_BITS = 1 << 15, 16, 1 << 27
-
-
 def own_digest(details: Column) -> Column:
     """The digest that an event's details name, in lower case; only a JSON string is one."""
     named = F.try_variant_get(F.try_parse_json(details), "$.sha256", "variant")
     return F.when(F.schema_of_variant(named) == "STRING", F.lower(F.try_variant_get(F.try_parse_json(details), "$.sha256", "string")))
 
 
-def digest_filter(hashes: DataFrame) -> tuple[DataFrame, int]:
-    """(bucket, bitmap) of the digests' hashes, and the number of bits: 4,096 rows of 4 KB at most, however many digests there are."""
-    n = hashes.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_DIGEST * n).bit_length()))
-    place = F.pmod(F.xxhash64("sha256"), F.lit(bits))
-    return hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")), bits
-
-
 def with_hash_hits(events: DataFrame, hashes: DataFrame | None) -> DataFrame:
     """``events`` with ``hash_hit``: whether the digest in the details of a file event is in ``hashes``.
 
@@ -81,14 +69,8 @@ def with_hash_hits(events: DataFrame, hashes: DataFrame | None) -> DataFrame:
     if hashes is None:
         return events.withColumn("hash_hit", F.lit(False))
     named = written(hashes.select("sha256").where("sha256 IS NOT NULL").distinct(), "destination-digests")
-    bitmap, bits = digest_filter(named)
-    place = F.pmod(F.xxhash64("_own"), F.lit(bits))
     own = events.withColumn("_own", F.when(F.col("event_type") == ACCESS, own_digest(F.col("details"))))
-    marked = own.withColumn("_bucket", F.when(F.col("_own").isNotNull(), F.bitmap_bucket_number(place))).join(F.broadcast(bitmap.select(F.col("bucket").alias("_bucket"), "bitmap")), "_bucket", "left")
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("bitmap", (F.expr("_at div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    maybe = F.coalesce(F.expr("shiftright(_byte, cast(_at % 8 AS int)) & 1") == 1, F.lit(False))
-    marked = marked.withColumn("_at", at).withColumn("_byte", byte).withColumn("_maybe", maybe).drop("_bucket", "bitmap", "_at", "_byte")
+    marked = with_maybe(own, "_own", key_filter(named, "sha256"))
     met = marked.where("_maybe").join(named.select(F.col("sha256").alias("_own"), F.lit(True).alias("_hit")), "_own", "left").withColumn("hash_hit", F.coalesce("_hit", F.lit(False)))
     columns = [*events.columns, "hash_hit"]
     return marked.where("NOT _maybe").withColumn("hash_hit", F.lit(False)).select(*columns).unionByName(met.select(*columns))

@@ -83,3 +83,28 @@ def running(rows: DataFrame, group: list[str], bucket: str, order: list[Column],
     if total:
         joined = joined.withColumn(total, F.col("_total"))
     return joined.drop("_value", "_own", "_base", "_total", "_bucket", *[f"_{g}" for g in group])
+
+
+#: Bits of a filter of keys: at least, for each key, and at most (16 MB, so that it can be sent to all tasks).
+LEAST_BITS, BITS_A_KEY, MOST_BITS = 1 << 15, 16, 1 << 27
+
+
+def key_filter(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(bucket, bitmap) of the hashes of a stored table's keys, and the number of bits: 4,096 rows of 4 KB at most, however many keys there are."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    return keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")), bits
+
+
+def with_maybe(rows: DataFrame, column: str, filter_: tuple[DataFrame, int], out: str = "_maybe") -> DataFrame:
+    """Add ``out``: false where ``column`` is null or surely none of the keys. What is true still has to meet them.
+
+    Rows stay where they are. With more keys than the filter has room for, more of them are true.
+    """
+    bitmap, bits = filter_
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    sent = F.broadcast(bitmap.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap")))
+    marked = rows.withColumn("_bucket", F.when(F.col(column).isNotNull(), F.bitmap_bucket_number(place))).withColumn("_at", F.bitmap_bit_position(place)).join(sent, "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.expr("_at div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = marked.withColumn("_byte", byte).withColumn(out, F.coalesce(F.expr("shiftright(_byte, cast(_at % 8 AS int)) & 1") == 1, F.lit(False)))
+    return marked.drop("_bucket", "_bitmap", "_at", "_byte")
