@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, ngram_jaccard, packing, quality, secrets
 from tracewell.llm.runtime import WORD, columns_of, quoted, table
-from tracewell.shared import written
+from tracewell.shared import key_filter, with_maybe, written
 
+#: Columns that exist between the steps of a stage only.
+MAYBE, KEPT, REPEATED = "_near_maybe", "_near_kept", "_near_repeated"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -36,15 +38,19 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     stand for a group and stay. Other columns, whatever their names, are kept. An empty table gives an empty result.
     """
     found = ngram_jaccard.near_duplicates(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), (F.count(F.lit(1)) > 1).alias("repeated"))
-    kept = written(found.where("kept").select("doc_id", "repeated"), "kept-ids")
-    single = docs.join(kept.where("not repeated"), "doc_id", "left_semi").select(*columns_of(docs))
+    # most documents are one row that stays, and a filter of bounded size says so where they are: only the others' texts move
+    decided = written(found.where("doc_id IS NOT NULL AND (repeated OR NOT kept)"), "decided-ids")
+    marked = with_maybe(docs, "doc_id", key_filter(decided, "doc_id"), MAYBE)
+    asked = marked.where(MAYBE).join(decided.select("doc_id", F.col("kept").alias(KEPT), F.col("repeated").alias(REPEATED)), "doc_id", "left")
+    rows = written(asked.where(F.coalesce(KEPT, F.lit(True))).select(*columns_of(docs), F.coalesce(REPEATED, F.lit(False)).alias(REPEATED)), "asked-documents")
+    single = rows.where(~F.col(REPEATED)).select(*columns_of(docs))
     # equal rows of an id that several have come down to one in each task before they meet
-    counted = docs.join(kept.where("repeated"), "doc_id", "left_semi")
+    counted = rows.where(REPEATED).select(*columns_of(docs))
     wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     least = counted.where(~wordless).groupBy("doc_id", F.sha2("text", 256).alias("_text")).agg(F.min(F.struct(*map(quoted, others), "text")).alias("_row"))
     once = least.select(*[F.col(c) if c == "doc_id" else F.col(f"_row.{quoted(c)}").alias(c) for c in docs.columns]).unionByName(counted.where(wordless))
-    return single.unionByName(once).unionByName(docs.where("doc_id is null"))
+    return marked.where(~F.col(MAYBE)).select(*columns_of(docs)).unionByName(single).unionByName(once)
 
 
 def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
