@@ -176,10 +176,10 @@ def dedup(docs: DataFrame, history: Column | None = None) -> DataFrame:
     old = index.select(F.inline("slots"))
     groups = met.select("digest", "new.*").unionByName(old)
     total = groups.groupBy("digest").agg(F.min(_better()).alias("w"), F.sum("held").alias("group_size"))
-    # most texts are held once; the others' rows meet their group, a hot one in as many tasks as Spark splits it into
-    found = written(total.select("digest", F.col("w.row").alias("keep_row"), F.col("w.doc_id").alias("keep_id"), "group_size"), "groups")
     members = met.where("member").select("digest", F.lit(True).alias("member"))
-    answered = found.join(members, "digest", "left")
+    found = total.join(members, "digest", "left").select("digest", F.col("w.row").alias("keep_row"), F.col("w.doc_id").alias("keep_id"), "group_size", "member")
+    # a table of its own, so that both sides of the join are plain scans, whose hot digests Spark can split
+    answered = written(found, "groups")
     return rows.join(answered, "digest").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), (F.col("old") | F.coalesce("member", F.lit(False))).alias("in_history"))
 
 
