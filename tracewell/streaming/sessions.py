@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ def _sessions(open_us: int | None, seen: int, events: list[tuple[int, str, bool]
         yield previous[1], previous[0], True, previous[0] + gap, False, False
 
 
+def _frame(key: tuple, rows: list[tuple]) -> pd.DataFrame:
+    """``rows`` as a table of ``OUT``; numbers that may be missing are made of arrays and their masks, since a device has few rows."""
+    status, version, *rest = zip(*rows, strict=True)
+    out = {"case_id": [key[0]] * len(rows), "device_id": [key[1]] * len(rows), "status": list(status), "version": np.array(version, dtype="int64")}
+    for name, values in zip(("ordinal", "start_us", "start_observed", "end_us", "end_observed"), rest, strict=True):
+        missing, flag = np.array([v is None for v in values]), name.endswith("observed")
+        filled = np.array([v or 0 for v in values], dtype="bool" if flag else "int64")
+        out[name] = pd.arrays.BooleanArray(filled, missing) if flag else pd.arrays.IntegerArray(filled, missing)
+    return pd.DataFrame(out)
+
+
 def _tracked(gap: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, version, open_us, times, ties, inserts = state.get if state.exists else (0, 0, None, [], [], [])
@@ -71,11 +83,7 @@ def _tracked(gap: int):
         rows += [(PROVISIONAL, version, ordinal, *ends) for ordinal, *ends, _ in _sessions(open_us, seen, held, gap)]
         rows.append((MARK, version, None, None, None, None, None))
         state.update((seen, version, open_us, *(list(c) for c in (zip(*held, strict=True) if held else ([], [], [])))))
-        names = ["status", "version", "ordinal", "start_us", "start_observed", "end_us", "end_observed"]
-        out = pd.DataFrame(rows, columns=names).astype({"ordinal": "Int64", "start_us": "Int64", "end_us": "Int64", "start_observed": "boolean", "end_observed": "boolean"})
-        out.insert(0, "device_id", key[1])
-        out.insert(0, "case_id", key[0])
-        yield out
+        yield _frame(key, rows)
 
     return run
 
