@@ -1,6 +1,6 @@
 """Exported artifacts as splittable data sources: a record on each line, event records as XML or registry values as JSON.
 
-A partition is a range of bytes of a large file, or several smaller files. Each range begins at the first line that starts in
+A partition is a range of bytes of a large file, or several smaller ones, of one file or of many. Each range begins at the first line that starts in
 it and ends with the last one that does, so an export of any size is read by many tasks and every record once. What a record
 is (its provider and event id, or its key's path) is read before the rest, and predicates on that are decided in the reader.
 A record that is not well-formed, or lacks what every record must have, is an error whatever the predicates.
@@ -23,6 +23,8 @@ from tracewell.shared import ship, store_of
 
 #: Bytes of a partition, of one read, and of a batch for Spark.
 PART_BYTES, READ, BATCH = 64 << 20, 1 << 20, 4 << 20
+#: Partitions that small ranges are put together to, unless one would then have more than ``PART_BYTES``: a task costs more than a short range.
+PARTS = 512
 #: Endings of exports that stand for binary logs and hives.
 XML_EXPORT, VALUE_EXPORT = ".events.xml", ".values.jsonl"
 
@@ -134,11 +136,11 @@ class ExportReader(DataSourceReader):
         name = lambda p: p.removeprefix(base) if p.startswith(base) else p.rpartition("/")[2]
         ranges = [Range(p, name(p), at, min(at + self.part_bytes, size)) for p, size in files for at in range(0, size, self.part_bytes)]
         parts: list[ExportPartition] = []
-        room = 0
+        most, room = max(self.part_bytes, min(PART_BYTES, -(-sum(size for _, size in files) // PARTS))), 0
         for r in sorted(ranges, key=lambda r: (r.start - r.end, r)):
             if not parts or room < r.end - r.start:
                 parts.append(ExportPartition([]))
-                room = self.part_bytes
+                room = most
             parts[-1].ranges.append(r)
             room -= r.end - r.start
         return parts or [ExportPartition([])]
