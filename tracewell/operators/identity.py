@@ -27,19 +27,27 @@ def serial_of(device_id: Column) -> Column:
 
 def names_of(events: DataFrame) -> DataFrame:
     """``events`` with ``names``: what each names of a device, as kind and value; its instance id first, if it has one."""
-    detail = lambda name: F.nullif(F.try_variant_get(F.try_parse_json("details"), f"$.{name}", "string"), F.lit(""))
+    # a column of its own, so that details are parsed once, not for each name
+    parsed = events.withColumn("_details", F.try_parse_json("details"))
+    detail = lambda name: F.nullif(F.try_variant_get("_details", f"$.{name}", "string"), F.lit(""))
     letter = F.upper(F.coalesce(detail("drive_letter"), F.when(detail("mount_point_kind").isNotNull(), F.concat(F.regexp_extract(detail("mount_point_entry"), "^([A-Za-z]):?$", 1), F.lit(":")))))
     # a file's path begins with a letter that its volume has
     path = F.when(F.col("event_type") == ACCESS, F.upper(F.nullif(F.regexp_extract("file_path", "^([A-Za-z]:)", 1), F.lit(""))))
     device = F.when(F.trim(F.coalesce("device_id", F.lit(""))) != "", F.col("device_id"))
     found = [(DEVICE, device), (SERIAL, serial_of(device)), (VOLUME, F.lower(detail("volume_guid"))), (LETTER, F.when(F.length(letter) == 2, letter)), (LETTER, path)]
-    names = F.array(*[F.when(value.isNotNull(), F.concat(F.lit(f"{kind}:"), value)) for kind, value in found])
-    return events.withColumn("names", F.filter(names, lambda n: n.isNotNull()))
+    # each value is a column before it is looked at, and a null one gives a null name
+    valued = parsed.withColumns({f"_value{i}": value for i, (_, value) in enumerate(found)})
+    names = F.array(*[F.concat(F.lit(f"{kind}:"), F.col(f"_value{i}")) for i, (kind, _) in enumerate(found)])
+    return valued.withColumn("names", F.array_compact(names)).drop("_details", *[f"_value{i}" for i in range(len(found))])
 
 
 def identities(events: DataFrame) -> DataFrame:
     """(case_id, name, identity): of each name that is linked to a device the least instance id in reach."""
-    linked = names_of(events).where(F.size("names") > 0).select("case_id", "names").distinct()
+    return _linked(names_of(events))
+
+
+def _linked(named: DataFrame) -> DataFrame:
+    linked = named.where(F.size("names") > 0).select("case_id", "names").distinct()
     # a case's names are nodes of their own: the case's length keeps any two apart
     node = lambda n: F.concat(F.length("case_id").cast("string"), F.lit(":"), "case_id", F.lit(":"), n)
     links = linked.select("case_id", F.col("names")[0].alias("first"), F.explode("names").alias("name"))
@@ -56,8 +64,10 @@ def with_identity(events: DataFrame) -> DataFrame:
 
     Null cases are one case; events without any name keep a null. One name decides, since an event's names are of one identity.
     """
-    known = written(events.fillna("", ["case_id"]).transform(identities), "identities")
-    named = names_of(events).withColumn("_case", F.coalesce("case_id", F.lit(""))).withColumn("_name", F.try_element_at("names", F.lit(1))).drop("names")
+    # stored, so that names are told once of each event: a filter on them would tell them anew, and so would each part of the union
+    stored = written(names_of(events), "named-events")
+    known = written(_linked(stored.fillna("", ["case_id"])), "identities")
+    named = stored.withColumn("_case", F.coalesce("case_id", F.lit(""))).withColumn("_name", F.try_element_at("names", F.lit(1))).drop("names")
     with_name = named.where("_name IS NOT NULL").join(known.select(F.col("case_id").alias("_case"), F.col("name").alias("_name"), "identity"), ["_case", "_name"], "left")
     columns = [*events.columns, "identity"]
     return with_name.select(*columns).unionByName(named.where("_name IS NULL").withColumn("identity", F.lit(None).cast("string")).select(*columns))
