@@ -75,6 +75,31 @@ def test_capitals_before_marks():
             assert words.ids(text.encode()) == struct.pack(f"<{len(want.ids)}I", *want.ids), repr(text)
 
 
+def test_marks_do_not_multiply_words():
+    """A rare word is merged once, whatever stands beside it and whether it has capitals, and no chunk goes through the whole tokenizer."""
+    path = P.path("word_bpe_49k.json")
+    plain, words, met = Tokenizer.from_file(path), Words(path), []
+    merge = words.merge
+    words.encode, words.merge = None, lambda part: met.append(part) or merge(part)
+    for text in ("zorblat", "zorblat, (Zorblat) zorblat. 7", 'ZORBLAT! "zorblat"; zorblat_7', "zorblat... zorblat's $$$", "zorbl\u00e2t, \u00c9zorblat \u00abzorblat\u00bb 7", "\u00e9zorblat? ZORBL\u00c2T", "zorblat\u00d7, zorblat"):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert words.ids(text.encode()) == struct.pack(f"<{len(ids)}I", *ids), text
+    assert met.count("zorblat") == 1 and len(met) == len(set(met))
+
+
+def test_characters_below_marks():
+    """Each character below U+0300, alone and among letters, digits, marks and white space, then random strings of them."""
+    path = P.path("word_bpe_49k.json")
+    plain, words, rng = Tokenizer.from_file(path), Words(path), random.Random(13)
+    chars = [chr(c) for c in range(0x300)]
+    texts = [form.format(c) for c in chars for form in ("{0}", "a{0}b", "a{0}, x", "x,{0}", "{0}{0} 1{0}2", "'{0}'s", "\u00e9{0}.", "{0}<|endoftext|>{0}", "{0} \u2014 A{0}")]
+    texts += ["".join(rng.choices(rng.choice([chars, chars[:128], chars[0x41:0x250], [*"ab,. \u00e9\u00d7", rng.choice(chars)]]), k=rng.randrange(1, 12))) for _ in range(60_000)]
+    for at in range(0, len(texts), 10_000):
+        part = texts[at : at + 10_000]
+        for text, want in zip(part, plain.encode_batch(part, add_special_tokens=False), strict=True):
+            assert words.ids(text.encode()) == struct.pack(f"<{len(want.ids)}I", *want.ids), repr(text)
+
+
 def test_repeated_rows_are_packed_each(spark):
     rows = [(i % 3, "one two three four") for i in range(60)] + [(None, "x y")] * 7
     got = pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()

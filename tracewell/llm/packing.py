@@ -11,6 +11,9 @@ so these pieces are a bounded number whatever the input, and first-fit-decreasin
 from __future__ import annotations
 
 import array
+import itertools
+import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -19,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.kernels import LOWER
 from tracewell.llm.runtime import ship
 from tracewell.shared import ranged, running, written
 
@@ -27,12 +29,29 @@ CAPACITY = 2048
 #: Padding in tokens that a class may leave in a bin before its pieces are cut, and a length that is never cut.
 SLACK, SMALL = 32, 64
 END = 1
-CACHED = 250_000
+CACHED = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long"
 FIELDS = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class")])
 #: Byte-level alphabets write a byte as the character of its number if that is printable, else as the next one from 256 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_NEXT = itertools.count(256)
+VISIBLE = "".join(chr(b if b in _SHOWN else next(_NEXT)) for b in range(256))
+#: What the tokenizer cannot be told of in parts: special tokens, and what normalising may join or turn into marks.
+WHOLE = re.compile("[\u0130\u023a\u023e\u0300-\U0010ffff]|<\\|")
+
+
+def _below(category: str) -> str:
+    return "".join(c for c in map(chr, range(0x300)) if unicodedata.category(c)[0] == category)
+
+
+#: The pre-tokenizer's parts of lower-cased text of characters below U+0300, where normalising leaves text as it is.
+PARTS = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_below('L')}]+|[{_below('N')}]|[^{_below('L')}{_below('N')}\x09-\x0d\x20\x85\xa0]+")
+#: Characters that are a part each if none stands beside another, bytes of texts that hold but them, letters, digits and
+#: white space, which bytes are such characters, and what those bytes may also write.
+LONE = [c for c in string.punctuation if c != "'"]
+PLAIN = bytes([*range(9, 14), 32, *map(ord, LONE), *map(ord, string.ascii_letters + string.digits), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
+MARKED = bytes(ord("." if chr(b) in LONE else "a") for b in range(256))
+OTHERS = re.compile("[\u00d7\u00f7\u0130\u023a\u023e]")
 _TOKENIZERS: dict[str, Words] = {}
 
 
@@ -42,18 +61,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _ends_word(c: str) -> bool:
-    """Whether punctuation behind ``c`` is a token of its own: a Latin letter that is a letter in lower case too.
-
-    Lower-casing U+0130 leaves a combining dot, which the pre-tokenizer joins to the punctuation.
-    """
-    return c.isalpha() and c < "\u0250" and unicodedata.normalize("NFC", c.lower())[-1].isalpha()
-
-
 class Words(dict):
-    """Token ids of white-space separated chunks, packed as little-endian unsigned 32-bit.
+    """Token ids of a text's parts, words and punctuation, packed as little-endian unsigned 32-bit.
 
-    Holds for tokenizers that treat white space as a separator and drop it, and that lower-case.
+    Holds for tokenizers that treat white space as a separator and drop it, that lower-case, and whose parts are ``PARTS``.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,30 +73,42 @@ class Words(dict):
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if len(chunk) > 1 and text[-1] in ".,;:!?" and _ends_word(text[-2]):
-            ids = self[text[:-1].encode()] + self[chunk[-1:]]
-        elif text.isalpha() and max(text) < "\u0250" and text == text.lower() and unicodedata.is_normalized("NFC", text):
-            # one word that normalising leaves as it is: straight to the merges, at a quarter of the cost
-            ids = array.array("I", [t.id for t in self.merge(chunk.decode("latin-1").translate(VISIBLE))]).tobytes()
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():
+            ids = array.array("I", [t.id for t in self.merge(part)]).tobytes()
+        elif WHOLE.search(part):
+            ids = array.array("I", self.encode(part, add_special_tokens=False).ids).tobytes()
+        elif len(found := PARTS.findall(part)) == 1:
+            # straight to the merges, at a quarter of the cost
+            ids = array.array("I", [t.id for t in self.merge(found[0].encode().decode("latin-1").translate(VISIBLE))]).tobytes()
         else:
-            ids = array.array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+            ids = b"".join(map(self.__getitem__, found))
         if len(self) >= CACHED:
             self.clear()
-        self[chunk] = ids
+        self[part] = ids
         return ids
 
     def ids(self, text: bytes) -> bytes:
-        # special tokens are matched as written, so texts that may hold one keep their case; so do chunks that are not wholly
-        # ASCII, since a capital and the mark behind it may compose to another letter than the small ones do
-        if b"<|" in text:
-            chunks = text.split()
-        elif text.isascii():
-            chunks = text.translate(LOWER).split()
-        else:
-            chunks = [c.translate(LOWER) if c.isascii() else c for c in text.split()]
-        return b"".join(map(self.__getitem__, chunks))
+        return b"".join(map(self.__getitem__, parts(text)))
+
+
+def parts(text: bytes) -> list[str]:
+    """Words and punctuation of a text, lower-cased, as few different ones as can be: rare words are met with many marks behind them."""
+    shown = text.decode()
+    if not text.translate(None, PLAIN) and b".." not in text.translate(MARKED) and (shown.isascii() or not OTHERS.search(shown)):
+        # splitting is several times faster than matching
+        shown = shown.lower()
+        for mark in LONE:
+            shown = shown.replace(mark, f" {mark} ")
+        return shown.split()
+    if shown.isascii() and "<|" not in shown or not WHOLE.search(shown):
+        return PARTS.findall(shown.lower())
+    # special tokens are matched as written, and a capital and the mark behind it may compose to another letter than the
+    # small ones do, so chunks that hold such keep their case
+    out: list[str] = []
+    for chunk in map(bytes.decode, text.split()):
+        out += [chunk] if WHOLE.search(chunk) else PARTS.findall(chunk.lower())
+    return out
 
 
 def tokenizer(path: str) -> Words:
