@@ -87,6 +87,16 @@ def test_marks_do_not_multiply_words():
     assert met.count("zorblat") == 1 and len(met) == len(set(met))
 
 
+def test_another_tokenizer():
+    """One that keeps case and white space gets whole texts."""
+    path = P.path("byte_bpe_50k.json")
+    plain, words = Tokenizer.from_file(path), Words(path)
+    assert Words(P.path("word_bpe_49k.json")).known
+    for text in ("", "Two  Words, don't\n", "\u00c9t\u00e9 <|endoftext|> \u2014 7"):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert words.ids(text.encode()) == struct.pack(f"<{len(ids)}I", *ids), text
+
+
 def test_characters_below_marks():
     """Each character below U+0300, alone and among letters, digits, marks and white space, then random strings of them."""
     path = P.path("word_bpe_49k.json")

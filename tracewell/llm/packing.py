@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import array
 import itertools
+import json
 import re
 import string
 import unicodedata
@@ -36,6 +37,17 @@ FIELDS = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _NEXT = itertools.count(256)
 VISIBLE = "".join(chr(b if b in _SHOWN else next(_NEXT)) for b in range(256))
+#: The normalizer and the pre-tokenizer that ``parts`` holds for.
+KNOWN = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
 #: What the tokenizer cannot be told of in parts: special tokens, and what normalising may join or turn into marks.
 WHOLE = re.compile("[\u0130\u023a\u023e\u0300-\U0010ffff]|<\\|")
 
@@ -64,7 +76,7 @@ def default_tokenizer() -> str:
 class Words(dict):
     """Token ids of a text's parts, words and punctuation, packed as little-endian unsigned 32-bit.
 
-    Holds for tokenizers that treat white space as a separator and drop it, that lower-case, and whose parts are ``PARTS``.
+    Tokenizers that do not normalise and cut as ``KNOWN`` says, or have other special tokens, get whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -72,6 +84,8 @@ class Words(dict):
 
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        steps = [x and json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+        self.known = steps == KNOWN and all(re.fullmatch(r"<\|\S+", t.content) and not t.normalized for t in tokenizer.get_added_tokens_decoder().values())
 
     def __missing__(self, part: str) -> bytes:
         if part.isascii() and part.isalpha():
@@ -89,6 +103,8 @@ class Words(dict):
         return ids
 
     def ids(self, text: bytes) -> bytes:
+        if not self.known:
+            return array.array("I", self.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, parts(text)))
 
 
